@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewater.llm.mixing import mix
 from tidewater.llm.quality_rules import quality_rules
+from tidewater.llm.sharding import kd_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +22,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_rules": op8_quality_rules,
+        "op9_kd_sharding": op9_kd_sharding,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
