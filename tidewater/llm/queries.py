@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm.mixing import mix
+from tidewater.llm.packing import pack_documents
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.sharding import kd_shards
 
@@ -15,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer of the packing query, installed beside Python's packages."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -36,6 +48,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
         "op9_kd_sharding": op9_kd_sharding,
         "op10_source_mixing": op10_source_mixing,
