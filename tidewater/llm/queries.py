@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidewater.llm.fingerprints import edited_likeness
 from tidewater.llm.mixing import mix
+from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import pack_documents
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.sharding import kd_shards
@@ -27,6 +29,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -49,6 +60,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_near_duplicates": op4_near_duplicates,
+        "op5_fingerprints": op5_fingerprints,
         "op8_quality_rules": op8_quality_rules,
         "op9_kd_sharding": op9_kd_sharding,
         "op10_source_mixing": op10_source_mixing,
