@@ -10,8 +10,10 @@ from tidewater.llm.fingerprints import edited_likeness
 from tidewater.llm.mixing import mix
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import pack_documents
+from tidewater.llm.quality_model import quality
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.sharding import kd_shards
+from tidewater.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -38,6 +44,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -59,9 +69,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
+        "op7_quality_model": op7_quality_model,
         "op8_quality_rules": op8_quality_rules,
         "op9_kd_sharding": op9_kd_sharding,
         "op10_source_mixing": op10_source_mixing,
