@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm.fingerprints import edited_likeness
+from tidewater.llm.line_dedup import line_report
 from tidewater.llm.mixing import mix
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import pack_documents
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file() -> str:
     """The public tokenizer of the packing query, installed beside Python's packages."""
     import public_tokenizers
@@ -70,6 +75,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_line_dedup": op2_line_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
