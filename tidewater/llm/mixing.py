@@ -27,6 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2.0
+SEED = 17
 #: Rows that a bucket holds on average; a cut sorts so many rows a source.
 BUCKET_ROWS = 50_000
 #: Share steps until no target is above its cap.  A step settles at least one source, or ends.
@@ -68,12 +69,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: flo
     return filled.select("source", "source_size", "n_rows", target.alias("target"))
 
 
+def _key(docs: DataFrame, text: str, key: str, seed: int) -> Column:
+    """A uniform 64-bit key of a row's id and text; equal rows have equal keys."""
+    return F.xxhash64(F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")), docs[text])
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
     key: str = "doc_id",
     source: str = "source",
-    seed: int = 17,
+    seed: int = SEED,
     weights=WEIGHTS,
     share: float = SHARE,
     epochs: float = EPOCHS,
@@ -90,7 +96,7 @@ def mix(
             F.col(key).alias("doc_id"),
             F.col(source).alias("source"),
             word_count(body).alias("size"),
-            F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), body).alias("_k"),
+            _key(docs, text, key, seed).alias("_k"),
         ),
         "mix",
     )
@@ -139,3 +145,26 @@ def mix(
         F.col("_part").cast("long").alias("last_part"),
         F.col("_k").alias("key"),
     )
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them, with all their columns.
+
+    A document that the cut goes through counts as taken.  Documents without words have no size
+    that a budget could bound: they are taken once for each whole epoch of their source, at least once.
+
+    The rows up to a source's cut are those whose key is at most that of the row at the cut, so the
+    decision needs one short row a source, and texts stay where they are.
+    """
+    found = mix(docs, text, key, source, **options)
+    cut = F.max(F.when(F.col("last_part") > 0, F.col("key")))
+    plan = materialize(
+        found.groupBy(F.col("source").alias("__s")).agg(F.max("whole_epochs").alias("__whole"), cut.alias("__cut")), "mix-cuts"
+    )
+    rows = docs.withColumns(
+        {"__key": _key(docs, text, key, options.get("seed", SEED)), "__size": word_count(F.col(text)), "__source": F.col(source)}
+    ).join(broadcast_if_small(plan), F.col("__source").eqNullSafe(F.col("__s")))
+    times = F.col("__whole") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
+    times = F.when(F.col("__size") == 0, F.greatest(F.col("__whole"), F.lit(1))).otherwise(times)
+    rows = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+    return rows.drop("__s", "__whole", "__cut", "__key", "__size", "__source", "__copy")
