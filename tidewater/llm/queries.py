@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.llm.fingerprints import edited_likeness
+from tidewater.llm.html_extraction import extract
 from tidewater.llm.line_dedup import line_report
 from tidewater.llm.mixing import mix
 from tidewater.llm.near_dedup import near_duplicates
@@ -49,6 +50,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_fingerprints": op5_fingerprints,
+        "op6_html_extraction": op6_html_extraction,
         "op7_quality_model": op7_quality_model,
         "op8_quality_rules": op8_quality_rules,
         "op9_kd_sharding": op9_kd_sharding,
