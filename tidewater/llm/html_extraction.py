@@ -191,7 +191,7 @@ class _Writer:
         return self.r.choice([" | ", " ", " · "]).join(items) if form < 0.85 else "".join(f"<p>{x}</p>" for x in items)
 
     def keep(self, text: str) -> str:
-        self.main.add(" ".join(text.replace("<br>", " ").split()))
+        self.main.add(" ".join(text.replace("<br>", " ").replace("&copy;", "©").split()))
         return text
 
     def noise(self, kind: str) -> str:
@@ -241,12 +241,15 @@ class _Writer:
         title = self.words(1, 12)
         out = a + (f"<h1>{self.keep(title)}</h1>" if r.random() < 0.85 else "")
         unclosed, para = r.random() < 0.2, r.choice(["p"] * 9 + ["div"])
-        if r.random() < 0.08:  # text straight in the container
+        if r.random() < 0.05:  # text straight in the container
             return out + self.keep("<br><br>".join(self.prose(3) for _ in range(r.randint(1, 4)))) + b
         for k in range(r.choice([1, 2, 3, 5, 8, 13, 20])):
             x = r.random()
             if x < 0.80 or k == 0:
-                inner = self.keep(self.prose(r.choice([1, 1, 2, 3, 5, 8])))
+                inner = self.prose(r.choice([1, 1, 2, 3, 5, 8]))
+                if r.random() < 0.12:  # tables as text, lists of names, lines without an end
+                    inner = r.choice([" | ", " · ", " &copy; ", " "]).join(self.words(1, 40).split())
+                inner = self.keep(inner)
                 if r.random() < 0.3:
                     first, _, rest = inner.partition(" ")
                     inner = r.choice([f"<b>{first}</b> {rest}", f'<a href="/{self.word()}">{first}</a> {rest}', f"<b>{inner}<br>", f"<i>{first}</i> {rest}"])
