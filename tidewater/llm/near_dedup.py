@@ -28,11 +28,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.llm.arrow import chunks, column
 from tidewater.llm.components import components
+from tidewater.llm.shingles import _mixed, shingle_sets
 from tidewater.plans.joins import broadcast_if_small
 from tidewater.plans.storage import materialize
 
@@ -40,29 +44,45 @@ PERMUTATIONS = 60
 BAND_ROWS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Pairs whose signatures agree less than this aren't confirmed: over 4.5 deviations below the threshold.
-_ESTIMATE = 0.70
+#: Permutations of the signatures that pairs of step 4 are estimated by, two values each.
+WIDE = 512
+#: Pairs that agree less than this, over all values and over a part of so many, aren't confirmed: both are
+#: more than five deviations below the threshold.
+_ESTIMATE, _ROUGH, _PART = 0.79, 0.67, 128
 _BLOCK = 256
 
-_SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary"
+_SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-    import xxhash
+def _min_max(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Minima, then maxima, of the hashes under each permutation (a multiplication by an odd factor)."""
+    half = (found >> np.uint64(32)).astype(np.uint32)
+    low, high = np.full(len(factors), 2**32 - 1, np.uint32), np.zeros(len(factors), np.uint32)
+    width = max(256, 250_000 // len(factors))
+    for k in range(0, len(half), width):
+        moved = factors * half[k : k + width]
+        np.minimum(low, moved.min(axis=1), out=low)
+        np.maximum(high, moved.max(axis=1), out=high)
+    return np.concatenate((low, high))
+
+
+def _factors(n: int, seed: int) -> np.ndarray:
+    return (np.random.default_rng(seed).integers(1, 2**32, n, dtype=np.uint32) | np.uint32(1))[:, None]
 
-    from tidewater.llm.arrow import chunks, column
-    from tidewater.llm.shingles import _mixed, shingle_sets
 
-    rng = np.random.default_rng(85)
-    factors = (rng.integers(1, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))[:, None]
+def _bytes(signature: np.ndarray) -> np.ndarray:
+    """One byte of each value, enough to tell apart all but 1 in 256."""
+    return _mixed(signature.astype(np.uint64)).astype(np.uint8)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    factors, rng = _factors(PERMUTATIONS, 85), np.random.default_rng(24)
     order = rng.permutation(2 * PERMUTATIONS)
     n_bands = 2 * PERMUTATIONS // BAND_ROWS
     steps = rng.integers(1, 2**63, BAND_ROWS, dtype=np.uint64) | np.uint64(1)
     band = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    width = 4096
     for batch in chunks(batches):
-        ids, n, hi, lo, bands, sigs = column(batch, "doc_id"), [], [], [], [], []
+        n, hi, lo, bands = [], [], [], []
         for found in shingle_sets(column(batch, "text")):
             n.append(len(found))
             digest = xxhash.xxh3_128_digest(found.tobytes())
@@ -70,43 +90,28 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo.append(int.from_bytes(digest[8:], "little", signed=True))
             if not len(found):
                 bands.append(None)
-                sigs.append(None)
                 continue
-            half = (found >> np.uint64(32)).astype(np.uint32)
-            low, high = np.full(PERMUTATIONS, 2**32 - 1, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
-            for k in range(0, len(half), width):
-                moved = factors * half[k : k + width]
-                np.minimum(low, moved.min(axis=1), out=low)
-                np.maximum(high, moved.max(axis=1), out=high)
-            sig = np.concatenate((low, high))[order]
             h = band.copy()
-            for k, part in enumerate(sig.reshape(n_bands, BAND_ROWS).T):
+            for k, part in enumerate(_min_max(found, factors)[order].reshape(n_bands, BAND_ROWS).T):
                 h = _mixed(h + part.astype(np.uint64) * steps[k])
             bands.append(h.astype(np.int64))
-            sigs.append(_mixed(sig.astype(np.uint64)).astype(np.uint8).tobytes())
+        longs = [pa.array(c, pa.int64()) for c in (n, hi, lo)]
         yield pa.RecordBatch.from_arrays(
-            [
-                ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-                pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
-            ],
-            names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sig"],
+            [column(batch, "doc_id"), *longs, pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from tidewater.llm.arrow import chunks, column
-    from tidewater.llm.shingles import shingle_sets
-
+    factors = _factors(WIDE, 512)
     for batch in chunks(batches, most=1_000_000):
-        found = [s.tobytes() for s in shingle_sets(column(batch, "text"))]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found, pa.binary())], names=["id", "set"])
+        found = list(shingle_sets(column(batch, "text")))
+        wide = [_bytes(_min_max(s, factors)).tobytes() for s in found]
+        binary = [pa.array(c, pa.binary()) for c in ([s.tobytes() for s in found], wide)]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *binary], names=["id", "set", "wide"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
-    from tidewater.llm.arrow import column
-
     for batch in batches:
         keep = []
         for a, b in zip(column(batch, "set_a"), column(batch, "set_b")):
@@ -125,13 +130,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(group: pd.DataFrame) -> pd.DataFrame:
     """Pairs of one bucket's blocks that are in different components and may reach the threshold.
 
-    A pair is given out in the first band it shares only, so each comes once.
+    A pair is given out in the first band it shares only, so each comes once.  A part of the
+    signature rules out most pairs before the whole of it is compared.
     """
-    import numpy as np
-
     group = group.drop_duplicates("id")
     ids, comp, size = (group[c].to_numpy() for c in ("id", "component", "n_shingles"))
-    sig = np.array([np.frombuffer(s, np.uint8) for s in group["sig"]])
+    sig = np.array([np.frombuffer(s, np.uint8) for s in group["wide"]])
+    part = np.ascontiguousarray(sig[:, :: 2 * WIDE // _PART])
     bands = np.stack(group["bands"].to_list())
     block = group["block"].to_numpy()
     here = int(np.argmax(bands[0] == group["key"].iat[0]))
@@ -143,8 +148,9 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
         if not one_block:
             ok &= block[rest] != block[k]
         ok = np.flatnonzero(ok) + k + 1
-        ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= _ESTIMATE]
+        ok = ok[(part[ok] == part[k]).mean(axis=1) >= _ROUGH]
         ok = ok[np.argmax(bands[ok] == bands[k], axis=1) == here] if len(ok) else ok
+        ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= _ESTIMATE]
         out += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in ok]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -159,17 +165,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     own = F.col("doc_id") == F.col("class_id")
     members = materialize(
         sketches.join(classes, ["set_hi", "set_lo"], "left").select(
-            "doc_id", "n_shingles", "class_id", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig")
+            "doc_id", "n_shingles", "class_id", F.when(own, F.col("bands")).alias("bands")
         ),
         "members",
     )
-    reps = members.where("bands is not null").select(F.col("class_id").alias("id"), "n_shingles", "bands", "sig")
+    reps = members.where("bands is not null").select(F.col("class_id").alias("id"), "n_shingles", "bands")
     keys = reps.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     buckets = materialize(keys.join(shared.select("key", "first"), "key"), "buckets")
 
     ids = materialize(buckets.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    sets = materialize(slim.join(broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
+    sets = materialize(slim.join(broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary, wide binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
@@ -186,13 +192,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
         .where("x < y").select("key", "blocks")
     )
-    left = placed.join(open_keys, "key").join(reps, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    left = placed.join(open_keys, "key").join(reps, "id").join(sets.select("id", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "id", "component", "n_shingles", "sig", "bands",
+        "block", "id", "component", "n_shingles", "wide", "bands",
     )
-    across = left.groupBy("key", "low", "high").applyInPandas(_across, "a long, b long")
+    # Comparing is work, not bytes: a number of partitions that Spark doesn't lower by size.
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = left.repartition(tasks, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(_across, "a long, b long")
     more = materialize(confirm(across.distinct()), "cross-links")
     joined = materialize(components(links.union(more)), "components")
 
