@@ -38,15 +38,26 @@ class Block(NamedTuple):
     text: str
     tags: tuple[str, ...]  # from the root to the block
     words: frozenset[str]  # of class, id and role attributes of these
+    near: frozenset[str]  # of the innermost of them that has any
     link_chars: int
     parent: int  # number of the element that the block is in
 
 
+class _Open(NamedTuple):
+    tag: str
+    words: frozenset[str]
+    near: frozenset[str]
+    number: int
+
+
+_ROOT = _Open("", frozenset(), frozenset(), 0)
+
+
 def blocks(page: str | None) -> list[Block]:
     """All blocks of a page that have text, in order; none for null or without text."""
     out: list[Block] = []
     page = page or ""
-    stack: list[tuple[str, frozenset[str], int]] = []  # tag, words so far, number
+    stack: list[_Open] = []
     parts: list[str] = []
     links = link_chars = number = 0
 
@@ -55,22 +66,23 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tags = tuple(t for t, _, _ in stack if t not in INLINE)
-                out.append(Block(text, tags, stack[-1][1] if stack else frozenset(), min(link_chars, len(text)), _holder(stack)))
+                top = stack[-1] if stack else _ROOT
+                tags = tuple(e.tag for e in stack if e.tag not in INLINE)
+                out.append(Block(text, tags, top.words, top.near, min(link_chars, len(text)), _holder(stack)))
             parts.clear()
         link_chars = 0
 
     def close(k: int) -> None:
         nonlocal links
-        for t, _, _ in stack[k:]:
-            links -= t == "a"
+        for e in stack[k:]:
+            links -= e.tag == "a"
         del stack[k:]
 
     def last(tags: set[str], bounds: set[str]) -> int:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+            if stack[k].tag in tags:
                 return k
-            if stack[k][0] in bounds:
+            if stack[k].tag in bounds:
                 break
         return -1
 
@@ -111,11 +123,9 @@ def blocks(page: str | None) -> list[Block]:
         if tag in _VOID or (m[4] or "").endswith("/"):
             continue
         number += 1
-        words = stack[-1][1] if stack else frozenset()
-        if "=" in m[4]:
-            named = {w.lower() for g in _NAMED.findall(m[4]) for w in _WORD.findall(" ".join(g))}
-            words = words | named if named else words
-        stack.append((tag, words, number))
+        top = stack[-1] if stack else _ROOT
+        named = frozenset(w.lower() for g in _NAMED.findall(m[4]) for w in _WORD.findall(" ".join(g))) if "=" in m[4] else None
+        stack.append(_Open(tag, top.words | named, named, number) if named else _Open(tag, top.words, top.near, number))
         links += tag == "a"
     tail = page[at:]
     if tail:
@@ -124,7 +134,7 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def _holder(stack: list[tuple[str, frozenset[str], int]]) -> int:
+def _holder(stack: list[_Open]) -> int:
     """The element around the innermost block element, so that paragraphs of one parent share it."""
-    numbers = [n for t, _, n in stack if t not in INLINE]
+    numbers = [e.number for e in stack if e.tag not in INLINE]
     return numbers[-2] if len(numbers) > 1 else 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.html_blocks import Block, blocks
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 600
 _EPOCHS, _RATE, _PENALTY = 10, 0.25, 1e-5
 
 
@@ -44,6 +44,7 @@ def block_features(page: Sequence[Block]) -> list[list[str]]:
         own = ["bias", f"leaf={b.tags[-1] if b.tags else ''}", f"words={min(9, int(math.log2(words)))}"]
         own += [f"tag={t}" for t in set(b.tags)]
         own += [f"name={w}" for w in b.words]
+        own += [f"near={w}" for w in b.near]
         own.append("links=" + ("none" if share == 0 else "few" if share < 0.4 else "many" if share < 0.9 else "all"))
         if b.text[-1] in ".!?…\"”":
             own.append("ends")
@@ -245,7 +246,7 @@ class _Writer:
             return out + self.keep("<br><br>".join(self.prose(3) for _ in range(r.randint(1, 4)))) + b
         for k in range(r.choice([1, 2, 3, 5, 8, 13, 20])):
             x = r.random()
-            if x < 0.80 or k == 0:
+            if x < 0.76 or k == 0:
                 inner = self.prose(r.choice([1, 1, 2, 3, 5, 8]))
                 if r.random() < 0.12:  # tables as text, lists of names, lines without an end
                     inner = r.choice([" | ", " · ", " &copy; ", " "]).join(self.words(1, 40).split())
@@ -254,13 +255,13 @@ class _Writer:
                     first, _, rest = inner.partition(" ")
                     inner = r.choice([f"<b>{first}</b> {rest}", f'<a href="/{self.word()}">{first}</a> {rest}', f"<b>{inner}<br>", f"<i>{first}</i> {rest}"])
                 out += f"<{para}>{inner}" + ("" if unclosed and para == "p" else f"</{para}>")
-            elif x < 0.86:
+            elif x < 0.83:
                 tag = r.choice(["h2", "h3"])
                 out += f"<{tag}>{self.keep(self.words(1, 7))}</{tag}>"
-            elif x < 0.90:
+            elif x < 0.88:
                 tag = r.choice(["ul", "ol"])
                 out += f"<{tag}>" + "".join(f"<li>{self.keep(self.prose(1))}</li>" for _ in range(r.randint(2, 5))) + f"</{tag}>"
-            elif x < 0.93:
+            elif x < 0.91:
                 out += f"<blockquote>{self.keep(self.prose(2))}</blockquote>"
             else:
                 out += self.noise(r.choice(["ad", "ad", "side", "share", "form", "notice"]))
