@@ -94,14 +94,14 @@ class _Others:
 
     def best_pair(self, most: int) -> tuple[int, int]:
         """Two items (a >= b) with the largest sum of at most ``most``; (0, 0) if none."""
-        live, best = self.i.live, (0, 0)
-        low, high = 0, bisect_right(live, most) - 1
+        live, best = [s for s in self.i.live[: bisect_right(self.i.live, most)] if self.count(s) > 0], (0, 0)
+        low, high = 0, len(live) - 1
         while low <= high:
             a, b = live[high], live[low]
             if a + b > most:
                 high -= 1
                 continue
-            if self.count(a) > (a == b) and self.count(b) > 0 and a + b > sum(best):
+            if (a != b or self.count(a) > 1) and a + b > sum(best):
                 best = (a, b)
             low += 1
         return best
