@@ -53,15 +53,21 @@ _LOOK_ALIKE = str.maketrans(
 )
 #: Signs that stand for letters inside words.
 _SIGNS = str.maketrans("013457@$!|", "oieastasil")
-_INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]")
 _WIDE = str.maketrans({c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)})
-_FOREIGN = re.compile("[ıɑɡͰ-ӿԀ-ԯ！-～]")
+_FOREIGN = re.compile("[\u0131\u0251\u0261\u0370-\u03ff\u0400-\u052f\uff01-\uff5e]")
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*·]){2,}[^\W\d_](?!\w)")
 _SIGNED = re.compile(r"[@$]?[^\W_]+(?:[@$!|]+[^\W_]+)*")
 _HAS_SIGN = re.compile(r"[013457@$]")
 _GAP = re.compile(r"[\W_]+")
 
 
+def _latin(match: re.Match) -> str:
+    """A word with its look-alikes replaced, unless letters of another script are left: then it is a word of that script."""
+    word = match[0].translate(_LOOK_ALIKE)
+    return match[0] if _FOREIGN.search(word) else word
+
+
 def _plain(match: re.Match) -> str:
     word = match[0]
     if not _HAS_SIGN.search(word) and "!" not in word and "|" not in word:
@@ -76,8 +82,7 @@ def fold(text: str) -> str:
         text = _INVISIBLE.sub("", text)
         if _FOREIGN.search(text):
             text = text.translate(_WIDE)
-            # A text that is in another script as a whole is left as it is, apart from words with Latin letters.
-            text = re.sub(r"[^\W\d_]+", lambda m: m[0].translate(_LOOK_ALIKE), text)
+            text = re.sub(r"[^\W\d_]+", _latin, text)
     text = _SPELLED.sub(lambda m: re.sub(r"[.\-_*·]", "", m[0]), text.lower())
     if _HAS_SIGN.search(text) or "!" in text or "|" in text:
         text = _SIGNED.sub(_plain, text)
