@@ -22,6 +22,8 @@ def columns_kept(out, docs):
 class TestLineDedup:
     @staticmethod
     def brute(docs, min_docs, similarity):
+        least = lambda tokens: line_dedup.LONG_MIN_DOCS if len(tokens) >= line_dedup.LONG else min_docs
+
         texts = collections.defaultdict(list)
         for i, t in docs:
             if t is not None:
@@ -38,20 +40,21 @@ class TestLineDedup:
             by = collections.defaultdict(set)
             for (t, _), k in keys.items():
                 by[k].add(t)
-            return {k: min(v, key=first.__getitem__) for k, v in by.items() if len(v) >= min_docs}
+            tokens = lambda k: k[1] if isinstance(k[0], tuple) else k
+            return {k: min(v, key=first.__getitem__) for k, v in by.items() if len(v) >= least(tokens(k))}
 
         exact = recurring(lines)
         leaf = {k: (len(v), v[: line_dedup.DEPTH]) for k, v in lines.items()}
         busy = collections.defaultdict(set)
         for (t, n), k in leaf.items():
             busy[k].add(t)
-        left = {k: v for k, v in lines.items() if len(busy[leaf[k]]) >= min_docs and v not in exact}
+        left = {k: v for k, v in lines.items() if len(busy[leaf[k]]) >= least(v) and v not in exact}
         seen = collections.defaultdict(set)
         for k, v in left.items():
             for p, w in enumerate(v):
                 if w != "<*>":
                     seen[leaf[k], p, w].add(k[0])
-        constant = {k for k, v in seen.items() if len(v) >= min_docs and len(v) >= 0.1 * len(busy[k[0]])}
+        constant = {k for k, v in seen.items() if len(v) >= least(range(k[0][0])) and len(v) >= 0.1 * len(busy[k[0]])}
         masked = {}
         for k, v in left.items():
             m = tuple(w if (leaf[k], p, w) in constant else "<*>" for p, w in enumerate(v))
@@ -91,6 +94,14 @@ class TestLineDedup:
         df = spark.createDataFrame([(i, "one line here\nand another there") for i in range(50)], "doc_id long, text string")
         assert {r["text"] for r in line_dedup.drop_recurring_lines(df).collect()} == {"one line here\nand another there"}
 
+    def test_long_passages_need_fewer_texts(self, spark):
+        passage = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+        rows = [(i, f"own words {'abc'[i]}\n{passage}\nshort one") for i in range(3)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        self.check(df)
+        got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(df).collect()}
+        assert got == {0: rows[0][1], 1: "own words b\nshort one", 2: "own words c\nshort one"}
+
     def test_odd_rows(self, odd_docs, no_docs):
         self.check(odd_docs)
         self.check(odd_docs, min_docs=2)

@@ -5,11 +5,12 @@ where a token with a digit counts as the wildcard ``<*>``.  Below that:
 
 * lines with the same tokens, digits masked, have one template;
 * among the lines of a leaf, a token is constant at its position if it occurs there in
-  at least ``min_docs`` documents and in a tenth of the leaf's; the other tokens are
+  as many documents as make a template and in a tenth of the leaf's; the other tokens are
   variable fields.  Lines that agree in the constant tokens, and have at least
   ``similarity`` of their tokens constant, have one template.
 
-A template that occurs in ``min_docs`` different texts is recurring, and its lines
+A template that occurs in ``min_docs`` different texts is recurring - one of ``LONG``
+tokens or more, which no two texts have by chance, in ``long_min_docs`` - and its lines
 are dropped, but for those of the text in which it comes first (smallest id, then
 smallest text hash).  Copies of one text count once, so a document that is merely
 copied keeps its lines; deciding between copies is left to document dedup.
@@ -31,6 +32,7 @@ from tidewater.plans.storage import materialize
 
 DEPTH = 2
 MIN_DOCS = 8
+LONG, LONG_MIN_DOCS = 50, 3
 SIMILARITY = 0.7
 WILDCARD = "<*>"
 #: Share of a leaf's texts in which a token must stand at its place to be constant there.
@@ -46,8 +48,8 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
 
 
-def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """A row for each line that isn't blank: id, text hash, line number, leaf, and the hash of the masked tokens."""
+def _lines(docs: DataFrame, text: str, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
+    """A row for each line that isn't blank: id, text hash, line number, leaf, hash of the masked tokens, texts needed."""
     df = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     df = df.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_n", "_line"))
     df = df.select("_id", "_h", "_n", _tokens(F.col("_line")).alias("_raw")).where(F.size("_raw") > 0)
@@ -55,55 +57,61 @@ def _lines(docs: DataFrame, text: str, key: str) -> DataFrame:
     joined = F.array_join("_raw", " ")
     df = df.select("_id", "_h", "_n", F.when(joined.rlike("[0-9]"), _masked(F.col("_raw"))).otherwise(F.col("_raw")).alias("_tok"))
     leaf = F.xxhash64(F.size("_tok"), F.slice("_tok", 1, DEPTH))
-    return df.select("_id", "_h", "_n", leaf.alias("_leaf"), F.xxhash64("_tok").alias("_full"), "_tok")
+    need = F.when(F.size("_tok") >= LONG, long_min_docs).otherwise(min_docs)
+    return df.select("_id", "_h", "_n", leaf.alias("_leaf"), F.xxhash64("_tok").alias("_full"), need.alias("_min"), "_tok")
 
 
-def _recurring(rows: DataFrame, template: str, min_docs: int) -> DataFrame:
-    """Templates of at least ``min_docs`` texts, and the hash of the text that keeps its lines."""
-    by_text = rows.groupBy(template, "_h").agg(F.min("_id").alias("_id"))
+def _recurring(rows: DataFrame, template: str) -> DataFrame:
+    """Templates of at least ``_min`` texts, and the hash of the text that keeps its lines."""
+    by_text = rows.groupBy(template, "_h").agg(F.min("_id").alias("_id"), F.min("_min").alias("_min"))
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_h")))
     return (
-        by_text.groupBy(template).agg(F.count(F.lit(1)).alias("_docs"), first["_h"].alias("_keeper"))
-        .where(F.col("_docs") >= min_docs)
+        by_text.groupBy(template).agg(F.count(F.lit(1)).alias("_docs"), first["_h"].alias("_keeper"), F.min("_min").alias("_min"))
+        .where("_docs >= _min").select(template, "_keeper")
     )
 
 
 def recurring_lines(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    min_docs: int = MIN_DOCS,
+    long_min_docs: int = LONG_MIN_DOCS,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """``_id, _h, drop``: for each text that loses lines, the numbers of these lines."""
-    lines = _lines(docs, text, key)
+    lines = _lines(docs, text, key, min_docs, long_min_docs)
     slim = materialize(lines.drop("_tok"), "lines")
-    exact = materialize(_recurring(slim, "_full", min_docs), "templates")
-    leaves = slim.groupBy("_leaf", "_h").agg(F.count(F.lit(1)).alias("_c")).groupBy("_leaf").agg(
-        F.count(F.lit(1)).alias("_docs"), F.max("_c").alias("_most")
+    exact = materialize(_recurring(slim, "_full"), "templates")
+    leaves = slim.groupBy("_leaf", "_h").agg(F.min("_min").alias("_min")).groupBy("_leaf").agg(
+        F.count(F.lit(1)).alias("_docs"), F.min("_min").alias("_min")
     )
-    leaves = materialize(leaves.where(F.col("_docs") >= min_docs).select("_leaf", "_docs"), "leaves")
+    leaves = materialize(leaves.where("_docs >= _min").select("_leaf", "_docs"), "leaves")
 
     # Lines of busy leaves without an exact template: find constant tokens, mask the rest, count again.
     open_lines = lines.join(broadcast_if_small(leaves), "_leaf").join(
         broadcast_if_small(exact.select("_full")), "_full", "left_anti"
     )
     open_lines = materialize(open_lines, "open-lines")
-    at = open_lines.select("_leaf", "_docs", "_h", F.posexplode("_tok").alias("_p", "_w")).where(F.col("_w") != WILDCARD)
+    at = open_lines.select("_leaf", "_docs", "_min", "_h", F.posexplode("_tok").alias("_p", "_w")).where(F.col("_w") != WILDCARD)
     constant = (
-        at.groupBy("_leaf", "_p", "_w", "_h").agg(F.first("_docs").alias("_docs"))
-        .groupBy("_leaf", "_p", "_w").agg(F.count(F.lit(1)).alias("_c"), F.first("_docs").alias("_docs"))
-        .where((F.col("_c") >= min_docs) & (F.col("_c") >= _CONSTANT * F.col("_docs")))
+        at.groupBy("_leaf", "_p", "_w", "_h").agg(F.min("_docs").alias("_docs"), F.min("_min").alias("_min"))
+        .groupBy("_leaf", "_p", "_w").agg(F.count(F.lit(1)).alias("_c"), F.min("_docs").alias("_docs"), F.min("_min").alias("_min"))
+        .where((F.col("_c") >= F.col("_min")) & (F.col("_c") >= _CONSTANT * F.col("_docs")))
         # At most 1 / _CONSTANT tokens at each position of a leaf.
         .groupBy("_leaf").agg(F.collect_set(F.struct("_p", "_w")).alias("_constant"))
     )
     masked = open_lines.join(constant, "_leaf").select(
-        "_id", "_h", "_n", "_leaf",
+        "_id", "_h", "_n", "_leaf", "_min",
         F.transform(
             "_tok",
             lambda t, i: F.when(F.array_contains("_constant", F.struct(i.alias("_p"), t.alias("_w"))), t).otherwise(WILDCARD),
         ).alias("_tok"),
     )
     fixed = F.size(F.filter("_tok", lambda t: t != WILDCARD)) / F.size("_tok")
-    masked = masked.where(fixed >= similarity).select("_id", "_h", "_n", F.xxhash64("_leaf", "_tok").alias("_mask"))
+    masked = masked.where(fixed >= similarity).select("_id", "_h", "_n", "_min", F.xxhash64("_leaf", "_tok").alias("_mask"))
     masked = materialize(masked, "masked-lines")
-    general = _recurring(masked, "_mask", min_docs)
+    general = _recurring(masked, "_mask")
 
     gone = [
         rows.join(broadcast_if_small(found), template).where(F.col("_h") != F.col("_keeper")).select("_id", "_h", "_n")
