@@ -13,7 +13,9 @@ from typing import NamedTuple
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|noscript|iframe|title|head|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z",
+    # A quote only counts after an equals sign; possessive and bounded, so that no page makes the search go back.
+    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]{0,5000}\"|=\s*'[^']{0,5000}'|=|[^>=]+){0,200}+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|</?[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -94,7 +96,7 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 link_chars += len(piece.strip())
         at = m.end()
-        tag = m[3]
+        ends, tag, attributes = m.group(2, 3, 4) if m[3] else m.group(5, 6, 7)
         if tag is None:
             if m[1]:
                 if m[1].lower() not in ("template", "svg", "noscript", "iframe", "textarea", "select"):
@@ -106,7 +108,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if m[2]:
+        if ends:
             k = last({tag}, set())
             if k >= 0 or tag not in INLINE:
                 if tag not in INLINE:
@@ -120,11 +122,11 @@ def blocks(page: str | None) -> list[Block]:
                 close(k)
             if tag in _CLOSES and (k := last(*_CLOSES[tag])) >= 0:
                 close(k)
-        if tag in _VOID or (m[4] or "").endswith("/"):
+        if tag in _VOID or attributes.endswith("/"):
             continue
         number += 1
         top = stack[-1] if stack else _ROOT
-        named = frozenset(w.lower() for g in _NAMED.findall(m[4]) for w in _WORD.findall(" ".join(g))) if "=" in m[4] else None
+        named = frozenset(w.lower() for g in _NAMED.findall(attributes) for w in _WORD.findall(" ".join(g))) if "=" in attributes else None
         stack.append(_Open(tag, top.words | named, named, number) if named else _Open(tag, top.words, top.near, number))
         links += tag == "a"
     tail = page[at:]
