@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -33,6 +34,16 @@ def test_query_covers_its_table(spark, sf_dir, name):
     assert name.startswith("op3") or len(got) == table.count()
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_says_what_its_sql_says(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    out = queries.queries()[name](spark, sf_dir)
+    columns = sorted(out.columns)
+    rows = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(rows) == sorted(tuple(r) for r in out.select(*columns).collect())
+
+
 def test_stages(spark, sf_dir, docs):
     given = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -186,6 +186,9 @@ class TestHtml:
         assert not any("var x" in t or t == "T" for t in texts)
         assert html_blocks.blocks(None) == html_blocks.blocks("") == html_blocks.blocks("<div> </div>") == []
         assert [b.text for b in html_blocks.blocks("<p>a<br>b<p>c &lt;x&gt; <a hre")] == ["a b", "c <x>"]
+        odd = "<p class=it's>one</p><p title=\"a>b\">two</p><a href='x>three <b>four</b> <p>five"
+        assert [b.text for b in html_blocks.blocks(odd)] == ["one", "two", "three four", "five"]
+        assert html_blocks.blocks('<div id="top"><p class = "ad x">q</div>')[0].near == {"ad", "x"}
         assert html_blocks.blocks("<ul><li>x<li>y</ul>")[1].tags == ("ul", "li")
 
     def test_decoding_is_the_best_of_all_labellings(self):
