@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at a time; what a task holds beyond its batch grows with this, not with the data.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
+#: Bytes of a batch between Spark and a Python worker; Spark's own limit is 64 MB, which each side holds more than once.
+BATCH_BYTES = 4_000_000
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of a batch to ``BATCH_BYTES``, so a task's memory doesn't depend on row lengths."""
+    now = spark.conf.get(_SETTING, None)
+    if now is not None and now != str(BATCH_BYTES):
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -23,6 +40,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             size += n or 0
         if len(sizes) > start:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidewater.llm.arrow import chunks, column, map_arrow
+
 BUCKETS = 1024
 _LENGTH_STEP = 1.1
 _LENGTH_CAP, _LENGTH_WEIGHT = 32, 6
@@ -67,14 +69,12 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """``doc_id, fingerprint`` (lowercase hex) of each whole text; needs no exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         for batch in chunks(batches):
             made = [d.hex() for d in digests(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fingerprint string")
+    return map_arrow(slim, run, "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -93,8 +93,6 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     heads = sorted({size["low"], *map(int, cuts)}) if size["n"] else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         starts, places = np.array(heads, np.int64), {v: k for k, v in enumerate(heads)}
         for batch in chunks(batches):
             ids, texts = column(batch, "doc_id"), column(batch, "text")
@@ -113,7 +111,7 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
                 names=["doc_id", "text", "digest", "range", "copy"],
             )
 
-    rows = slim.mapInArrow(run, "doc_id long, text string, digest binary, range long, copy boolean")
+    rows = map_arrow(slim, run, "doc_id long, text string, digest binary, range long, copy boolean")
     order = W.partitionBy("range").orderBy("copy", "doc_id", F.xxhash64("text"))
     return (
         rows.withColumn("next_text", F.lead("text").over(order))
@@ -136,8 +134,6 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows = rows.select("doc_id", "n_chars", "digest", "next_digest", "edited", F.sha2("edited", 256).alias("edited_sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         for batch in chunks(batches, "edited"):
             own, after, edits = (column(batch, c).to_pylist() for c in ("digest", "next_digest", "edited"))
             made = [None if t is None else d for t, d in zip(edits, digests(column(batch, "edited")))]
@@ -153,7 +149,8 @@ def edited_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return rows.mapInArrow(
+    return map_arrow(
+        rows,
         run,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.html_blocks import Block, blocks
 
 TRAINING_PAGES = 600
@@ -303,8 +304,6 @@ def extract(pages: DataFrame, field: Field | None = None, html: str = "html", ke
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         for batch in chunks(batches, "__html"):
             texts = []
             for page in column(batch, "__html").to_pylist():
@@ -315,4 +314,4 @@ def extract(pages: DataFrame, field: Field | None = None, html: str = "html", ke
                 [*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keys, "text", "n_chars"]
             )
 
-    return slim.mapInArrow(run, f"{schema}, text string, n_chars long")
+    return map_arrow(slim, run, f"{schema}, text string, n_chars long")

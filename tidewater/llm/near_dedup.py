@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.llm.arrow import chunks, column
+from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.components import components
 from tidewater.llm.shingles import _mixed, shingle_sets
 from tidewater.plans.joins import broadcast_if_small
@@ -158,7 +158,7 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept`` for each row."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = materialize(slim.mapInArrow(_sketches, _SKETCH), "sketches")
+    sketches = materialize(map_arrow(slim, _sketches, _SKETCH), "sketches")
     classes = (
         sketches.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("class_id"))
     )
@@ -175,11 +175,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     buckets = materialize(keys.join(shared.select("key", "first"), "key"), "buckets")
 
     ids = materialize(buckets.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    sets = materialize(slim.join(broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, set binary, wide binary"), "sets")
+    sets = materialize(map_arrow(slim.join(broadcast_if_small(ids), "doc_id", "left_semi"), _sets, "id long, set binary, wide binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_confirmed, "a long, b long")
+        return map_arrow(pairs.join(a, "a").join(b, "b"), _confirmed, "a long, b long")
 
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(confirm(stars), "star-links")

@@ -30,6 +30,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.tokens import piece_encoder
 from tidewater.plans.joins import broadcast_if_small
 from tidewater.plans.storage import materialize
@@ -211,8 +212,6 @@ def token_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        from tidewater.llm.arrow import chunks, column
-
         encode = piece_encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
         for batch in chunks(batches):
@@ -229,7 +228,7 @@ def token_pieces(
             )
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(pieces, PIECE)
+    return map_arrow(slim, pieces, PIECE)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.labelled import held_out, labelled_sample
 
 #: Labelled documents of each class that are read at most for learning.
@@ -142,8 +143,6 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
     sample = labelled_sample(docs, labels, "quality", per_class, **names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         for batch in chunks(batches):
             found = list(features(column(batch, "text")))
             yield pa.RecordBatch.from_arrays(
@@ -160,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
         return pd.DataFrame({"model": [fit(found, group["label"].to_numpy(np.float64)).dump()]})
 
     spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
-    made = spread.mapInArrow(rows, "words array<long>, stats array<double>, label int")
+    made = map_arrow(spread, rows, "words array<long>, stats array<double>, label int")
     one = made.groupBy().applyInPandas(train, "model binary").collect()  # 2 * per_class rows at most
     return bytes(one[0]["model"]) if one else Machine(0.0, *(lambda m: (m.weights, m.vectors * 0))(Machine.new())).dump()
 
@@ -169,15 +168,13 @@ def score(docs: DataFrame, model: bytes, text: str = "text", key: str = "doc_id"
     """``doc_id, score`` of each whole text; no exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         machine = Machine.load(model)
         for batch in chunks(batches):
             scores = [machine.score(*f) for f in features(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, score double")
+    return map_arrow(slim, run, "doc_id long, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **names: str) -> DataFrame:

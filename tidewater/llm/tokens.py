@@ -9,6 +9,7 @@ pattern are plain to state; any other text goes to the tokenizer whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -22,11 +23,13 @@ _SPACE = "\t-\r \u00a0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 #: Characters that send a text to the tokenizer whole: U+0085, the dotted capital I, all from U+0180.
 _OTHER = re.compile("[^\u0000-\u0084\u0086-\u012f\u0131-\u017f]|<\\|")
-_CACHE = 400_000
+#: Pieces kept in a Python worker.
+_CACHE = 200_000
 
 
+@functools.lru_cache(maxsize=1)
 def piece_encoder(path: str) -> Callable[[Iterable[str | None]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit integers."""
+    """A function from texts to their ids as little-endian unsigned 32-bit integers; one for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 

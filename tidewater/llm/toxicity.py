@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewater.llm.arrow import bound_batches, chunks, column, map_arrow
 from tidewater.llm.labelled import held_out, labelled_sample
 
 #: Labelled documents of each class that are read at most for learning.
@@ -134,8 +135,6 @@ class Matcher:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and word beginnings of a partition of the sample: documents and places by class."""
-    from tidewater.llm.arrow import column
-
     docs: tuple[Counter, Counter] = (Counter(), Counter())
     places: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
@@ -173,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
         return Model(tuple(base.items()))
     least = max(_LEAST, math.ceil(0.012 * n1))
     spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
-    counted = spread.mapInArrow(_features, "term string, n0 long, n1 long, c0 long, c1 long").groupBy("term").agg(
+    counted = map_arrow(spread, _features, "term string, n0 long, n1 long, c0 long, c1 long").groupBy("term").agg(
         *(F.sum(c).alias(c) for c in ("n0", "n1", "c0", "c1"))
     )
     places = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).collect()}
@@ -189,8 +188,6 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Two-word phrases that hold a term, with the class of their document."""
-        from tidewater.llm.arrow import column
-
         match = Matcher(model)
         for batch in batches:
             phrases, own = [], []
@@ -206,15 +203,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(own, pa.int32())], names=["phrase", "label"])
 
     phrases = (
-        spread.mapInArrow(around, "phrase string, label int").groupBy("phrase")
+        map_arrow(spread, around, "phrase string, label int").groupBy("phrase")
         .agg(F.sum("label").alias("n1"), F.count(F.lit(1)).alias("n"))
         .where("n1 = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(_TERMS).collect()
     )
     model = Model(model.terms, (*BASE_EXCEPTIONS, *(r["phrase"] for r in phrases)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import column
-
         match = Matcher(model)
         for batch in batches:
             pairs = [match.measures(t) for t in column(batch, "text").to_pylist()]
@@ -223,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
                 names=["x", "y", "label"],
             )
 
-    points = spread.mapInArrow(measured, "x double, y double, label int").collect()  # 2 * per_class rows at most
+    points = map_arrow(spread, measured, "x double, y double, label int").collect()  # 2 * per_class rows at most
     return Model(model.terms, model.exceptions, _curve(np.array(sorted(map(tuple, points)), float)))
 
 
@@ -248,15 +243,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """``doc_id, score`` of each whole text; no exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tidewater.llm.arrow import chunks, column
-
         match = Matcher(model)
         for batch in chunks(batches):
             scores = [match.score(t or "") for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, score double")
+    return map_arrow(slim, run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
@@ -269,6 +262,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below the threshold; scored in one pass, in place."""
     model = learn(docs, labels, text=text, key=key)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def of(column):
