@@ -37,28 +37,26 @@ SIMILARITY = 0.7
 WILDCARD = "<*>"
 #: Share of a leaf's texts in which a token must stand at its place to be constant there.
 _CONSTANT = 0.1
-_SPACE = r"[\x20\x09-\x0D]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda t: t != "")
-
-
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
+def _plain(line: Column) -> Column:
+    """A line's tokens with one space between them; a token with a digit is the wildcard."""
+    line = F.btrim(line, F.lit(_BLANKS))
+    # Most lines have neither odd spaces nor digits, and pay for no replacement.
+    line = F.when(line.rlike("[\t\x0b\x0c\r]|  "), F.regexp_replace(line, "[\t\x0b\x0c\r ]+", " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILDCARD)).otherwise(line)
 
 
 def _lines(docs: DataFrame, text: str, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
-    """A row for each line that isn't blank: id, text hash, line number, leaf, hash of the masked tokens, texts needed."""
+    """A row for each line that isn't blank: id, text hash, line number, leaf, hash of the tokens, texts needed, tokens."""
     df = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     df = df.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_n", "_line"))
-    df = df.select("_id", "_h", "_n", _tokens(F.col("_line")).alias("_raw")).where(F.size("_raw") > 0)
-    # Only lines with a digit anywhere pay for the look at each token.
-    joined = F.array_join("_raw", " ")
-    df = df.select("_id", "_h", "_n", F.when(joined.rlike("[0-9]"), _masked(F.col("_raw"))).otherwise(F.col("_raw")).alias("_tok"))
-    leaf = F.xxhash64(F.size("_tok"), F.slice("_tok", 1, DEPTH))
-    need = F.when(F.size("_tok") >= LONG, long_min_docs).otherwise(min_docs)
-    return df.select("_id", "_h", "_n", leaf.alias("_leaf"), F.xxhash64("_tok").alias("_full"), need.alias("_min"), "_tok")
+    df = df.select("_id", "_h", "_n", _plain(F.col("_line")).alias("_s")).where("_s <> ''")
+    size = F.length("_s") - F.length(F.replace("_s", F.lit(" "), F.lit(""))) + 1
+    leaf = F.xxhash64(size, F.substring_index("_s", " ", DEPTH))
+    need = F.when(size >= LONG, long_min_docs).otherwise(min_docs)
+    return df.select("_id", "_h", "_n", leaf.alias("_leaf"), F.xxhash64("_s").alias("_full"), need.alias("_min"), "_s")
 
 
 def _recurring(rows: DataFrame, template: str) -> DataFrame:
@@ -81,7 +79,7 @@ def recurring_lines(
 ) -> DataFrame:
     """``_id, _h, drop``: for each text that loses lines, the numbers of these lines."""
     lines = _lines(docs, text, key, min_docs, long_min_docs)
-    slim = materialize(lines.drop("_tok"), "lines")
+    slim = materialize(lines.drop("_s"), "lines")
     exact = materialize(_recurring(slim, "_full"), "templates")
     leaves = slim.groupBy("_leaf", "_h").agg(F.min("_min").alias("_min")).groupBy("_leaf").agg(
         F.count(F.lit(1)).alias("_docs"), F.min("_min").alias("_min")
@@ -92,20 +90,27 @@ def recurring_lines(
     open_lines = lines.join(broadcast_if_small(leaves), "_leaf").join(
         broadcast_if_small(exact.select("_full")), "_full", "left_anti"
     )
-    open_lines = materialize(open_lines, "open-lines")
+    open_lines = materialize(open_lines.withColumn("_tok", F.split("_s", " ")).drop("_s"), "open-lines")
     at = open_lines.select("_leaf", "_docs", "_min", "_h", F.posexplode("_tok").alias("_p", "_w")).where(F.col("_w") != WILDCARD)
     constant = (
         at.groupBy("_leaf", "_p", "_w", "_h").agg(F.min("_docs").alias("_docs"), F.min("_min").alias("_min"))
         .groupBy("_leaf", "_p", "_w").agg(F.count(F.lit(1)).alias("_c"), F.min("_docs").alias("_docs"), F.min("_min").alias("_min"))
         .where((F.col("_c") >= F.col("_min")) & (F.col("_c") >= _CONSTANT * F.col("_docs")))
-        # At most 1 / _CONSTANT tokens at each position of a leaf.
-        .groupBy("_leaf").agg(F.collect_set(F.struct("_p", "_w")).alias("_constant"))
+        # At most 1 / _CONSTANT tokens at each position of a leaf, laid out by position.
+        .groupBy("_leaf", "_p").agg(F.collect_set(F.xxhash64("_w")).alias("_ws"))
+        .groupBy("_leaf").agg(F.collect_list(F.struct("_p", "_ws")).alias("_all"), F.max("_p").alias("_last"))
+        .select(
+            "_leaf",
+            F.transform(
+                F.sequence(F.lit(0), F.col("_last")), lambda i: F.get(F.filter("_all", lambda x: x["_p"] == i), F.lit(0))["_ws"]
+            ).alias("_constant"),
+        )
     )
     masked = open_lines.join(constant, "_leaf").select(
         "_id", "_h", "_n", "_leaf", "_min",
         F.transform(
             "_tok",
-            lambda t, i: F.when(F.array_contains("_constant", F.struct(i.alias("_p"), t.alias("_w"))), t).otherwise(WILDCARD),
+            lambda t, i: F.when(F.array_contains(F.get("_constant", i), F.xxhash64(t)), t).otherwise(WILDCARD),
         ).alias("_tok"),
     )
     fixed = F.size(F.filter("_tok", lambda t: t != WILDCARD)) / F.size("_tok")
@@ -120,24 +125,25 @@ def recurring_lines(
     return gone[0].union(gone[1]).groupBy("_id", "_h").agg(F.collect_set("_n").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with all its columns; ``text`` without the lines of recurring templates."""
+def _without(docs: DataFrame, text: str, key: str, **options) -> DataFrame:
+    """``docs`` with ``text`` cut, and the numbers of the lines that went as ``__drop`` (null: none)."""
     found = materialize(recurring_lines(docs, text, key, **options), "dropped-lines")
-    cuts = broadcast_if_small(found.select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("drop").alias("__drop")), 100_000)
+    cuts = found.select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("drop").alias("__drop"))
     match = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
     kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("__drop", i))
     body = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    # Joined by position of the names so that columns of the caller are never ambiguous.
-    return docs.join(cuts, match, "left").withColumn(text, body).drop("__id", "__h", "__drop")
+    return docs.join(cuts, match, "left").withColumn(text, body).drop("__id", "__h")
+
+
+def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with all its columns; ``text`` without the lines of recurring templates."""
+    return _without(docs, text, key, **options).drop("__drop")
 
 
 def line_report(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, text`` for each row: the text without recurring lines, and the counts."""
-    out = drop_recurring_lines(
-        docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_was")),
-        "text", "doc_id", **options,
-    )
-    body = F.coalesce(F.col("text"), F.lit(""))
-    left = F.size(F.split(body, "\n", -1))
-    left = F.when((body == "") & (F.col("_was") > 0), F.when(F.col("text").isNull() | (F.col("_was") == 1), F.col("_was")).otherwise(0)).otherwise(left)
-    return out.select("doc_id", F.col("_was").cast("long").alias("n_lines"), (F.col("_was") - left).cast("long").alias("n_dropped"), "text")
+    """``doc_id, n_lines, n_dropped, text`` for each row: its lines, how many went, and the text without them."""
+    n_lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long")
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), n_lines.alias("n_lines"))
+    out = _without(slim, "text", "doc_id", **options)
+    dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")
+    return out.select("doc_id", "n_lines", dropped.alias("n_dropped"), "text")
