@@ -41,6 +41,8 @@ _SHORTEST, _LONGEST = 4, 8
 #: of them, and tells the classes of documents apart by so much (twice the log-likelihood ratio).
 _RATIO, _LEAST, _EVIDENCE = 8.0, 4, 20.0
 _TERMS = 5_000
+#: Highest margin of a text without a match.
+_NO_MATCH = -1.0
 
 #: General terms of abuse and phrases in which they are harmless.
 BASE_TERMS = ("idiot", "moron", "imbecile", "scum", "loser", "stupid", "pathetic", "worthless", "disgusting", "trash", "clown")
@@ -223,7 +225,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **name
 
 
 def _curve(points: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression on the two measures, classes weighted alike, slopes not negative."""
+    """Logistic regression on the two measures, classes weighted alike, slopes not negative.
+
+    The level is held down, so that a text without any match never counts as toxic.
+    """
     x = np.column_stack((np.ones(len(points)), points[:, 0], np.minimum(points[:, 1], 1.0)))
     y = points[:, 2]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -234,7 +239,7 @@ def _curve(points: np.ndarray) -> tuple[float, float, float]:
         gradient = (x / scale).T @ (share * (p - y)) + 1e-4 * w
         hessian = ((x / scale) * (share * p * (1 - p))[:, None]).T @ (x / scale) + 1e-4 * np.eye(3)
         w -= np.linalg.solve(hessian, gradient)
-        w[1:] = np.maximum(w[1:], 0.0)
+        w[0], w[1:] = min(w[0], _NO_MATCH), np.maximum(w[1:], 0.0)
     a, b, c = (w / scale).tolist()
     return (a, b, c)
 
