@@ -161,6 +161,21 @@ class TestNearDedup:
             rows.append((i, " ".join(words)))
         self.check(spark.createDataFrame(rows, "doc_id long, text string"))
 
+    def test_the_stage_links_from_80_percent(self, spark, sf_dir):
+        import corpus_pipeline
+
+        rows = []
+        for i in range(60):
+            base = [f"d{i}w{k}" for k in range(200)]
+            other = list(base)
+            for k in (20, 60, 100, 140):
+                other[k] = f"d{i}x{k}"
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]  # 176 shingles of 216: 0.815
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = corpus_pipeline.near_dedup(spark, df, sf_dir)
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 120, 2))
+        assert near_dedup.near_duplicates(df).where("kept").count() == 120
+
     def test_odd_rows(self, odd_docs, no_docs):
         self.check(odd_docs)
         assert near_dedup.near_duplicates(no_docs).count() == 0

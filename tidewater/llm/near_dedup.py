@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing with exact confirmation.
 
-Each document's set of word shingles gets, under each of ``PERMUTATIONS`` hash
+Each document's set of word shingles gets, under each of a number of hash
 permutations, its minimum and its maximum: two signature values for one hash
 evaluation, each equal for two sets with probability equal to their similarity.
 Values are cut into bands; sets that agree in a band are candidates.
@@ -15,8 +15,9 @@ Values are cut into bands; sets that agree in a band are candidates.
 5. Components over all links.
 
 So any two classes that share a bucket end in one component if they are linked: the only
-links that can be missed are of sets that share no band, with a chance of
-(1 - 0.85 ** 5) ** 24, below one in a million, for a pair at the threshold.
+links that can be missed are of sets that share no band.  There are as many bands as keep
+the chance of that, (1 - threshold ** 5) ** bands, at one in a million at most for a pair at
+the threshold: 24 at 85 percent, 35 at 80.
 
 Cases: a text without words has no shingles and is linked with nothing; one with
 fewer words than a shingle is one shingle.  Repeated rows fall in one class, and each
@@ -26,6 +27,7 @@ same set.  Empty tables give empty results.  Columns other than id and text aren
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,20 +42,32 @@ from tidewater.llm.shingles import _mixed, shingle_sets
 from tidewater.plans.joins import broadcast_if_small
 from tidewater.plans.storage import materialize
 
-PERMUTATIONS = 60
 BAND_ROWS = 5
-#: Linked if 100 * intersection >= PERCENT * union.
+#: Chance that a pair at the threshold shares no band, at most.
+_MISSED = 1e-6
+#: Linked if 100 * intersection >= percent * union, where nothing else is asked for.
 PERCENT = 85
 #: Permutations of the signatures that pairs of step 4 are estimated by, two values each.
 WIDE = 512
-#: Pairs that agree less than this, over all values and over a part of so many, aren't confirmed: both are
-#: more than five deviations below the threshold.
-_ESTIMATE, _ROUGH, _PART = 0.79, 0.67, 128
+#: Pairs that agree less than so many deviations below the threshold, over all values or over a part of so many,
+#: aren't confirmed.
+_DEVIATIONS, _PART = 5.7, 128
 _BLOCK = 256
 
 _SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
+def _bands(percent: int) -> int:
+    """As many bands as a pair at the threshold needs."""
+    return math.ceil(math.log(_MISSED) / math.log(1 - (percent / 100) ** BAND_ROWS)) if percent < 100 else 1
+
+
+def _least(percent: int, values: int) -> float:
+    """The share of equal values, of so many, below which a pair is taken to be under the threshold."""
+    share = percent / 100
+    return share - _DEVIATIONS * math.sqrt(share * (1 - share) / values)
+
+
 def _min_max(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Minima, then maxima, of the hashes under each permutation (a multiplication by an odd factor)."""
     half = (found >> np.uint64(32)).astype(np.uint32)
@@ -75,10 +89,11 @@ def _bytes(signature: np.ndarray) -> np.ndarray:
     return _mixed(signature.astype(np.uint64)).astype(np.uint8)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factors, rng = _factors(PERMUTATIONS, 85), np.random.default_rng(24)
-    order = rng.permutation(2 * PERMUTATIONS)
-    n_bands = 2 * PERMUTATIONS // BAND_ROWS
+def _sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    n_bands = _bands(percent)
+    permutations = math.ceil(n_bands * BAND_ROWS / 2)
+    factors, rng = _factors(permutations, 85), np.random.default_rng(24)
+    order = rng.permutation(2 * permutations)[: n_bands * BAND_ROWS]
     steps = rng.integers(1, 2**63, BAND_ROWS, dtype=np.uint64) | np.uint64(1)
     band = np.arange(1, n_bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for batch in chunks(batches):
@@ -111,23 +126,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *binary], names=["id", "set", "wide"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(column(batch, "set_a"), column(batch, "set_b")):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                 keep.append(False)
                 continue
             merged = np.concatenate((x, y))
             merged.sort()
             both = int(np.count_nonzero(merged[1:] == merged[:-1]))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         yield out
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
+def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of one bucket's blocks that are in different components and may reach the threshold.
 
     A pair is given out in the first band it shares only, so each comes once.  A part of the
@@ -141,24 +156,25 @@ def _across(group: pd.DataFrame) -> pd.DataFrame:
     block = group["block"].to_numpy()
     here = int(np.argmax(bands[0] == group["key"].iat[0]))
     one_block = group["low"].iat[0] == group["high"].iat[0]
+    rough, estimate = _least(percent, _PART), _least(percent, 2 * WIDE)
     out = []
     for k in range(len(ids) - 1):
         rest = slice(k + 1, None)
-        ok = (comp[rest] != comp[k]) & (100 * np.minimum(size[rest], size[k]) >= PERCENT * np.maximum(size[rest], size[k]))
+        ok = (comp[rest] != comp[k]) & (100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k]))
         if not one_block:
             ok &= block[rest] != block[k]
         ok = np.flatnonzero(ok) + k + 1
-        ok = ok[(part[ok] == part[k]).mean(axis=1) >= _ROUGH]
+        ok = ok[(part[ok] == part[k]).mean(axis=1) >= rough]
         ok = ok[np.argmax(bands[ok] == bands[k], axis=1) == here] if len(ok) else ok
-        ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= _ESTIMATE]
+        ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= estimate]
         out += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in ok]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id, kept`` for each row."""
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id, kept`` for each row; ``percent`` is the similarity that links."""
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = materialize(map_arrow(slim, _sketches, _SKETCH), "sketches")
+    sketches = materialize(map_arrow(slim, lambda batches: _sketches(batches, percent), _SKETCH), "sketches")
     classes = (
         sketches.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("class_id"))
     )
@@ -179,7 +195,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        return map_arrow(pairs.join(a, "a").join(b, "b"), _confirmed, "a long, b long")
+        return map_arrow(pairs.join(a, "a").join(b, "b"), lambda batches: _confirmed(batches, percent), "a long, b long")
 
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(confirm(stars), "star-links")
@@ -200,7 +216,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     )
     # Comparing is work, not bytes: a number of partitions that Spark doesn't lower by size.
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = left.repartition(tasks, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(_across, "a long, b long")
+    across = left.repartition(tasks, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(lambda group: _across(group, percent), "a long, b long")
     more = materialize(confirm(across.distinct()), "cross-links")
     joined = materialize(components(links.union(more)), "components")
 
@@ -211,9 +227,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     )
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that aren't kept; repeated rows of a kept id stay one row."""
-    found = materialize(near_duplicates(docs, text, key), "near")
+    found = materialize(near_duplicates(docs, text, key, percent), "near")
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
     out = docs.join(broadcast_if_small(gone), key, "left_anti")
     repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")

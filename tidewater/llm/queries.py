@@ -43,7 +43,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(_table(spark, sf_dir, "documents"))
+    out = near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
