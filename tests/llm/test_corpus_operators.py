@@ -184,6 +184,21 @@ class TestNearDedup:
         kept = {r["doc_id"] for r in near_dedup.near_duplicates(odd_docs).where("kept").collect()}
         left = [r["doc_id"] for r in out.collect()]
         assert set(left) == kept and len([i for i in left if i is not None]) == len(kept - {None})
+        assert left.count(None) == odd_docs.where("doc_id is null").count()
+
+    def test_rows_that_share_an_id_or_have_none(self, spark):
+        text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+        rows = [
+            (1, text("a")), (2, text("a").upper()), (2, text("b")), (3, text("b") + " more"), (4, text("c")), (4, text("c")),
+            (5, text("d")), (5, text("e")), (6, text("f")), (6, text("f") + " more"), (7, None), (7, None), (7, ""),
+            (None, text("g")), (None, text("g")), (None, text("h")), (None, None), (None, text("a")),
+        ]
+        out = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = [tuple(r) for r in out.collect()]
+        of_six = [r for r in got if r[0] == 6]
+        assert len(of_six) == 1 and of_six[0] in rows
+        want = [rows[k] for k in (0, 2, 4, 6, 7, 10, 12, 13, 14, 15, 16)]
+        assert sorted((r for r in got if r[0] != 6), key=repr) == sorted(want, key=repr)
 
     def test_components(self, spark):
         r = random.Random(1)

@@ -5,7 +5,9 @@ permutations, its minimum and its maximum: two signature values for one hash
 evaluation, each equal for two sets with probability equal to their similarity.
 Values are cut into bands; sets that agree in a band are candidates.
 
-1. Equal sets become one class, represented by the smallest id.
+1. Equal sets become one class, represented by the smallest id, and of the texts of that id
+   the one with the smallest hash.  A class is named by a hash of its set, so texts that share
+   an id stay apart.
 2. In each bucket every class is compared with the bucket's smallest: a star, not all pairs.
 3. Links, confirmed on full sets, give components.  A bucket whose classes are all in one
    component is settled.
@@ -22,7 +24,7 @@ the threshold: 24 at 85 percent, 35 at 80.
 Cases: a text without words has no shingles and is linked with nothing; one with
 fewer words than a shingle is one shingle.  Repeated rows fall in one class, and each
 row of the smallest id is kept.  Rows without an id are kept if no row with an id has the
-same set.  Empty tables give empty results.  Columns other than id and text aren't read.
+same set.  Texts that share an id are decided each by itself.  Empty tables give empty results.  Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ WIDE = 512
 _DEVIATIONS, _PART = 5.7, 128
 _BLOCK = 256
 
-_SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
 
 def _bands(percent: int) -> int:
@@ -112,8 +114,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             bands.append(h.astype(np.int64))
         longs = [pa.array(c, pa.int64()) for c in (n, hi, lo)]
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), *longs, pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands"],
+            [column(batch, "doc_id"), column(batch, "text_hash"), *longs, pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "bands"],
         )
 
 
@@ -123,7 +125,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(shingle_sets(column(batch, "text")))
         wide = [_bytes(_min_max(s, factors)).tobytes() for s in found]
         binary = [pa.array(c, pa.binary()) for c in ([s.tobytes() for s in found], wide)]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *binary], names=["id", "set", "wide"])
+        yield pa.RecordBatch.from_arrays([column(batch, "id"), *binary], names=["id", "set", "wide"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -171,27 +173,39 @@ def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id, kept`` for each row; ``percent`` is the similarity that links."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _linked(docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, class_id, first_id, first_hash`` for each row.
+
+    The last two name the text that its component keeps; they are null for a row that is in no class.
+    """
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketches = materialize(map_arrow(slim, lambda batches: _sketches(batches, percent), _SKETCH), "sketches")
     classes = (
-        sketches.where("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("class_id"))
+        sketches.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"))
+        .select("set_hi", "set_lo", F.col("own.doc_id").alias("class_id"), F.col("own.text_hash").alias("class_hash"))
     )
-    own = F.col("doc_id") == F.col("class_id")
+    own = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
     members = materialize(
         sketches.join(classes, ["set_hi", "set_lo"], "left").select(
-            "doc_id", "n_shingles", "class_id", F.when(own, F.col("bands")).alias("bands")
+            "doc_id", "text_hash", "n_shingles", "class_id", "class_hash",
+            F.when(F.col("class_id").isNotNull(), F.xxhash64("set_hi", "set_lo")).alias("id"), F.when(own, F.col("bands")).alias("bands"),
         ),
         "members",
     )
-    reps = members.where("bands is not null").select(F.col("class_id").alias("id"), "n_shingles", "bands")
-    keys = reps.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    buckets = materialize(keys.join(shared.select("key", "first"), "key"), "buckets")
+    reps = members.where("bands is not null").select("id", "class_id", "class_hash", "n_shingles", "bands")
+    keys = reps.select("id", "class_id", "class_hash", F.explode("bands").alias("key"))
+    # The star's centre is the class with the smallest id: most often the text that the others were made from.
+    shared = (
+        keys.groupBy("key").agg(F.min(F.struct("class_id", "id"))["id"].alias("first"), F.min("id").alias("x"), F.max("id").alias("y"))
+        .where("x < y").select("key", "first")
+    )
+    buckets = materialize(keys.join(shared, "key"), "buckets")
 
-    ids = materialize(buckets.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    sets = materialize(map_arrow(slim.join(broadcast_if_small(ids), "doc_id", "left_semi"), _sets, "id long, set binary, wide binary"), "sets")
+    ids = buckets.select("id", F.col("class_id").alias("doc_id"), F.col("class_hash").alias("text_hash")).distinct()
+    ids = materialize(ids, "candidates")
+    texts = slim.join(broadcast_if_small(ids), ["doc_id", "text_hash"]).select("id", "text")
+    sets = materialize(map_arrow(texts, _sets, "id long, set binary, wide binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
@@ -220,17 +234,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     more = materialize(confirm(across.distinct()), "cross-links")
     joined = materialize(components(links.union(more)), "components")
 
-    out = members.join(joined.withColumnRenamed("id", "class_id"), "class_id", "left")
-    component = F.coalesce("component", "class_id", "doc_id")
+    firsts = joined.join(ids, "id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    firsts = joined.join(firsts, "component").select("id", "first")
+    out = members.join(firsts, "id", "left")
     return out.select(
+        "doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("first.doc_id", "class_id").alias("first_id"),
+        F.coalesce("first.text_hash", "class_hash").alias("first_hash"),
+    )
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id, kept`` for each row; ``percent`` is the similarity that links."""
+    component = F.coalesce("first_id", "doc_id")
+    return _linked(docs, text, key, percent).select(
         "doc_id", "n_shingles", "class_id", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that aren't kept; repeated rows of a kept id stay one row."""
-    found = materialize(near_duplicates(docs, text, key, percent), "near")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    out = docs.join(broadcast_if_small(gone), key, "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out.dropDuplicates([key]) if repeated.limit(1).count() else out
+    """The rows of ``docs`` that are in no class or are their component's first text.
+
+    Rows with the same id and the same text become one row; rows without an id are never repeats.
+    """
+    found = materialize(_linked(docs, text, key, percent), "near")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    stays = F.col("first_id").isNull() | first
+    gone = found.where(~stays).select("doc_id", "text_hash").distinct()
+    repeated = found.where(stays & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
+
+    def rows(which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        match = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+        return docs.join(broadcast_if_small(which), match, how)
+
+    repeated = materialize(repeated.select("doc_id", "text_hash"), "repeated")
+    if not repeated.limit(1).count():
+        return rows(gone, "left_anti")
+    return rows(gone.union(repeated), "left_anti").union(rows(repeated, "left_semi").dropDuplicates([key, text]))
