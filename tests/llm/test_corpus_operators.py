@@ -94,6 +94,25 @@ class TestLineDedup:
         df = spark.createDataFrame([(i, "one line here\nand another there") for i in range(50)], "doc_id long, text string")
         assert {r["text"] for r in line_dedup.drop_recurring_lines(df).collect()} == {"one line here\nand another there"}
 
+    def test_templates_of_a_large_leaf(self, spark):
+        word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+        rows = []
+        for i in range(600):
+            k = word(i % 30)
+            rows.append((i, f"{word(i)} alone\n2024-01-{i % 28} 10:{i % 60} task{k} by{k} user {word(7000 + i)} ended{k} well{k} now{k}"))
+        # 30 templates of 20 texts in one leaf
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        texts = [r["text"] for r in line_dedup.drop_recurring_lines(df).collect()]
+        assert sum("user" in t for t in texts) == 30 and all(" alone" in t for t in texts)
+        assert {t.split()[-1] for t in texts if "user" in t} == {f"now{word(k)}" for k in range(30)}
+
+    def test_digit_fields_are_no_difference(self, spark):
+        word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+        rows = [(i, f"about {word(i)}\nLogin by user {word(i)} from host 10.0.0.{i} at 10:{i} status {i}") for i in range(40)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        texts = [r["text"] for r in line_dedup.drop_recurring_lines(df).collect()]
+        assert sum("Login" in t for t in texts) == 1
+
     def test_long_passages_need_fewer_texts(self, spark):
         passage = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
         rows = [(i, f"own words {'abc'[i]}\n{passage}\nshort one") for i in range(3)]

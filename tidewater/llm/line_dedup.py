@@ -5,9 +5,11 @@ where a token with a digit counts as the wildcard ``<*>``.  Below that:
 
 * lines with the same tokens, digits masked, have one template;
 * among the lines of a leaf, a token is constant at its position if it occurs there in
-  as many documents as make a template and in a tenth of the leaf's; the other tokens are
-  variable fields.  Lines that agree in the constant tokens, and have at least
-  ``similarity`` of their tokens constant, have one template.
+  a number of texts; the other tokens are variable fields.  Lines that agree in the constant
+  tokens, and have at least ``similarity`` of their tokens without digits constant, have one
+  template.  The number is tried from a tenth of the leaf's texts down by halves to as many as
+  make a template, so a template is found whatever its share of the leaf, if some number lies
+  between its texts and those of any value of its fields.
 
 A template that occurs in ``min_docs`` different texts is recurring - one of ``LONG``
 tokens or more, which no two texts have by chance, in ``long_min_docs`` - and its lines
@@ -35,7 +37,7 @@ MIN_DOCS = 8
 LONG, LONG_MIN_DOCS = 50, 3
 SIMILARITY = 0.7
 WILDCARD = "<*>"
-#: Share of a leaf's texts in which a token must stand at its place to be constant there.
+#: Share of a leaf's texts from which the number of texts that makes a token constant is halved.
 _CONSTANT = 0.1
 _BLANKS = " \t\n\x0b\x0c\r"
 
@@ -90,31 +92,28 @@ def recurring_lines(
     open_lines = lines.join(broadcast_if_small(leaves), "_leaf").join(
         broadcast_if_small(exact.select("_full")), "_full", "left_anti"
     )
-    open_lines = materialize(open_lines.withColumn("_tok", F.split("_s", " ")).drop("_s"), "open-lines")
-    at = open_lines.select("_leaf", "_docs", "_min", "_h", F.posexplode("_tok").alias("_p", "_w")).where(F.col("_w") != WILDCARD)
+    tokens = F.split("_s", " ")
+    open_lines = open_lines.withColumn("_words", F.size(F.filter(tokens, lambda t: t != WILDCARD)))
+    at = open_lines.select("_id", "_h", "_n", "_leaf", "_docs", "_min", "_words", F.posexplode(tokens).alias("_p", "_w"))
+    at = materialize(at.where(F.col("_w") != WILDCARD).withColumn("_w", F.xxhash64("_w")), "open-tokens")
     constant = (
-        at.groupBy("_leaf", "_p", "_w", "_h").agg(F.min("_docs").alias("_docs"), F.min("_min").alias("_min"))
-        .groupBy("_leaf", "_p", "_w").agg(F.count(F.lit(1)).alias("_c"), F.min("_docs").alias("_docs"), F.min("_min").alias("_min"))
-        .where((F.col("_c") >= F.col("_min")) & (F.col("_c") >= _CONSTANT * F.col("_docs")))
-        # At most 1 / _CONSTANT tokens at each position of a leaf, laid out by position.
-        .groupBy("_leaf", "_p").agg(F.collect_set(F.xxhash64("_w")).alias("_ws"))
-        .groupBy("_leaf").agg(F.collect_list(F.struct("_p", "_ws")).alias("_all"), F.max("_p").alias("_last"))
-        .select(
-            "_leaf",
-            F.transform(
-                F.sequence(F.lit(0), F.col("_last")), lambda i: F.get(F.filter("_all", lambda x: x["_p"] == i), F.lit(0))["_ws"]
-            ).alias("_constant"),
-        )
+        at.groupBy("_leaf", "_p", "_w", "_h").agg(F.min("_min").alias("_min"))
+        .groupBy("_leaf", "_p", "_w").agg(F.count(F.lit(1)).alias("_c"), F.min("_min").alias("_min"))
+        .where("_c >= _min").select("_leaf", "_p", "_w", "_c")
     )
-    masked = open_lines.join(constant, "_leaf").select(
-        "_id", "_h", "_n", "_leaf", "_min",
-        F.transform(
-            "_tok",
-            lambda t, i: F.when(F.array_contains(F.get("_constant", i), F.xxhash64(t)), t).otherwise(WILDCARD),
-        ).alias("_tok"),
+    # A set, so repeated rows of one text give each token once.
+    masked = (
+        at.join(broadcast_if_small(materialize(constant, "constants")), ["_leaf", "_p", "_w"])
+        .groupBy("_h", "_n", "_leaf", "_docs", "_min", "_words")
+        .agg(F.min("_id").alias("_id"), F.sort_array(F.collect_set(F.struct("_p", "_w", "_c"))).alias("_tok"))
     )
-    fixed = F.size(F.filter("_tok", lambda t: t != WILDCARD)) / F.size("_tok")
-    masked = masked.where(fixed >= similarity).select("_id", "_h", "_n", "_min", F.xxhash64("_leaf", "_tok").alias("_mask"))
+    most = F.greatest(F.col("_min").cast("double"), _CONSTANT * F.col("_docs"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(most / F.col("_min"))).cast("int"))
+    least = F.transform(steps, lambda k: F.greatest(F.col("_min").cast("double"), most / F.pow(F.lit(2.0), k)))
+    sets = F.transform(least, lambda n: F.filter("_tok", lambda t: t["_c"] >= n))
+    sets = F.filter(sets, lambda x: F.size(x) >= similarity * F.col("_words"))
+    masks = F.array_distinct(F.transform(sets, lambda x: F.xxhash64("_leaf", x)))
+    masked = masked.select("_id", "_h", "_n", "_min", F.explode(masks).alias("_mask"))
     masked = materialize(masked, "masked-lines")
     general = _recurring(masked, "_mask")
 
