@@ -113,6 +113,22 @@ class TestLineDedup:
         texts = [r["text"] for r in line_dedup.drop_recurring_lines(df).collect()]
         assert sum("Login" in t for t in texts) == 1
 
+    def test_rows_of_figures_are_no_template(self, spark):
+        rows = [(i, f"about {chr(97 + i)}\n{2000 + i} {i * 7} {i + 3}\nRevenue {i * 11} {i} {i + 1}\nsame 1 2 3") for i in range(12)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(df).collect()}
+        assert got == {i: t if i == 0 else t.removesuffix("\nsame 1 2 3") for i, t in rows}
+
+    def test_passages_of_two_texts(self, spark):
+        words = [f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+        wrapped = "\n".join([" ".join(words[:25]), "", " ".join(words[25:50]), " ".join(words[50:])])
+        rows = [(0, f"one\n{wrapped}\nend"), (1, f"two\n{wrapped}\nlast"), (2, f"three\n{' '.join(words)}"), (3, f"four\n{' '.join(words)}")]
+        rows += [(4, f"five\n{' '.join(words[:25])}"), rows[1], (None, rows[1][1])]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.drop_recurring_lines(df, passages=True).collect()), key=repr)
+        cut = "two\nlast"
+        assert got == sorted([rows[0], (1, cut), (1, cut), (None, cut), rows[2], (3, "four"), rows[4]], key=repr)
+
     def test_long_passages_need_fewer_texts(self, spark):
         passage = " ".join(f"p{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
         rows = [(i, f"own words {'abc'[i]}\n{passage}\nshort one") for i in range(3)]

@@ -11,12 +11,19 @@ where a token with a digit counts as the wildcard ``<*>``.  Below that:
   make a template, so a template is found whatever its share of the leaf, if some number lies
   between its texts and those of any value of its fields.
 
+A line with a digit of which less than two tokens, or less than half, are without digits says
+little once it is masked - rows of figures, dates - so it only recurs with lines that are equal
+to it but for case, digits included, and has no other template.
+
 A template that occurs in ``min_docs`` different texts is recurring - one of ``LONG``
 tokens or more, which no two texts have by chance, in ``long_min_docs`` - and its lines
 are dropped, but for those of the text in which it comes first (smallest id, then
 smallest text hash).  Copies of one text count once, so a document that is merely
 copied keeps its lines; deciding between copies is left to document dedup.
 
+With ``passages``, runs of lines that have ``LONG`` tokens together, or one such line, are also
+dropped if they stand word for word in two texts, again but for the first of these.
+
 Everything is built-in expressions.  Counts are combined before each exchange;
 texts are dealt once, at the end, for documents that lose lines.
 
@@ -27,7 +34,9 @@ are treated alike.  Other columns are kept, whatever their names; ids may be nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.plans.joins import broadcast_if_small
 from tidewater.plans.storage import materialize
@@ -42,23 +51,33 @@ _CONSTANT = 0.1
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _plain(line: Column) -> Column:
-    """A line's tokens with one space between them; a token with a digit is the wildcard."""
+def _spaced(line: Column) -> Column:
+    """A line's tokens with one space between them."""
     line = F.btrim(line, F.lit(_BLANKS))
     # Most lines have neither odd spaces nor digits, and pay for no replacement.
-    line = F.when(line.rlike("[\t\x0b\x0c\r]|  "), F.regexp_replace(line, "[\t\x0b\x0c\r ]+", " ")).otherwise(line)
+    return F.when(line.rlike("[\t\x0b\x0c\r]|  "), F.regexp_replace(line, "[\t\x0b\x0c\r ]+", " ")).otherwise(line)
+
+
+def _masked(line: Column) -> Column:
+    """A line of :func:`_spaced` in which a token with a digit is the wildcard."""
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILDCARD)).otherwise(line)
 
 
 def _lines(docs: DataFrame, text: str, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
-    """A row for each line that isn't blank: id, text hash, line number, leaf, hash of the tokens, texts needed, tokens."""
+    """A row for each line that isn't blank: id, text hash, line number, leaf, hashes of the template and of the line, size, texts needed, tokens."""
     df = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
     df = df.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_n", "_line"))
-    df = df.select("_id", "_h", "_n", _plain(F.col("_line")).alias("_s")).where("_s <> ''")
+    df = df.select("_id", "_h", "_n", _spaced(F.col("_line")).alias("_r")).where("_r <> ''")
+    df = df.select("*", _masked(F.col("_r")).alias("_s"))
     size = F.length("_s") - F.length(F.replace("_s", F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(size, F.substring_index("_s", " ", DEPTH))
-    need = F.when(size >= LONG, long_min_docs).otherwise(min_docs)
-    return df.select("_id", "_h", "_n", leaf.alias("_leaf"), F.xxhash64("_s").alias("_full"), need.alias("_min"), "_s")
+    df = df.select("*", size.cast("int").alias("_size"))
+    left = F.col("_size") - (F.length("_s") - F.length(F.replace("_s", F.lit(WILDCARD), F.lit("")))) / len(WILDCARD)
+    few = (F.col("_s") != F.col("_r")) & ((left < 2) | (2 * left < F.col("_size")))
+    leaf = F.xxhash64("_size", F.substring_index("_s", " ", DEPTH))
+    need = F.when(F.col("_size") >= LONG, long_min_docs).otherwise(min_docs)
+    df = df.select("_id", "_h", "_n", leaf.alias("_leaf"), "_size", need.alias("_min"), few.alias("_few"), "_r", "_s")
+    full = F.when(F.col("_few"), F.xxhash64(F.lit("figures"), F.lower("_r"))).otherwise(F.xxhash64("_s"))
+    return df.select("_id", "_h", "_n", "_leaf", full.alias("_full"), F.xxhash64("_r").alias("_raw"), "_size", "_min", "_few", "_s")
 
 
 def _recurring(rows: DataFrame, template: str) -> DataFrame:
@@ -71,6 +90,31 @@ def _recurring(rows: DataFrame, template: str) -> DataFrame:
     )
 
 
+def _passages(lines: DataFrame) -> DataFrame:
+    """``_id, _h, _n``: the lines of each run of ``LONG`` tokens that an earlier text has, too."""
+    # Equal rows count once; the counts are combined before the exchange.
+    one = lines.groupBy("_h", "_n").agg(F.min("_id").alias("_id"), F.first("_raw").alias("_raw"), F.first("_size").alias("_size"))
+    one = one.select("*", F.sum("_size").over(W.partitionBy("_h").orderBy("_n")).alias("_end"))
+    one = one.select("*", (F.col("_end") - F.col("_size")).alias("_start"))
+    # The shortest runs that begin and that end with a line: these cover all lines of any longer run.
+    after = W.partitionBy("_h").orderBy("_start").rangeBetween(0, LONG - 1)
+    before = W.partitionBy("_h").orderBy("_end").rangeBetween(1 - LONG, 0)
+    ways = [
+        F.struct(
+            F.xxhash64(F.collect_list("_raw").over(w)).alias("_run"), F.sum("_size").over(w).alias("_len"),
+            F.min("_n").over(w).alias("_from"), F.max("_n").over(w).alias("_last"),
+        )
+        for w in (after, before)
+    ]
+    runs = one.select("_id", "_h", F.array(*ways).alias("_ways")).select("_id", "_h", F.lit(2).alias("_min"), F.explode("_ways").alias("_way"))
+    runs = runs.select("_id", "_h", "_min", "_way.*")
+    runs = materialize(runs.where(F.col("_len") >= LONG).drop("_len"), "runs")
+    found = materialize(_recurring(runs, "_run"), "passages")
+    again = runs.join(broadcast_if_small(found), "_run").where(F.col("_h") != F.col("_keeper"))
+    # Lines between two of a run are blank or part of it.
+    return again.select("_id", "_h", F.explode(F.sequence("_from", "_last")).alias("_n")).distinct()
+
+
 def recurring_lines(
     docs: DataFrame,
     text: str = "text",
@@ -78,10 +122,11 @@ def recurring_lines(
     min_docs: int = MIN_DOCS,
     long_min_docs: int = LONG_MIN_DOCS,
     similarity: float = SIMILARITY,
+    passages: bool = False,
 ) -> DataFrame:
     """``_id, _h, drop``: for each text that loses lines, the numbers of these lines."""
     lines = _lines(docs, text, key, min_docs, long_min_docs)
-    slim = materialize(lines.drop("_s"), "lines")
+    slim = materialize(lines.drop("_s", "_few", *([] if passages else ["_raw", "_size"])), "lines")
     exact = materialize(_recurring(slim, "_full"), "templates")
     leaves = slim.groupBy("_leaf", "_h").agg(F.min("_min").alias("_min")).groupBy("_leaf").agg(
         F.count(F.lit(1)).alias("_docs"), F.min("_min").alias("_min")
@@ -89,7 +134,7 @@ def recurring_lines(
     leaves = materialize(leaves.where("_docs >= _min").select("_leaf", "_docs"), "leaves")
 
     # Lines of busy leaves without an exact template: find constant tokens, mask the rest, count again.
-    open_lines = lines.join(broadcast_if_small(leaves), "_leaf").join(
+    open_lines = lines.where(~F.col("_few")).join(broadcast_if_small(leaves), "_leaf").join(
         broadcast_if_small(exact.select("_full")), "_full", "left_anti"
     )
     tokens = F.split("_s", " ")
@@ -121,7 +166,11 @@ def recurring_lines(
         rows.join(broadcast_if_small(found), template).where(F.col("_h") != F.col("_keeper")).select("_id", "_h", "_n")
         for rows, found, template in ((slim, exact, "_full"), (masked, materialize(general, "templates"), "_mask"))
     ]
-    return gone[0].union(gone[1]).groupBy("_id", "_h").agg(F.collect_set("_n").alias("drop"))
+    if passages:
+        # By text only: all rows of a text lose the same lines.
+        texts = slim.select("_id", "_h").distinct()
+        gone.append(texts.join(_passages(slim).drop("_id"), "_h").select("_id", "_h", "_n"))
+    return functools.reduce(DataFrame.union, gone).groupBy("_id", "_h").agg(F.collect_set("_n").alias("drop"))
 
 
 def _without(docs: DataFrame, text: str, key: str, **options) -> DataFrame:

@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(_table(spark, sf_dir, "documents"))
+    return line_report(_table(spark, sf_dir, "documents"), passages=True)
 
 
 def tokenizer_file() -> str:
