@@ -49,6 +49,18 @@ class TestQualityRules:
         rows = quality_rules.quality_rules(docs).join(labels, "doc_id").where("n_words >= 20").collect()
         assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.95
 
+    def test_scripts_and_capitals(self, spark):
+        russian = "погода сегодня была хорошая поэтому дети гуляли около старого парка вместе".split()
+        greek = "ο καιρός ήταν καλός και τα παιδιά έπαιζαν στο πάρκο μέχρι αργά".split()
+        capitals = "THE WEATHER WAS GOOD AND MANY CHILDREN PLAYED IN OLD PARKS UNTIL DARK".split()
+        polish = "pogoda była ładna więc dzieci bawiły się długo przez cały wieczór razem".split()
+        junk = "zorp blit quam frex".split()
+        rows = []
+        for n, words in enumerate((russian, greek, capitals, polish, junk)):
+            rows.append((n, " ".join(f"{words[k % len(words)]}" if k % 3 else f"{words[k % len(words)]}{'жωQżq'[n] * (1 + k)}"[:20] for k in range(60))))
+        out = quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["stop_or_long"] for r in out.collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
     def test_empty(self, no_docs):
         assert quality_rules.quality_rules(no_docs).count() == 0
 
@@ -153,6 +165,11 @@ class TestFingerprints:
         monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
         self.check(docs)
 
+    def test_ids_beyond_doubles(self, spark, monkeypatch):
+        monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
+        rows = [((-1) ** k * (2**62 + 12345 * k * k + k), f"text {k} of the ids that are no doubles") for k in range(100)]
+        self.check(spark.createDataFrame(rows, "doc_id long, text string"))
+
     def test_odd_rows(self, odd_docs, no_docs, spark):
         self.check(odd_docs)
         assert fingerprints.edited_likeness(no_docs).count() == 0
@@ -191,6 +208,28 @@ class TestHtml:
         assert html_blocks.blocks('<div id="top"><p class = "ad x">q</div>')[0].near == {"ad", "x"}
         assert html_blocks.blocks("<ul><li>x<li>y</ul>")[1].tags == ("ul", "li")
 
+    def test_elements_left_open_and_long_values(self):
+        texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+        assert texts("<html><head><title>x</title><meta charset=utf-8><body><article><p>one<p>two</article>") == ["one", "two"]
+        assert texts("<head><title>x</title><p>one") == ["one"]
+        assert html_blocks.blocks("<head><title>x</title><p>one")[0].tags == ("p",)
+        for tag in ("svg", "noscript", "select", "template"):
+            assert texts(f"<p>one<{tag}><p>two<p>three") == ["one", "two", "three"]
+            assert texts(f"<p>one <{tag}>hidden</{tag}> two") == ["one two"]
+        assert texts("<svg><p>one</p><svg>x</svg>") == ["one"]
+        assert texts("<p>one<script>var two") == ["one"]
+        for n in (3000, 9000, 300_000):
+            assert texts(f'<p>one<img src="data:image/png;base64,{"A" * n}=="><p>two<a title="x">three</a>') == ["one", "twothree"]
+        assert texts("<p " + "a=b " * 400 + 'title="x>y">one') == ["one"]
+
+    def test_time_is_linear(self):
+        import time
+
+        begin = time.monotonic()
+        for odd in ("<a ", "<a x=", "<a x='", "<svg>", "<!", "<a ='\"", "<select><p>"):
+            html_blocks.blocks(odd * 20_000 + "='>'")
+        assert time.monotonic() - begin < 20
+
     def test_decoding_is_the_best_of_all_labellings(self):
         import itertools
 

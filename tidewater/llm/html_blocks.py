@@ -2,22 +2,30 @@
 
 A small tolerant reader: it closes paragraphs, items and cells where HTML lets
 them be left open, ignores end tags that close nothing, skips scripts, styles,
-comments and the head, and drops a tag that the end of the page cuts off.
+comments and titles, ends the head at the first tag that can't be in it, and drops a
+tag that the end of the page cuts off.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|noscript|iframe|title|head|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    # A quote only counts after an equals sign; possessive and bounded, so that no page makes the search go back.
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]{0,5000}\"|=\s*'[^']{0,5000}'|=|[^>=]+){0,200}+)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|</?[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+_NAME = re.compile("(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL, _BRACKET, _BLANK = re.compile("[=>]"), re.compile("[<>]"), re.compile(r"\s*")
+#: Elements whose content is no text.  One of the second kind that is left open is taken for any other element.
+_RAW, _ASIDE = frozenset("script style iframe title textarea".split()), frozenset("template svg noscript select".split())
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW | _ASIDE}
+#: Of these, what can't be inside, so that an end tag behind it belongs to another one.
+_NOT_IN = {
+    "svg": re.compile(r"<(?:body|article|section|main|h[1-6]|p|div|table|ul|ol)\b", re.I),
+    "select": re.compile(r"<(?:select|body|article|section|main|h[1-6]|p|div|table|ul|ol)\b", re.I),
+    "noscript": re.compile(r"<(?:noscript|body)\b", re.I), "template": re.compile(r"<body\b", re.I),
+}
+#: Tags that leave a head open.
+_IN_HEAD = frozenset("head base link meta".split())
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 #: Tags that neither begin nor end a block.
@@ -55,6 +63,95 @@ class _Open(NamedTuple):
 _ROOT = _Open("", frozenset(), frozenset(), 0)
 
 
+class _Token(NamedTuple):
+    start: int
+    end: int
+    skipped: str | None  # the element that was skipped with all its content
+    ends: str
+    tag: str | None
+    attributes: str
+
+
+class _Reader:
+    """Tags, comments and skipped elements of a page, each place of which is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.gone, self.last, self.dead = page, {}, (0, -1), set()
+
+    def _find(self, what: str, at: int, search) -> int:
+        """``search(at)``, or -1 without a search once there was none from an earlier place."""
+        if at >= self.gone.get(what, len(self.page) + 1):
+            return -1
+        found = search(at)
+        if found < 0:
+            self.gone[what] = at
+        return found
+
+    def _special(self, at: int) -> int:
+        low, found = self.last
+        if not low <= at <= found:
+            m = _SPECIAL.search(self.page, at)
+            self.last = (at, found := m.start() if m else len(self.page))
+        return found
+
+    def _close(self, at: int) -> int:
+        """The place of the bracket that ends a tag; -1 without one.  A quote only counts after an equals sign."""
+        page, seen = self.page, []
+        while (k := self._special(at)) < len(page) and k not in self.dead:
+            if page[k] == ">":
+                return k
+            seen.append(k)
+            at = k + 1
+            quote = _BLANK.match(page, at).end()
+            if page[quote : quote + 1] in ('"', "'"):
+                closing = self._find(page[quote], quote + 1, lambda a, q=page[quote]: page.find(q, a))
+                at = closing + 1 if closing >= 0 else at
+        self.dead.update(seen)  # from none of these a tag ends
+        return -1
+
+    def _end_of(self, tag: str, at: int) -> int:
+        """Where the content of an element that is skipped ends, with its end tag; -1 if it was left open."""
+        found = self._find("</" + tag, at, lambda a: m.start() if (m := _END[tag].search(self.page, a)) else -1)
+        if found >= 0 and tag in _NOT_IN:
+            if tag == "svg" and "foreignobject" in self.page[at:found].lower():
+                return _END[tag].match(self.page, found).end()
+            inner = self._find("in " + tag, at, lambda a: m.start() if (m := _NOT_IN[tag].search(self.page, a)) else -1)
+            if 0 <= inner < found:
+                return -1
+        return _END[tag].match(self.page, found).end() if found >= 0 else -1
+
+    def tokens(self) -> Iterator[_Token]:
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith(("!", "?"), at):
+                comment = page.startswith("!--", at)
+                k = self._find("-->" if comment else ">", start + 4 if comment else at, lambda a, q="-->" if comment else ">": page.find(q, a))
+                at = len(page) if k < 0 else k + (3 if comment else 1)
+                yield _Token(start, at, None, "", None, "")
+                continue
+            m = _NAME.match(page, at)
+            if not m:
+                continue
+            k = self._close(m.end())
+            if k < 0:
+                b = _BRACKET.search(page, m.end())
+                if b and b[0] == "<":
+                    continue
+                if not b:
+                    yield _Token(start, len(page), None, "", None, "")
+                    return
+                k = b.start()
+            at, tag = k + 1, m[2].lower()
+            if not m[1] and tag in _END:
+                end = self._end_of(tag, at)
+                if end >= 0 or tag in _RAW:
+                    at = end if end >= 0 else len(page)
+                    yield _Token(start, at, tag, "", None, "")
+                    continue
+            yield _Token(start, at, None, m[1], tag, page[m.end() : k])
+
+
 def blocks(page: str | None) -> list[Block]:
     """All blocks of a page that have text, in order; none for null or without text."""
     out: list[Block] = []
@@ -89,22 +186,24 @@ def blocks(page: str | None) -> list[Block]:
         return -1
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for token in _Reader(page).tokens():
+        if token.start > at:
+            piece = page[at : token.start]
             parts.append(piece)
             if links:
                 link_chars += len(piece.strip())
-        at = m.end()
-        ends, tag, attributes = m.group(2, 3, 4) if m[3] else m.group(5, 6, 7)
+        at = token.end
+        ends, tag, attributes = token.ends, token.tag, token.attributes
         if tag is None:
-            if m[1]:
-                if m[1].lower() not in ("template", "svg", "noscript", "iframe", "textarea", "select"):
+            if token.skipped:
+                if token.skipped not in ("template", "svg", "noscript", "iframe", "textarea", "select"):
                     flush()
                 else:
                     parts.append(" ")
             continue
-        tag = tag.lower()
+        if stack and stack[-1].tag == "head" and not ends and tag not in _IN_HEAD:
+            flush()
+            close(len(stack) - 1)
         if tag == "br":
             parts.append(" ")
             continue
