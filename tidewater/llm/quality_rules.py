@@ -27,6 +27,14 @@ STOP_WORDS = (
     "el los las y es por con una su al del se lo"
 ).split()
 
+#: Function words of other languages in Latin script, of which a long text needs one as well.
+OTHER_STOP_WORDS = (
+    "não uma os dos das não são mais che di il della per non sono una het een van dat niet met zijn och att som är på inte "
+    "og det ikke af til på hän oli myös mutta sekä się nie jest że przez oraz které jsou jako nebo aby și pe cu care sunt este "
+    "és hogy nem egy vagy bir ve bu için ile olarak dan yang dengan untuk ini và của là có được không na ya wa kwa katika "
+    "ng ang mga sa ja ei et kas ir kad uz un bet je su koji nije amb els les és dhe të për agus tá"
+).split()
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -73,6 +81,10 @@ def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_i
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
         F.size(F.filter("_w", lambda w: w.isin(STOP_WORDS))).alias("_stops"),
+        # Word lists have no stop words: only long texts need one, in any case, and only where most letters are Latin.
+        F.when(F.size("_w") < 50, True)
+        .when(F.exists("_w", lambda w: F.lower(w).isin(*STOP_WORDS, *OTHER_STOP_WORDS)), True)
+        .otherwise(2 * F.regexp_count("_t", F.lit(r"\p{IsLatin}")) <= F.regexp_count("_t", F.lit(r"\p{L}"))).alias("_excused"),
     )
     # Hashes of windows of 2 and then 4 words.  A window of 8 can only recur where one of 4 does,
     # so only texts with a recurring window of 4 pay for the windows of 8 and the sort.
@@ -121,8 +133,7 @@ def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_i
         (F.col("n_dup_lines") / lines).alias("dup_line_ratio"),
         (F.col("n_words") / lines).alias("words_per_line"),
         (F.col("_stops") / n).alias("stop_ratio"),
-        # Word lists in other scripts or languages have no stop words here: only long texts need one.
-        F.when((F.col("_stops") > 0) | (F.col("n_words") < 50), 1).otherwise(0).alias("stop_or_long"),
+        F.when((F.col("_stops") > 0) | F.col("_excused"), 1).otherwise(0).alias("stop_or_long"),
     )
 
 
