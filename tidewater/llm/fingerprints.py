@@ -77,6 +77,20 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return map_arrow(slim, run, "doc_id long, fingerprint string")
 
 
+def _first_ids(rows: DataFrame, cuts: list[int]) -> list[int]:
+    """The smallest id of each range between two cuts that has any, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.array(cuts, np.int64)
+        for batch in batches:
+            ids = column(batch, "doc_id")
+            at = np.searchsorted(starts, ids.to_numpy(zero_copy_only=False), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids], names=["range", "doc_id"])
+
+    known = map_arrow(rows.where("doc_id is not null").select("doc_id"), run, "range long, doc_id long")
+    return sorted(r["low"] for r in known.groupBy("range").agg(F.min("doc_id").alias("low")).collect())
+
+
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, text, digest, next_text, next_digest``: each row beside the one with the next id.
 
@@ -88,9 +102,9 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     ranges = min(RANGES, math.ceil((size["n"] or 0) / RANGE_ROWS))
     cuts: list[int] = []
     if ranges > 1:
-        # Quantiles are ids that occur, so each is the first of its range.
+        # Quantiles are doubles, so a large one may be no id that occurs: each range's first id is looked up.
         cuts = slim.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)
-    heads = sorted({size["low"], *map(int, cuts)}) if size["n"] else []
+    heads = _first_ids(slim, sorted({size["low"], *(min(int(c), 2**63 - 1) for c in cuts)})) if ranges > 1 else [size["low"]] * (ranges == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, places = np.array(heads, np.int64), {v: k for k, v in enumerate(heads)}
