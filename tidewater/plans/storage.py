@@ -8,9 +8,11 @@ share, so nothing has to be computed again.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,20 +35,47 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _write(df: DataFrame, label: str) -> tuple[str, DataFrame]:
+    path = f"{shared_folder(df.sparkSession)}/tidewater/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return a DataFrame that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewater/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, label)[1]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``materialize`` whose tables go at the end of the block, in which their last reader must have been written.
+
+    >>> with scratch(spark) as keep:
+    ...     parts = keep(docs.select("doc_id"), "parts")
+    ...     result = materialize(parts.join(parts, "doc_id"), "result")
+    """
+    paths: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path, table = _write(df, label)
+        paths.append(path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            _delete(spark, path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for ``df``; nothing may read it afterwards."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = f"{shared_folder(spark)}/tidewater/"
+    root = f"{shared_folder(df.sparkSession)}/tidewater/"
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if "/tidewater/" in folder and root.split("://")[-1].rstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
