@@ -7,9 +7,9 @@ where a token with a digit counts as the wildcard ``<*>``.  Below that:
 * among the lines of a leaf, a token is constant at its position if it occurs there in
   a number of texts; the other tokens are variable fields.  Lines that agree in the constant
   tokens, and have at least ``similarity`` of their tokens without digits constant, have one
-  template.  The number is tried from a tenth of the leaf's texts down by halves to as many as
-  make a template, so a template is found whatever its share of the leaf, if some number lies
-  between its texts and those of any value of its fields.
+  template.  The number is tried from as many texts as make a template up by doubling, so a
+  template is found whatever its share of the leaf, if some number lies between its texts and
+  those of any value of its fields.
 
 A line with a digit of which less than two tokens, or less than half, are without digits says
 little once it is masked - rows of figures, dates - so it only recurs with lines that are equal
@@ -35,49 +35,52 @@ are treated alike.  Other columns are kept, whatever their names; ids may be nul
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.plans.joins import broadcast_if_small
-from tidewater.plans.storage import materialize
+from tidewater.plans.storage import materialize, scratch
 
 DEPTH = 2
 MIN_DOCS = 8
 LONG, LONG_MIN_DOCS = 50, 3
 SIMILARITY = 0.7
 WILDCARD = "<*>"
-#: Share of a leaf's texts from which the number of texts that makes a token constant is halved.
-_CONSTANT = 0.1
-_BLANKS = " \t\n\x0b\x0c\r"
+#: Writes a table that is gone when the operator ends.
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def _spaced(line: Column) -> Column:
-    """A line's tokens with one space between them."""
-    line = F.btrim(line, F.lit(_BLANKS))
-    # Most lines have neither odd spaces nor digits, and pay for no replacement.
-    return F.when(line.rlike("[\t\x0b\x0c\r]|  "), F.regexp_replace(line, "[\t\x0b\x0c\r ]+", " ")).otherwise(line)
-
-
-def _masked(line: Column) -> Column:
-    """A line of :func:`_spaced` in which a token with a digit is the wildcard."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILDCARD)).otherwise(line)
+def _spaced(text: Column) -> Column:
+    """A text whose lines have single spaces for blanks; the spaces at a line's ends are left to trim."""
+    odd = F.contains(text, F.lit("  ")) | text.rlike("[\t\x0b\x0c\r]")
+    return F.when(odd, F.regexp_replace(text, "[ \t\x0b\x0c\r]+", " ")).otherwise(text)
 
 
 def _lines(docs: DataFrame, text: str, key: str, min_docs: int, long_min_docs: int) -> DataFrame:
-    """A row for each line that isn't blank: id, text hash, line number, leaf, hashes of the template and of the line, size, texts needed, tokens."""
+    """A row for each line that isn't blank: id, text hash, number among all lines and among these, leaf, hashes of the
+    template and of the line, size, texts needed, tokens.
+
+    Each step's columns are used more than once in the next, so Spark keeps the steps apart and computes them once.
+    """
     df = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"))
-    df = df.select("_id", "_h", F.posexplode(F.split("_t", "\n", -1)).alias("_n", "_line"))
-    df = df.select("_id", "_h", "_n", _spaced(F.col("_line")).alias("_r")).where("_r <> ''")
-    df = df.select("*", _masked(F.col("_r")).alias("_s"))
-    size = F.length("_s") - F.length(F.replace("_s", F.lit(" "), F.lit(""))) + 1
+    # Most texts need nothing but this one search.
+    df = df.select("*", (F.contains("_t", F.lit("  ")) | F.col("_t").rlike("[0-9\t\x0b\x0c\r]")).alias("_odd"))
+    body = F.when(F.col("_odd"), _spaced(F.col("_t"))).otherwise(F.col("_t"))
+    lines = F.transform(F.split(body, "\n", -1), lambda x, n: F.struct(F.trim(x).alias("_r"), n.alias("_n")))
+    df = df.select("_id", "_h", "_odd", F.posexplode(F.filter(lines, lambda x: x["_r"] != "")).alias("_k", "_line"))
+    df = df.select("_id", "_h", "_odd", "_k", "_line._n", "_line._r")
+    df = df.select("*", F.xxhash64("_r").alias("_raw"), (F.col("_odd") & F.col("_r").rlike("[0-9]")).alias("_digits"))
+    # In _s, a token with a digit is the wildcard.
+    df = df.select("*", F.when(F.col("_digits"), F.regexp_replace("_r", "[^ ]*[0-9][^ ]*", WILDCARD)).otherwise(F.col("_r")).alias("_s"))
+    size = F.octet_length("_s") - F.octet_length(F.replace("_s", F.lit(" "), F.lit(""))) + 1
     df = df.select("*", size.cast("int").alias("_size"))
     left = F.col("_size") - (F.length("_s") - F.length(F.replace("_s", F.lit(WILDCARD), F.lit("")))) / len(WILDCARD)
-    few = (F.col("_s") != F.col("_r")) & ((left < 2) | (2 * left < F.col("_size")))
+    df = df.select("*", F.when(F.col("_digits"), (left < 2) | (2 * left < F.col("_size"))).otherwise(F.lit(False)).alias("_few"))
     leaf = F.xxhash64("_size", F.substring_index("_s", " ", DEPTH))
     need = F.when(F.col("_size") >= LONG, long_min_docs).otherwise(min_docs)
-    df = df.select("_id", "_h", "_n", leaf.alias("_leaf"), "_size", need.alias("_min"), few.alias("_few"), "_r", "_s")
-    full = F.when(F.col("_few"), F.xxhash64(F.lit("figures"), F.lower("_r"))).otherwise(F.xxhash64("_s"))
-    return df.select("_id", "_h", "_n", "_leaf", full.alias("_full"), F.xxhash64("_r").alias("_raw"), "_size", "_min", "_few", "_s")
+    full = F.when(F.col("_few"), F.xxhash64(F.lit("figures"), F.lower("_r"))).when(F.col("_digits"), F.xxhash64("_s")).otherwise(F.col("_raw"))
+    return df.select("_id", "_h", "_n", "_k", leaf.alias("_leaf"), full.alias("_full"), "_raw", "_size", need.alias("_min"), "_few", "_s")
 
 
 def _recurring(rows: DataFrame, template: str) -> DataFrame:
@@ -90,15 +93,20 @@ def _recurring(rows: DataFrame, template: str) -> DataFrame:
     )
 
 
-def _passages(lines: DataFrame) -> DataFrame:
-    """``_id, _h, _n``: the lines of each run of ``LONG`` tokens that an earlier text has, too."""
+def _passages(lines: DataFrame, keep: Keep) -> DataFrame:
+    """``_h, _n``: the lines of each run of ``LONG`` tokens that an earlier text has, too.
+
+    ``lines`` are those that several texts have: of others no such run can be made.
+    """
     # Equal rows count once; the counts are combined before the exchange.
-    one = lines.groupBy("_h", "_n").agg(F.min("_id").alias("_id"), F.first("_raw").alias("_raw"), F.first("_size").alias("_size"))
-    one = one.select("*", F.sum("_size").over(W.partitionBy("_h").orderBy("_n")).alias("_end"))
+    one = lines.groupBy("_h", "_k").agg(*(F.first(c).alias(c) for c in ("_n", "_raw", "_size")), F.min("_id").alias("_id"))
+    # Lines that follow one another have one difference of number and rank.
+    one = one.select("*", (F.col("_k") - F.row_number().over(W.partitionBy("_h").orderBy("_k"))).alias("_block"))
+    one = one.select("*", F.sum("_size").over(W.partitionBy("_h", "_block").orderBy("_k")).alias("_end"))
     one = one.select("*", (F.col("_end") - F.col("_size")).alias("_start"))
     # The shortest runs that begin and that end with a line: these cover all lines of any longer run.
-    after = W.partitionBy("_h").orderBy("_start").rangeBetween(0, LONG - 1)
-    before = W.partitionBy("_h").orderBy("_end").rangeBetween(1 - LONG, 0)
+    after = W.partitionBy("_h", "_block").orderBy("_start").rangeBetween(0, LONG - 1)
+    before = W.partitionBy("_h", "_block").orderBy("_end").rangeBetween(1 - LONG, 0)
     ways = [
         F.struct(
             F.xxhash64(F.collect_list("_raw").over(w)).alias("_run"), F.sum("_size").over(w).alias("_len"),
@@ -108,11 +116,19 @@ def _passages(lines: DataFrame) -> DataFrame:
     ]
     runs = one.select("_id", "_h", F.array(*ways).alias("_ways")).select("_id", "_h", F.lit(2).alias("_min"), F.explode("_ways").alias("_way"))
     runs = runs.select("_id", "_h", "_min", "_way.*")
-    runs = materialize(runs.where(F.col("_len") >= LONG).drop("_len"), "runs")
-    found = materialize(_recurring(runs, "_run"), "passages")
+    runs = keep(runs.where(F.col("_len") >= LONG).drop("_len"), "runs")
+    found = keep(_recurring(runs, "_run"), "passages")
     again = runs.join(broadcast_if_small(found), "_run").where(F.col("_h") != F.col("_keeper"))
     # Lines between two of a run are blank or part of it.
-    return again.select("_id", "_h", F.explode(F.sequence("_from", "_last")).alias("_n")).distinct()
+    return again.select("_h", F.explode(F.sequence("_from", "_last")).alias("_n")).distinct()
+
+
+def _constants(lines: DataFrame) -> DataFrame:
+    """``_w, _c``: tokens that stand at their place in enough texts, and in how many."""
+    # A text's tokens as one array, so that rows are dealt by text and counts are combined before they are dealt by token.
+    texts = lines.groupBy("_h", "_min").agg(F.array_distinct(F.flatten(F.collect_set("_tokens"))).alias("_tokens"))
+    counts = texts.select("_min", F.explode("_tokens").alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_c"), F.min("_min").alias("_min"))
+    return counts.where("_c >= _min").select("_w", "_c")
 
 
 def recurring_lines(
@@ -124,59 +140,63 @@ def recurring_lines(
     similarity: float = SIMILARITY,
     passages: bool = False,
 ) -> DataFrame:
-    """``_id, _h, drop``: for each text that loses lines, the numbers of these lines."""
-    lines = _lines(docs, text, key, min_docs, long_min_docs)
-    slim = materialize(lines.drop("_s", "_few", *([] if passages else ["_raw", "_size"])), "lines")
-    exact = materialize(_recurring(slim, "_full"), "templates")
-    leaves = slim.groupBy("_leaf", "_h").agg(F.min("_min").alias("_min")).groupBy("_leaf").agg(
-        F.count(F.lit(1)).alias("_docs"), F.min("_min").alias("_min")
-    )
-    leaves = materialize(leaves.where("_docs >= _min").select("_leaf", "_docs"), "leaves")
-
-    # Lines of busy leaves without an exact template: find constant tokens, mask the rest, count again.
-    open_lines = lines.where(~F.col("_few")).join(broadcast_if_small(leaves), "_leaf").join(
-        broadcast_if_small(exact.select("_full")), "_full", "left_anti"
-    )
-    tokens = F.split("_s", " ")
-    open_lines = open_lines.withColumn("_words", F.size(F.filter(tokens, lambda t: t != WILDCARD)))
-    at = open_lines.select("_id", "_h", "_n", "_leaf", "_docs", "_min", "_words", F.posexplode(tokens).alias("_p", "_w"))
-    at = materialize(at.where(F.col("_w") != WILDCARD).withColumn("_w", F.xxhash64("_w")), "open-tokens")
-    constant = (
-        at.groupBy("_leaf", "_p", "_w", "_h").agg(F.min("_min").alias("_min"))
-        .groupBy("_leaf", "_p", "_w").agg(F.count(F.lit(1)).alias("_c"), F.min("_min").alias("_min"))
-        .where("_c >= _min").select("_leaf", "_p", "_w", "_c")
-    )
-    # A set, so repeated rows of one text give each token once.
-    masked = (
-        at.join(broadcast_if_small(materialize(constant, "constants")), ["_leaf", "_p", "_w"])
-        .groupBy("_h", "_n", "_leaf", "_docs", "_min", "_words")
-        .agg(F.min("_id").alias("_id"), F.sort_array(F.collect_set(F.struct("_p", "_w", "_c"))).alias("_tok"))
-    )
-    most = F.greatest(F.col("_min").cast("double"), _CONSTANT * F.col("_docs"))
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(most / F.col("_min"))).cast("int"))
-    least = F.transform(steps, lambda k: F.greatest(F.col("_min").cast("double"), most / F.pow(F.lit(2.0), k)))
-    sets = F.transform(least, lambda n: F.filter("_tok", lambda t: t["_c"] >= n))
-    sets = F.filter(sets, lambda x: F.size(x) >= similarity * F.col("_words"))
-    masks = F.array_distinct(F.transform(sets, lambda x: F.xxhash64("_leaf", x)))
-    masked = masked.select("_id", "_h", "_n", "_min", F.explode(masks).alias("_mask"))
-    masked = materialize(masked, "masked-lines")
-    general = _recurring(masked, "_mask")
-
-    gone = [
-        rows.join(broadcast_if_small(found), template).where(F.col("_h") != F.col("_keeper")).select("_id", "_h", "_n")
-        for rows, found, template in ((slim, exact, "_full"), (masked, materialize(general, "templates"), "_mask"))
-    ]
-    if passages:
-        # By text only: all rows of a text lose the same lines.
-        texts = slim.select("_id", "_h").distinct()
-        gone.append(texts.join(_passages(slim).drop("_id"), "_h").select("_id", "_h", "_n"))
-    return functools.reduce(DataFrame.union, gone).groupBy("_id", "_h").agg(F.collect_set("_n").alias("drop"))
+    """``_id, _h, drop``: for each text that loses lines, the numbers of these lines; a written table."""
+    with scratch(docs.sparkSession) as keep:
+        with scratch(docs.sparkSession) as early:
+            lines = early(_lines(docs, text, key, min_docs, long_min_docs), "lines")
+            slim = lines.drop("_s", "_few")
+            # Most lines are of one text only: what is done with the others works on few rows.
+            several = slim.groupBy("_full").agg(F.count(F.lit(1)).alias("_rows"), F.min("_h").alias("_a"), F.max("_h").alias("_b"))
+            several = early(several.where("_a < _b").select("_full", "_rows"), "several")
+            shared = keep(slim.join(broadcast_if_small(several), "_full"), "shared-lines")
+            exact = keep(_recurring(shared.where("_rows >= _min"), "_full"), "templates")
+            leaves = slim.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_rows"), F.min("_min").alias("_least"))
+            leaves = early(leaves.where("_rows >= _least").select("_leaf"), "leaves")
+
+            # Lines of busy leaves without an exact template: find constant tokens, mask the rest, count again.
+            open_lines = lines.join(broadcast_if_small(leaves), "_leaf").join(
+                broadcast_if_small(exact.select("_full")), "_full", "left_anti"
+            )
+            # A token with its place in the tree as one number; wildcards have none.
+            place = F.transform(F.split("_s", " "), lambda t, i: F.when(t != WILDCARD, F.xxhash64("_leaf", i, t)))
+            place = F.when(F.contains("_s", F.lit(WILDCARD)), F.filter(place, lambda w: w.isNotNull())).otherwise(place)
+            # Lines of figures get no tokens; a filter Spark would put before the joins with all that it takes to compute.
+            place = F.when(~F.col("_few"), place)
+            at = keep(open_lines.select("_id", "_h", "_n", "_leaf", "_min", place.alias("_tokens")), "open-lines")
+        at = at.where("size(_tokens) > 0")
+        constants = keep(_constants(at), "constants")
+        # A line of a text is one group, however many rows have the text; a set, so that these add nothing.
+        masked = (
+            at.select("_id", "_h", "_n", "_leaf", "_min", F.size("_tokens").alias("_words"), F.explode("_tokens").alias("_w"))
+            .join(broadcast_if_small(constants), "_w")
+            .groupBy("_h", "_n", "_leaf", "_min", "_words")
+            .agg(F.min("_id").alias("_id"), F.sort_array(F.collect_set(F.struct("_w", "_c"))).alias("_tok"))
+        )
+        most = F.array_max(F.transform("_tok", lambda t: t["_c"]))
+        steps = F.sequence(F.lit(0), F.floor(F.log2(most / F.col("_min"))).cast("int"))
+        sets = F.transform(steps, lambda k: F.filter("_tok", lambda t: t["_c"] >= F.pow(F.lit(2.0), k) * F.col("_min")))
+        sets = F.filter(sets, lambda x: F.size(x) >= similarity * F.col("_words"))
+        masks = F.array_distinct(F.transform(sets, lambda x: F.xxhash64("_leaf", x)))
+        masked = masked.select("_id", "_h", "_n", "_min", F.explode(masks).alias("_mask"))
+        masked = keep(masked, "masked-lines")
+        general = _recurring(masked, "_mask")
+
+        def lost(rows: DataFrame, found: DataFrame, template: str) -> DataFrame:
+            return rows.join(broadcast_if_small(found), template).where(F.col("_h") != F.col("_keeper"))
+
+        gone = lost(masked, keep(general, "templates"), "_mask").select("_h", "_n")
+        if passages:
+            gone = gone.union(_passages(shared, keep))
+        # All rows of a text lose the same lines.
+        texts = shared.select("_id", "_h").union(at.select("_id", "_h")).distinct()
+        gone = texts.join(gone.distinct(), "_h").select("_id", "_h", "_n")
+        gone = gone.union(lost(shared, exact, "_full").select("_id", "_h", "_n"))
+        return materialize(gone.groupBy("_id", "_h").agg(F.collect_set("_n").alias("drop")), "dropped-lines")
 
 
 def _without(docs: DataFrame, text: str, key: str, **options) -> DataFrame:
     """``docs`` with ``text`` cut, and the numbers of the lines that went as ``__drop`` (null: none)."""
-    found = materialize(recurring_lines(docs, text, key, **options), "dropped-lines")
-    cuts = found.select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("drop").alias("__drop"))
+    cuts = recurring_lines(docs, text, key, **options).select(F.col("_id").alias("__id"), F.col("_h").alias("__h"), F.col("drop").alias("__drop"))
     match = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h"))
     kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("__drop", i))
     body = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
