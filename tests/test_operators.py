@@ -1,4 +1,5 @@
 import functools
+import io
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.operators.completion import NetworkError, RequestError, RetriesExhausted, complete, send_prompt
 from tidewater.operators.retries import backoff_delay, exit_code, retry_trace
 from tidewater.operators.token_cache import refresh_trace
-from tidewater.sources.endpoint import HttpTransport, OAuthTokens, oauth_transport
+from tidewater.sources.endpoint import HttpTransport, OAuthTokens, expiry, oauth_transport
 from tidewater.sources.settings import Settings, load_env_file
 
 GOOD = json.dumps({"choices": [{"message": {"role": "assistant", "content": "Hello"}}]})
@@ -56,6 +57,46 @@ def test_complete(spark, outcomes, retries, want):
     assert (r["text"], r["status"], r["error_class"], r["attempts"]) == want
 
 
+@pytest.mark.parametrize(
+    "outcomes, want",
+    [
+        ([(200, GOOD)], None),
+        ([(503, "busy")], "no reply after 2 attempts: HTTP 503: busy"),
+        ([NetworkError("timeout")], "no reply after 2 attempts: timeout"),
+        ([(429, ""), NetworkError("reset")], "no reply after 2 attempts: reset"),
+        ([(401, "no: Bearer abc.def")], "HTTP 401: no: Bearer ***"),
+        ([(302, "")], "HTTP 302"),
+        ([RequestError("no token")], "no token"),
+        ([KeyError("x")], "KeyError: 'x'"),
+        ([(200, '{"choices":[]}')], 'unexpected response: {"choices":[]}'),
+        ([(200, "{")], "unexpected response: {"),
+    ],
+)
+def test_error_messages(spark, outcomes, want):
+    assert one(spark, outcomes, max_retries=1)["error_message"] == want
+
+
+def broken_maker():
+    raise OSError("no certificates")
+
+
+def test_a_maker_or_transport_that_raises_ends_rows_not_jobs(spark):
+    r = one(spark, [ZeroDivisionError("odd")])
+    assert (r["error_class"], r["attempts"], r["error_message"]) == ("unhandled", 1, "ZeroDivisionError: odd")
+    df = spark.createDataFrame([(1, "a"), (2, "")], "id long, prompt string")
+    rows = {r["id"]: (r["error_class"], r["error_message"]) for r in complete(df, broken_maker, ["id"]).collect()}
+    assert rows == {1: ("unhandled", "OSError: no certificates"), 2: ("invalid_usage", "no prompt")}
+
+
+def test_keys_may_have_any_name_but_those_of_the_result(spark):
+    names = ["usage", "payload", "body", "failure", "detail", "key1"]
+    df = spark.createDataFrame([(*range(6), "a")], ", ".join(f"{n} int" for n in names) + ", prompt string")
+    r = complete(df, functools.partial(Script, [(200, GOOD)]), names).head()
+    assert [r[n] for n in names] == [*range(6)] and r["text"] == "Hello"
+    with pytest.raises(ValueError, match="status"):
+        complete(df.withColumn("status", F.lit(1)), Script, ["status"])
+
+
 @pytest.mark.parametrize("prompt", ["", None])
 def test_empty_prompts_are_not_sent(spark, prompt):
     r = one(spark, [AssertionError()], prompt)
@@ -130,6 +171,11 @@ def test_settings(monkeypatch, tmp_path):
     import os
 
     assert (os.environ["SET_BEFORE"], os.environ["FROM_FILE"]) == ("1", "y z")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("LLM_MODEL")
+    (tmp_path / ".env").write_text("LLM_MODEL=from-file\n")
+    assert Settings.from_env().model == "from-file"
+    monkeypatch.delenv("LLM_MODEL")
 
 
 class Tokens:
@@ -169,6 +215,22 @@ def test_oauth_failures_are_final(answer):
         OAuthTokens(OAUTH, send=Tokens(answer)).token()
 
 
+def test_a_token_is_shared_by_the_tasks_of_a_worker():
+    assert oauth_transport(OAUTH).tokens is oauth_transport(OAUTH).tokens
+
+
+@pytest.mark.parametrize(
+    "answer, want",
+    [
+        ({"expires_at": 1_000_000_000_000}, 1e12), ({"expires_at": 1_000_000_000_001.0}, 1_000_000_000.001), ({"expires_at": "12"}, 12.0),
+        ({"expires_at": "soon", "expires_in": 5}, 105.0), ({"expires_at": None, "expires_in": "7"}, 107.0), ({}, 1900.0),
+        ({"expires_in": []}, 1900.0), ({"expires_at": float("nan"), "expires_in": 1}, 101.0),
+    ],
+)
+def test_expiry(answer, want):
+    assert expiry(answer, 100.0) == want
+
+
 def test_oauth_needs_a_secret_and_a_base_url():
     with pytest.raises(RequestError, match="client_secret"):
         OAuthTokens(Settings(oauth_client_secret="", oauth_basic_auth="")).token()
@@ -232,6 +294,16 @@ def test_command_line(spark, server, capsys, monkeypatch):
     assert cli.main(["deny", "--base-url", server]) == 1
     assert "error:" in capsys.readouterr().err
     assert cli.main([" ", "--base-url", server]) == 2
+    assert cli.main(["hi", "--provider", "oauth", "--base-url", "https://api.openai.com/v1"]) == 1
+    assert "base_url" in capsys.readouterr().err
+    monkeypatch.setattr("sys.stdin", io.StringIO(" piped\n\nin \n"))
+    assert cli.main(["--base-url", server]) == 0
+    assert Handler.seen[-1][2]["messages"][0]["content"] == "piped\n\nin"
+    typed = io.StringIO("\n typed\n\nnot\n")
+    typed.isatty = lambda: True
+    monkeypatch.setattr("sys.stdin", typed)
+    assert cli.main(["--base-url", server]) == 0
+    assert Handler.seen[-1][2]["messages"][0]["content"] == "typed"
     assert cli.typed_text(["\n", "a\n", "b\n", "\n", "c\n"]).strip() == "a\nb"
 
 

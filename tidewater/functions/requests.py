@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 ENDPOINT = "/chat/completions"
+#: Settings whose empty override counts; for all others it stands for none.
+EMPTY_COUNTS = frozenset({"api_key"})
 
 
 def endpoint_url(base_url: Column) -> Column:
@@ -44,3 +46,8 @@ def bearer(provider_token: Column, api_key: Column, has_provider: Column) -> Col
 def override(value: Column, base: Column, *, keep_empty: bool = False) -> Column:
     """A setting with its override; an empty override counts only with ``keep_empty``."""
     return F.coalesce(value if keep_empty else F.nullif(value, F.lit("")), base)
+
+
+def redact(message: Column) -> Column:
+    """A message without the credentials of an authorization header, in case an endpoint repeats them."""
+    return F.regexp_replace(message, r"(?i)\b(bearer|basic)\s+[^\s\"',;]+", "$1 ***")

@@ -1,6 +1,6 @@
 """Completion of a DataFrame of prompts.
 
-Prompts are projected to request bodies by Spark, sent from ``mapInPandas`` with
+Prompts are projected to request bodies by Spark, sent from ``mapInArrow`` with
 retries, and the raw outcome (status, body, attempts) is classified by Spark
 again.  Failures are columns, so one bad row doesn't end a job.
 
@@ -11,17 +11,20 @@ before it.  The number of running tasks bounds the concurrency.
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.functions.replies import reply
-from tidewater.functions.requests import payload, status_kind
+from tidewater.functions.requests import payload, redact, status_kind
 from tidewater.functions.text import prompt_status
 
+log = logging.getLogger(__name__)
+
 
 class CompletionError(Exception):
     """Base of all failures of a completion."""
@@ -47,7 +50,23 @@ class Transport(Protocol):
         ...
 
 
-_RAW = "status int, body string, attempts int, failure string"
+class Sent(NamedTuple):
+    """What became of one request."""
+
+    status: int | None
+    body: str | None
+    attempts: int
+    failure: str | None = None
+    detail: str | None = None
+
+
+_RAW = pa.schema(
+    [("status", pa.int32()), ("body", pa.string()), ("attempts", pa.int32()), ("failure", pa.string()), ("detail", pa.string())]
+)
+#: Rows that a task gives out together.
+_TOGETHER = 64
+#: Columns of a result beside the keys.
+RESULT = ("text", "status", "error_class", "error_message", "attempts")
 
 
 def send_all(
@@ -57,44 +76,57 @@ def send_all(
     backoff: float = 1.0,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """Send the ``payload`` column of each row; adds ``status, body, attempts, failure``.  Null payloads aren't sent."""
+    """Send the ``payload`` column of each row; adds ``status, body, attempts, failure, detail``.
 
-    def one(transport: Transport, body: str) -> tuple[int | None, str | None, int, str | None]:
-        status, text, failure = None, None, "retry_exhausted"
+    Null payloads aren't sent.  Whatever a transport or its maker raises ends the row, never the task.
+    """
+
+    def one(transport: Transport, body: str) -> Sent:
+        last = Sent(None, None, max(0, max_retries + 1), "retry_exhausted")
         for attempt in range(max_retries + 1):
             try:
                 status, text = transport.send(body)
-            except NetworkError:
-                status, text = None, None
-            except RequestError as error:
-                return None, str(error), attempt + 1, "request"
+            except NetworkError as error:
+                last = last._replace(status=None, body=None, detail=str(error))
+            except Exception as error:
+                known = isinstance(error, RequestError)
+                return Sent(None, None, attempt + 1, "request" if known else "unhandled", str(error) if known else _told(error))
             else:
                 if status != 429 and status < 500:
-                    return status, text, attempt + 1, None
+                    return Sent(status, text, attempt + 1)
+                last = last._replace(status=status, body=text, detail=None)
+            log.warning("attempt %d: %s", attempt + 1, last.detail or f"HTTP {last.status}")
             if attempt < max_retries:
-                sleep(backoff * 2**attempt)
-        return status, text, max(0, max_retries + 1), failure
+                delay = backoff * 2**attempt
+                log.info("trying again in %.2f s", delay)
+                sleep(delay)
+        return last
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        transport = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transport = broken = None
         for batch in batches:
-            rows = []
-            for body in batch["payload"]:
-                if body is None:
-                    rows.append((None, None, 0, None))
-                    continue
-                transport = transport or make_transport()
-                rows.append(one(transport, body))
-            made = pd.DataFrame(rows, columns=["status", "body", "attempts", "failure"], index=batch.index)
-            made["status"] = made["status"].astype("Int32")
-            yield pd.concat([batch, made], axis=1)
+            for start in range(0, len(batch), _TOGETHER):
+                part, rows = batch.slice(start, _TOGETHER), []
+                for body in part.column("payload").to_pylist():
+                    if body is not None and not transport and not broken:
+                        try:
+                            transport = make_transport()
+                        except Exception as error:
+                            broken = Sent(None, None, 0, "unhandled", _told(error))
+                    rows.append(Sent(None, None, 0) if body is None else broken or one(transport, body))
+                made = [pa.array(values, field.type) for values, field in zip(zip(*rows), _RAW)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *_RAW.names])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.mapInPandas(run, f"{columns}, {_RAW}")
+    return requests.mapInArrow(run, f"{columns}, status int, body string, attempts int, failure string, detail string")
+
+
+def _told(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
 
 
 def classify(sent: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, text, status, error_class, attempts`` from raw outcomes."""
+    """``keys, text, status, error_class, error_message, attempts`` from raw outcomes; keys are the first columns of ``sent``."""
     answer = reply(F.col("body"))
     kind = status_kind(F.col("status"))
     error = (
@@ -104,8 +136,21 @@ def classify(sent: DataFrame, keys: list[str]) -> DataFrame:
         .when(kind != "ok", "unhandled")
         .otherwise(answer["error"])
     )
+    times = F.when(F.col("attempts") == 1, "1 attempt").otherwise(F.concat("attempts", F.lit(" attempts")))
+    answered = F.concat(F.lit("HTTP "), F.col("status"))
+    body = F.when(F.col("body") != "", F.concat(F.lit(": "), F.col("body"))).otherwise("")
+    message = (
+        F.when(F.col("usage") != "ok", "no prompt")
+        .when(F.col("failure") == "retry_exhausted", F.concat(F.lit("no reply after "), times, F.coalesce(
+            F.concat(F.lit(": "), F.coalesce(F.concat(answered, body), F.col("detail"))), F.lit(""))))
+        .when(F.col("failure").isNotNull(), F.col("detail"))
+        .when(kind != "ok", F.concat(answered, body))
+        .when(answer["error"].isNotNull(), F.concat(F.lit("unexpected response"), body))
+    )
     return sent.select(
-        *keys, F.when(error.isNull(), answer["text"]).alias("text"), "status", error.alias("error_class"), "attempts"
+        *(F.col(inner).alias(key) for inner, key in zip(sent.columns, keys)),
+        F.when(error.isNull(), answer["text"]).alias("text"), "status", error.alias("error_class"),
+        redact(message).alias("error_message"), "attempts",
     )
 
 
@@ -120,17 +165,21 @@ def complete(
     on_error: str = "column",
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """Replies to prompts: ``keys, text, status, error_class, attempts``.
+    """Replies to prompts: ``keys, text, status, error_class, error_message, attempts``.
 
     Empty and null prompts aren't sent.  With ``on_error="raise"`` a failed row fails the query.
+    Keys may have any names but those of the other columns.
     """
+    if taken := set(keys) & set(RESULT):
+        raise ValueError(f"keys have names of result columns: {', '.join(sorted(taken))}")
     usage = prompt_status(F.col(prompt))
     requests = prompts.select(
-        *keys, usage.alias("usage"), F.when(usage == "ok", payload(F.col(prompt), F.lit(model))).alias("payload")
+        *(F.col(key).alias(f"key{k}") for k, key in enumerate(keys)),
+        usage.alias("usage"), F.when(usage == "ok", payload(F.col(prompt), F.lit(model))).alias("payload"),
     )
     out = classify(send_all(requests, make_transport, max_retries, backoff, sleep), keys)
     if on_error == "raise":
-        failed = F.raise_error(F.concat(F.lit("completion failed: "), F.col("error_class")))
+        failed = F.raise_error(F.concat_ws(": ", F.lit("completion failed"), "error_class", "error_message"))
         out = out.withColumn("text", F.when(F.col("error_class").isNotNull(), failed.cast("string")).otherwise(F.col("text")))
     return out
 
@@ -145,6 +194,6 @@ def send_prompt(spark: SparkSession, prompt: str, make_transport: Callable[[], T
         case "invalid_usage":
             raise ValueError("no prompt")
         case "retry_exhausted":
-            raise RetriesExhausted(f"no reply after {row['attempts']} attempts; last status {row['status']}")
+            raise RetriesExhausted(row["error_message"])
         case other:
-            raise RequestError(f"{other}; status {row['status']}")
+            raise RequestError(f"{other}: {row['error_message']}")

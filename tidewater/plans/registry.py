@@ -271,6 +271,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT conv_id, turn, CASE WHEN kind = 'ok' THEN 'echo: ' || prompt END AS text,
               CAST(CASE kind WHEN 'request' THEN 401 WHEN 'retry_exhausted' THEN 503 WHEN 'invalid_usage' THEN NULL ELSE 200 END AS INTEGER) AS status,
               nullif(kind, 'ok') AS error_class,
+              CASE kind WHEN 'invalid_usage' THEN 'no prompt' WHEN 'request' THEN 'HTTP 401: denied'
+                WHEN 'retry_exhausted' THEN 'no reply after 3 attempts: HTTP 503: busy'
+                WHEN 'response_shape' THEN 'unexpected response: {{"choices":[]}}' END AS error_message,
               CAST(CASE WHEN kind = 'invalid_usage' THEN 0 WHEN kind = 'request' THEN 1 WHEN kind = 'retry_exhausted' THEN 3
                 WHEN length(prompt) % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts
             FROM (SELECT *, CASE WHEN coalesce(prompt, '') = '' THEN 'invalid_usage' WHEN length(prompt) % 11 = 0 THEN 'request'
