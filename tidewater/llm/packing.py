@@ -13,9 +13,9 @@ at most ``capacity`` entries, whatever the number of documents.  On it:
 2. The rest is packed best fit, in decreasing size, with bins of equal room as a group.
 
 The outcome is a short table of runs (size, range of ranks, first bin, place).
-Spark ranks the pieces of each length - by prefix sums over hash groups, so a
-length that a third of the pieces have isn't one task's work - and looks up each
-piece's bin in the runs.
+Spark ranks the pieces of each length - by prefix sums over hash groups, about as
+many groups of a length as each has pieces, so a length that a third of the pieces
+have isn't one task's work - and looks up each piece's bin in the runs.
 
 Cases: a null or empty text is one piece of the end token.  Repeated rows are
 pieces of their own.  Null ids are carried.  Empty tables give empty results.
@@ -23,10 +23,12 @@ pieces of their own.  Null ids are carried.  Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -37,7 +39,6 @@ from tidewater.plans.storage import materialize
 
 CAPACITY = 4096
 END_ID = 1
-GROUP_ROWS = 20_000
 
 
 class Run(NamedTuple):
@@ -213,15 +214,15 @@ def token_pieces(
         import zlib
 
         encode = piece_encoder(tokenizer)
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         for batch in chunks(batches):
             out: list[tuple] = []
             for doc, ids in zip(column(batch, "doc_id").to_pylist(), encode(column(batch, "text").to_pylist())):
-                ids += end
-                n = len(ids) // 4
+                ids = np.concatenate((ids.astype("<u4", copy=False), end))
+                n = len(ids)
                 for k, start in enumerate(range(0, n, capacity)):
                     stop = min(n, start + capacity)
-                    out.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    out.append((doc, k, start, stop - start, zlib.crc32(ids[start:stop])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=PIECE.names,
@@ -240,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for run in runs:
         by_size.setdefault(run.size, []).append(run)
     table = spark.createDataFrame(
-        [(s, -(-counts[s] // GROUP_ROWS), [tuple(r)[1:] for r in own]) for s, own in by_size.items()],
+        [(s, math.isqrt(counts[s]), [tuple(r)[1:] for r in own]) for s, own in by_size.items()],
         "length long, _n long, _runs array<struct<low:long,high:long,bin:long,per:long,offset:long>>",
     )
     rows = pieces.join(F.broadcast(table.select("length", "_n")), "length")  # at most capacity rows
