@@ -28,8 +28,8 @@ BUCKETS = 1024
 _LENGTH_STEP = 1.1
 _LENGTH_CAP, _LENGTH_WEIGHT = 32, 6
 _MOST = 6 * BUCKETS + _LENGTH_WEIGHT * _LENGTH_CAP
-#: Rows between two cuts of the id range, and cuts at most.
-RANGE_ROWS, RANGES = 2_000, 20_000
+#: Rows that an id range has, and ranges at most: a number for each is kept by the driver and sent to the tasks.
+RANGE_ROWS, RANGES = 2_000, 100_000
 
 _CODES = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
 _GAP = np.abs(_CODES[:, None, :] - _CODES[None, :, :])
@@ -77,34 +77,23 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return map_arrow(slim, run, "doc_id long, fingerprint string")
 
 
-def _first_ids(rows: DataFrame, cuts: list[int]) -> list[int]:
-    """The smallest id of each range between two cuts that has any, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = np.array(cuts, np.int64)
-        for batch in batches:
-            ids = column(batch, "doc_id")
-            at = np.searchsorted(starts, ids.to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids], names=["range", "doc_id"])
-
-    known = map_arrow(rows.where("doc_id is not null").select("doc_id"), run, "range long, doc_id long")
-    return sorted(r["low"] for r in known.groupBy("range").agg(F.min("doc_id").alias("low")).collect())
+def _first_ids(ids: DataFrame, ranges: int) -> list[int]:
+    """The smallest id of each of about ``ranges`` equal shares of the ids, in order; Spark cuts the shares."""
+    shares = ids.where("doc_id is not null").repartitionByRange(ranges, "doc_id")
+    lows = shares.groupBy(F.spark_partition_id().alias("share")).agg(F.min("doc_id").alias("low"))
+    return sorted(r["low"] for r in lows.collect())
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, text, digest, next_text, next_digest``: each row beside the one with the next id.
 
-    The id range is cut at quantiles.  The row at a cut is copied to the range before it, and the
-    first row to the last range, so each range finds all its neighbours and texts are dealt once.
+    The ids are cut into ranges of about equal counts.  A range's first row is copied to the range
+    before it, and the first of all to the last, so each range finds all its neighbours and texts are
+    dealt once.  A range is sorted as it is read, and spills if need be; how many rows it has only matters for balance.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = slim.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low")).head()
-    ranges = min(RANGES, math.ceil((size["n"] or 0) / RANGE_ROWS))
-    cuts: list[int] = []
-    if ranges > 1:
-        # Quantiles are doubles, so a large one may be no id that occurs: each range's first id is looked up.
-        cuts = slim.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)
-    heads = _first_ids(slim, sorted({size["low"], *(min(int(c), 2**63 - 1) for c in cuts)})) if ranges > 1 else [size["low"]] * (ranges == 1)
+    n = slim.where("doc_id is not null").count()
+    heads = _first_ids(slim.select("doc_id"), min(RANGES, math.ceil(n / RANGE_ROWS))) if n else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, places = np.array(heads, np.int64), {v: k for k, v in enumerate(heads)}
