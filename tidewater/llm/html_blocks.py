@@ -17,12 +17,12 @@ _NAME = re.compile("(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _SPECIAL, _BRACKET, _BLANK = re.compile("[=>]"), re.compile("[<>]"), re.compile(r"\s*")
 #: Elements whose content is no text.  One of the second kind that is left open is taken for any other element.
 _RAW, _ASIDE = frozenset("script style iframe title textarea".split()), frozenset("template svg noscript select".split())
-_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW | _ASIDE}
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW | _ASIDE}
 #: Of these, what can't be inside, so that an end tag behind it belongs to another one.
 _NOT_IN = {
-    "svg": re.compile(r"<(?:body|article|section|main|h[1-6]|p|div|table|ul|ol)\b", re.I),
-    "select": re.compile(r"<(?:select|body|article|section|main|h[1-6]|p|div|table|ul|ol)\b", re.I),
-    "noscript": re.compile(r"<(?:noscript|body)\b", re.I), "template": re.compile(r"<body\b", re.I),
+    "svg": re.compile(r"<(?:body|article|section|main|h[1-6]|p|div|table|ul|ol)(?=[\s/>])", re.I),
+    "select": re.compile(r"<(?:select|body|article|section|main|h[1-6]|p|div|table|ul|ol)(?=[\s/>])", re.I),
+    "noscript": re.compile(r"<(?:noscript|body)(?=[\s/>])", re.I), "template": re.compile(r"<body(?=[\s/>])", re.I),
 }
 #: Tags that leave a head open.
 _IN_HEAD = frozenset("head base link meta".split())
@@ -126,7 +126,8 @@ class _Reader:
             at = start + 1
             if page.startswith(("!", "?"), at):
                 comment = page.startswith("!--", at)
-                k = self._find("-->" if comment else ">", start + 4 if comment else at, lambda a, q="-->" if comment else ">": page.find(q, a))
+                # The shortest comments are <!--> and <!--->.
+                k = self._find("-->" if comment else ">", start + 2 if comment else at, lambda a, q="-->" if comment else ">": page.find(q, a))
                 at = len(page) if k < 0 else k + (3 if comment else 1)
                 yield _Token(start, at, None, "", None, "")
                 continue

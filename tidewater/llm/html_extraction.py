@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.html_blocks import Block, blocks
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1_000
 _EPOCHS, _RATE, _PENALTY = 10, 0.25, 1e-5
 
 
@@ -155,10 +155,15 @@ _NAMES = {
 }
 
 
+#: Kinds of pages: what the article is in - its own element, one that a name may tell, or nothing but the page.
+KINDS = ("article", "article", "article", "named", "named", "bare")
+
+
 class _Writer:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, kind: str | None = None):
         self.r = random.Random(seed)
         self.main: set[str] = set()
+        self.kind = kind or self.r.choice(KINDS)
 
     def word(self) -> str:
         return "".join(self.r.choice("bcdfghlmnprstvwéüñ") + self.r.choice("aeiouèöí") for _ in range(self.r.randint(1, 4)))
@@ -232,22 +237,28 @@ class _Writer:
 
     def body(self) -> str:
         r = self.r
-        kinds = [("<article>", "</article>")] * 6 + [("<main>", "</main>")] * 2
-        a, b = r.choice([*kinds, self.named("main", "div section article td main"), self.named("main", "div"), self.named("main", "div")])
-        if r.random() < 0.25:
+        a, b = "", ""
+        if self.kind == "article":
+            a, b = r.choice([("<article>", "</article>")] * 6 + [("<main>", "</main>")] * 2)
+        elif self.kind == "named":
+            a, b = self.named("main", r.choice(["div section article td main", "div"]))
+        if self.kind != "bare" and r.random() < 0.25:
             c, d = self.named("main", "div article section")
             a, b = a + c, d + b
         if r.random() < 0.3:
             a = r.choice(['<div id="page">', '<div class="wrapper">', '<div class="container">', "<div>"]) + a
             b += "</div>"
         title = self.words(1, 12)
-        out = a + (f"<h1>{self.keep(title)}</h1>" if r.random() < 0.85 else "")
+        head = f"<h1>{self.keep(title)}</h1>" if r.random() < (0.8 if a else 0.6) else ""
+        if head and a and r.random() < 0.2:  # an article's own header
+            head = f"<header>{head}" + (f"<p>{self.keep(self.prose(1))}</p>" if r.random() < 0.6 else "") + "</header>"
+        out = a + head
         unclosed, para = r.random() < 0.2, r.choice(["p"] * 9 + ["div"])
-        if r.random() < 0.05:  # text straight in the container
+        if a and r.random() < 0.05:  # text straight in the container
             return out + self.keep("<br><br>".join(self.prose(3) for _ in range(r.randint(1, 4)))) + b
         for k in range(r.choice([1, 2, 3, 5, 8, 13, 20])):
             x = r.random()
-            if x < 0.76 or k == 0:
+            if x < 0.76 or k == 0 and x < 0.84:
                 inner = self.prose(r.choice([1, 1, 2, 3, 5, 8]))
                 if r.random() < 0.12:  # tables as text, lists of names, lines without an end
                     inner = r.choice([" | ", " · ", " &copy; ", " "]).join(self.words(1, 40).split())
@@ -262,7 +273,9 @@ class _Writer:
             elif x < 0.88:
                 tag = r.choice(["ul", "ol"])
                 out += f"<{tag}>" + "".join(f"<li>{self.keep(self.prose(1))}</li>" for _ in range(r.randint(2, 5))) + f"</{tag}>"
-            elif x < 0.91:
+            elif x < 0.9 and a:  # sources and the like
+                out += "<ul>" + "".join(f'<li><a href="/{self.word()}">{self.keep(self.words(2, 6))}</a></li>' for _ in range(r.randint(2, 4))) + "</ul>"
+            elif x < 0.915 or k == 0:
                 out += f"<blockquote>{self.keep(self.prose(2))}</blockquote>"
             else:
                 out += self.noise(r.choice(["ad", "ad", "side", "share", "form", "notice"]))
@@ -277,15 +290,17 @@ class _Writer:
         if r.random() < 0.4:
             r.shuffle(before)
         after = [k for k, p in (("share", 0.15), ("comment", 0.4), ("side", 0.4), ("ad", 0.3), ("form", 0.2), ("nav", 0.1), ("footer", 0.85), ("notice", 0.1)) if r.random() < p]
+        if r.random() < 0.15:  # nothing but the article
+            before, after = [], []
         out += "".join(map(self.noise, before)) + self.body() + "".join(map(self.noise, after))
         return out + ("</body></html>" if r.random() < 0.9 else "")
 
 
-def labelled_pages(n: int = TRAINING_PAGES, seed: int = 0) -> list[tuple[list[Block], list[bool]]]:
-    """Generated pages as blocks with their labels."""
+def labelled_pages(n: int = TRAINING_PAGES, seed: int = 0, kind: str | None = None) -> list[tuple[list[Block], list[bool]]]:
+    """Generated pages, of one kind or of all, as blocks with their labels."""
     out = []
     for k in range(n):
-        writer = _Writer(seed * 1_000_003 + k)
+        writer = _Writer(seed * 1_000_003 + k, kind)
         page = blocks(writer.page())
         out.append((page, [b.text in writer.main for b in page]))
     return out
