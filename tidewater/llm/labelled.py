@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.plans.storage import materialize
 
-_START = 40
-
 
 def held_out(key: Column) -> Column:
     """Rows that no classifier may learn from: CRC-32 of the id as text is divisible by 5."""
@@ -19,8 +17,8 @@ def labelled_sample(
 ) -> DataFrame:
     """``text, label`` of up to ``per_class`` documents of each class, none of them held out.
 
-    Which ones depends on a hash of the id only.  Of documents of one class that begin alike, which are
-    mostly copies, one stays, else the words of a copied text would look like words of its class.  At most ``2 * per_class`` ids are broadcast.
+    Which ones depends on a hash of the id only.  Of equal texts of one class one stays, else the words of
+    a copied text would look like words of its class.  At most ``2 * per_class`` ids are broadcast.
     Labels that are null, or differ for one id, are left out.
     """
     known = (
@@ -34,5 +32,5 @@ def labelled_sample(
     picked = [known.where(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     few = F.broadcast(picked[0].union(picked[1]))
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    picked = rows.join(few, "_id").groupBy("label", F.left("text", F.lit(_START))).agg(F.min("text").alias("text"))
-    return materialize(picked.select("text", "label"), "sample")
+    sample = rows.join(few, "_id").select("text", "label").dropDuplicates()
+    return materialize(sample, "sample")
