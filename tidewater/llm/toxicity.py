@@ -20,13 +20,16 @@ Repeated rows get equal scores; null ids are carried; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,6 +43,7 @@ _SHORTEST, _LONGEST = 4, 8
 #: A learned term is so many times as frequent among the words of toxic documents, occurs in so many
 #: of them, and tells the classes of documents apart by so much (twice the log-likelihood ratio).
 _RATIO, _LEAST, _EVIDENCE = 8.0, 4, 20.0
+#: Terms, and exception phrases, that are learned at most: what the driver holds and sends to the tasks.
 _TERMS = 5_000
 #: Highest margin of a text without a match.
 _NO_MATCH = -1.0
@@ -121,7 +125,10 @@ class Matcher:
             (free if weight is None else found).append((end + 1 - length, end + 1, weight))
         if not free:
             return found
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, _ in free)]
+        # The farthest end among exceptions that begin no later than a term tells whether one of them holds it.
+        free.sort(key=lambda m: m[0])
+        begins, ends = [m[0] for m in free], [*itertools.accumulate((m[1] for m in free), max)]
+        return [m for m in found if not (k := bisect_right(begins, m[0])) or ends[k - 1] < m[1]]
 
     def measures(self, text: str) -> tuple[float, float]:
         """Log of the summed weight, and weight per word."""
@@ -265,15 +272,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below the threshold; scored in one pass, in place."""
+    """The rows of ``docs``, all columns, whose score is below the threshold; scored in one pass, in place.
+
+    Null and empty texts stay, and so does each of several rows with one id by its own text.
+    """
     model = learn(docs, labels, text=text, key=key)
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def of(column):
-        import pandas as pd
-
-        match = Matcher(model)
-        return pd.Series([match.score(t or "") for t in column], dtype="float64")
+    def of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        match = Matcher(model)  # once for a task, not for each batch
+        for column in columns:
+            yield pd.Series([match.score(t or "") for t in column], dtype="float64")
 
     return docs.where(of(F.col(text)) < threshold)
