@@ -18,11 +18,16 @@ hash, then any order, since tied rows are equal).  Empty tables give empty resul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.plans.joins import broadcast_if_small
 from tidewater.plans.storage import materialize
 
+#: Writes a table that several steps read.
+Keep = Callable[[DataFrame, str], DataFrame]
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -30,8 +35,6 @@ EPOCHS = 2.0
 SEED = 17
 #: Rows that a bucket holds on average; a cut sorts so many rows a source.
 BUCKET_ROWS = 50_000
-#: Share steps until no target is above its cap.  A step settles at least one source, or ends.
-_STEPS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -42,36 +45,47 @@ def word_count(text: Column) -> Column:
     return (F.size(parts) - edge - tail).cast("long")
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+def _before(df: DataFrame, order: list[Column], keep: Keep, **values: Column) -> DataFrame:
+    """Add, for each name, the sum of a value over all rows that come before in ``order``; sorted in ranges, not in one task."""
+    parts = df.select("*", *(v.alias(f"_v{n}") for n, v in values.items())).repartitionByRange(*order)
+    parts = keep(parts.withColumn("_part", F.spark_partition_id()), "ranges")
+    lower = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = parts.groupBy("_part").agg(*(F.sum(f"_v{n}").alias(f"_t{n}") for n in values))
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_t{n}").over(lower), F.lit(0)).alias(f"_t{n}") for n in values))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = parts.join(F.broadcast(totals), "_part")  # a row a partition
+    sums = {n: F.col(f"_t{n}") + F.coalesce(F.sum(f"_v{n}").over(inside), F.lit(0)) for n in values}
+    return rows.withColumns(sums).select(*df.columns, *values)
+
+
+def targets(sizes: DataFrame, keep: Keep, weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """``source, source_size, n_rows`` -> with ``target``: shares by weight, capped at ``epochs`` sizes.
 
     Sources are ranked by code point with null last; weights repeat along the rank.
     The excess over a cap goes to the others by weight.  Sorted by size per weight
     that has one closed form: sources below the level at which the remaining budget
-    per remaining weight stands are capped, the others get weight times level.  The
-    table has one row a source, so its windows are small beside the data.
+    per remaining weight stands are capped, the others get weight times level.
     """
-    ranked = sizes.withColumn("_i", F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1)
+    ranked = _before(sizes, [F.col("source").isNull(), F.col("source")], keep, _i=F.lit(1))
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("_w", w).withColumn("_cap", F.lit(float(epochs)) * F.col("source_size"))
-    up = W.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    everything = W.partitionBy()
-    filled = (
-        ranked.withColumn("_capped", F.coalesce(F.sum("_cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_left", F.sum("_w").over(up.rowsBetween(W.currentRow, W.unboundedFollowing)))
-        .withColumn("_total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_left"))
-        # The first source, in this order, whose cap isn't reached sets the level for it and all after it.
-        .withColumn("_open", F.when(F.col("_cap") > F.col("_w") * F.col("_level"), F.col("_level")))
-        .withColumn("_level", F.first("_open", ignorenulls=True).over(up.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    )
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_w") * F.col("_level")))
-    return filled.select("source", "source_size", "n_rows", target.alias("target"))
+    ranked = ranked.withColumn("_ratio", F.col("_cap") / F.col("_w"))
+    filled = keep(_before(ranked, [F.col("_ratio"), F.col("_i")], keep, _capped=F.col("_cap"), _gone=F.col("_w")), "filled")
+    whole = filled.agg((F.sum("source_size") * F.lit(float(share))).alias("_total"), F.sum("_w").alias("_weight"))
+    level = (F.col("_total") - F.col("_capped")) / (F.col("_weight") - F.col("_gone"))
+    at = filled.join(F.broadcast(whole)).withColumn("_own", level).where(F.col("_cap") > F.col("_w") * F.col("_own"))
+    # The first source, in this order, whose cap isn't reached sets the level for it and all after it.
+    first = at.agg(F.min(F.struct("_ratio", "_i", "_own")).alias("_first")).select("_first.*")
+    first = first.select(F.col("_ratio").alias("_fr"), F.col("_i").alias("_fi"), F.col("_own").alias("_level"))
+    open_ = (F.col("_ratio") > F.col("_fr")) | ((F.col("_ratio") == F.col("_fr")) & (F.col("_i") >= F.col("_fi")))
+    target = F.when(open_, F.least("_cap", F.col("_w") * F.col("_level"))).otherwise(F.col("_cap"))
+    return filled.join(F.broadcast(first)).select("source", "source_size", "n_rows", target.alias("target"))  # one row each
 
 
 def _key(docs: DataFrame, text: str, key: str, seed: int) -> Column:
-    """A uniform 64-bit key of a row's id and text; equal rows have equal keys."""
-    return F.xxhash64(F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")), docs[text])
+    """A uniform 60-bit key of a row's id and text, which any SQL engine can state; equal rows have equal keys."""
+    parts = F.concat_ws(":", F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")), docs[text])
+    return F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("long")
 
 
 def mix(
@@ -102,7 +116,7 @@ def mix(
     )
     plan = targets(
         slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")),
-        weights, share, epochs,
+        materialize, weights, share, epochs,
     )
     rest = F.col("target") - F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) * F.col("source_size")
     plan = materialize(
@@ -114,8 +128,8 @@ def mix(
         ),
         "mix-plan",
     )
-    # Keys are uniform over the longs: an equal-width range of keys is an equal share of the rows.
-    position = (F.col("_k").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
+    # Keys are uniform: an equal-width range of keys is an equal share of the rows.
+    position = F.col("_k") / F.lit(2.0**60)
     bucket = F.least(F.floor(position * F.col("_n")), F.col("_n") - 1).cast("long")
     rows = slim.join(broadcast_if_small(plan).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_b", bucket)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.mixing import EPOCHS, SEED, SHARE, WEIGHTS
 from tidewater.llm.quality_rules import RULES, STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -57,3 +58,31 @@ def quality_rules() -> str:
           FROM x)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AS kept
         FROM y"""
+
+
+def source_mixing() -> str:
+    weights = ", ".join(map(str, WEIGHTS))
+    return f"""
+        WITH d AS (
+          SELECT doc_id, source, CAST(len({_WORDS.format("text")}) AS BIGINT) AS size,
+            CAST('0x' || substr(md5(concat_ws(':', {SEED}, coalesce(CAST(doc_id AS VARCHAR), ''), text)), 1, 15) AS BIGINT) AS k
+          FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM s),
+        w AS (SELECT *, [{weights}][i % {len(WEIGHTS)} + 1] AS w, {EPOCHS} * source_size AS cap FROM r),
+        l AS (
+          SELECT *, (sum(source_size) OVER () * {SHARE}
+              - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own
+          FROM w),
+        f AS (SELECT cap / w AS ratio, i AS fi, own AS level FROM l WHERE cap > w * own ORDER BY ratio, fi LIMIT 1),
+        t AS (
+          SELECT source, source_size,
+            CAST(CASE WHEN level IS NULL OR (cap / w, i) < (ratio, fi) THEN cap ELSE least(cap, w * level) END AS DOUBLE) AS target
+          FROM l LEFT JOIN f ON true),
+        e AS (SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS epochs FROM t),
+        x AS (
+          SELECT doc_id, size, source_size, target, epochs, CAST(round(target - epochs * source_size) AS BIGINT) AS budget,
+            sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS run
+          FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, budget - run)) AS BIGINT) AS taken FROM x"""

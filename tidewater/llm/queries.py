@@ -95,4 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn from labels, hash, or search, which SQL doesn't express; tests hold them to brute force."""
-    return {"op4_near_duplicates": oracles.near_duplicates(), "op8_quality_rules": oracles.quality_rules()}
+    return {
+        "op4_near_duplicates": oracles.near_duplicates(),
+        "op8_quality_rules": oracles.quality_rules(),
+        "op10_source_mixing": oracles.source_mixing(),
+    }
