@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.line_dedup import DEPTH, LONG, LONG_MIN_DOCS, MIN_DOCS, SIMILARITY, WILDCARD
 from tidewater.llm.mixing import EPOCHS, SEED, SHARE, WEIGHTS
 from tidewater.llm.quality_rules import RULES, STOP_WORDS
 
@@ -29,6 +30,60 @@ def near_duplicates() -> str:
         FROM documents JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+def line_dedup() -> str:
+    """With ``passages``.  Texts are told apart by themselves; ids are taken to differ."""
+    longest = f"CASE WHEN size >= {LONG} THEN {LONG_MIN_DOCS} ELSE {MIN_DOCS} END"
+    recurring = """
+        SELECT {0}, min_by(text, first) AS keeper FROM (SELECT {0}, text, min(doc_id) AS first, min(least_docs) AS m FROM {1} GROUP BY {0}, text)
+        GROUP BY {0} HAVING count(*) >= min(m)"""
+    run = f"""
+        SELECT doc_id, text, 2 AS least_docs, list(line) OVER {{0}} AS run, sum(size) OVER {{0}} AS length, min(n) OVER {{0}} AS low, max(n) OVER {{0}} AS high
+        FROM ends WINDOW {{0}} AS (PARTITION BY doc_id ORDER BY {{1}})"""
+    after = run.format("w", f"stop - size RANGE BETWEEN CURRENT ROW AND {LONG - 1} FOLLOWING")
+    before = run.format("w", f"stop RANGE BETWEEN {LONG - 1} PRECEDING AND CURRENT ROW")
+    return rf"""
+        WITH raw AS (
+          SELECT doc_id, text, unnest(lines) AS x, unnest(range(len(lines))) AS n
+          FROM (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)),
+        clean AS (SELECT doc_id, text, n, trim(regexp_replace(x, '[ \t\x0B\x0C\r]+', ' ', 'g')) AS line FROM raw),
+        tok AS (SELECT *, string_split(line, ' ') AS words FROM clean WHERE line <> ''),
+        msk AS (SELECT *, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{WILDCARD}' ELSE w END) AS masked FROM tok),
+        cnt AS (SELECT *, len(words) AS size, len(list_filter(masked, lambda w: w <> '{WILDCARD}')) AS own, masked <> words AS digits FROM msk),
+        few AS (SELECT *, {longest} AS least_docs, digits AND (own < 2 OR 2 * own < size) AS few FROM cnt),
+        ln AS (
+          SELECT *, CASE WHEN few THEN 'figures ' || lower(line) ELSE 'words ' || array_to_string(masked, ' ') END AS template,
+            size || ' ' || array_to_string(masked[1:{DEPTH}], ' ') AS leaf
+          FROM few),
+        exact AS ({recurring.format("template", "ln")}),
+        busy AS (SELECT leaf FROM ln GROUP BY leaf HAVING count(*) >= min(least_docs)),
+        op AS (SELECT * FROM ln WHERE NOT few AND leaf IN (FROM busy) AND template NOT IN (SELECT template FROM exact)),
+        toks AS (
+          SELECT * FROM (SELECT doc_id, text, n, leaf, least_docs, own, unnest(masked) AS w, unnest(range(size)) AS p FROM op) WHERE w <> '{WILDCARD}'),
+        const AS (SELECT leaf, p, w, count(DISTINCT text) AS c FROM toks GROUP BY ALL HAVING c >= min(least_docs)),
+        has AS (SELECT doc_id, text, n, toks.leaf, least_docs, own, c, toks.p, toks.w
+          FROM toks JOIN const ON const.leaf = toks.leaf AND const.p = toks.p AND const.w = toks.w),
+        lvl AS (
+          SELECT doc_id, text, n, least_docs, leaf || ' ' || string_agg(p || '=' || w, ' ' ORDER BY p) AS mask
+          FROM has, range(40) r(k) WHERE c >= least_docs * 2 ** k
+          GROUP BY doc_id, text, n, least_docs, leaf, own, k HAVING count(*) >= {SIMILARITY} * own),
+        mask AS (SELECT DISTINCT doc_id, text, n, least_docs, mask FROM lvl),
+        general AS ({recurring.format("mask", "mask")}),
+        ends AS (SELECT doc_id, text, n, line, size, sum(size) OVER (PARTITION BY doc_id ORDER BY n) AS stop FROM ln),
+        runs AS (SELECT * FROM ({after} UNION ALL {before}) WHERE length >= {LONG}),
+        passage AS ({recurring.format("run", "runs")}),
+        gone AS (
+          SELECT ln.text, n FROM ln JOIN exact USING (template) WHERE ln.text <> keeper
+          UNION SELECT mask.text, n FROM mask JOIN general USING (mask) WHERE mask.text <> keeper
+          UNION SELECT text, unnest(range(low, high + 1)) FROM (SELECT runs.text, low, high FROM runs JOIN passage USING (run) WHERE runs.text <> keeper)),
+        cut AS (
+          SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone.n IS NOT NULL) AS n_dropped,
+            string_agg(x, chr(10) ORDER BY raw.n) FILTER (gone.n IS NULL) AS left_over
+          FROM raw LEFT JOIN gone ON gone.text = raw.text AND gone.n = raw.n GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 1) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+          CASE WHEN text IS NULL THEN NULL ELSE coalesce(left_over, '') END AS text
+        FROM documents LEFT JOIN cut USING (doc_id)"""
+
+
 def quality_rules() -> str:
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     rules = " AND ".join(

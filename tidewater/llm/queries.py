@@ -94,8 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The other operators learn from labels, hash, or search, which SQL doesn't express; tests hold them to brute force."""
+    """The other operators learn from labels or pages, count bytes or search, which SQL can't express or not in bounded memory; tests hold them to brute force."""
     return {
+        "op2_line_dedup": oracles.line_dedup(),
         "op4_near_duplicates": oracles.near_duplicates(),
         "op8_quality_rules": oracles.quality_rules(),
         "op10_source_mixing": oracles.source_mixing(),
