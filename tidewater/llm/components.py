@@ -36,4 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         labels = new.select("id", "component")
         if not changed:
+            discard(both)
             return labels

@@ -30,10 +30,9 @@ same set.  Texts that share an id are decided each by itself.  Empty tables give
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -42,7 +41,7 @@ from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.components import components
 from tidewater.llm.shingles import _mixed, shingle_sets
 from tidewater.plans.joins import broadcast_if_small
-from tidewater.plans.storage import materialize
+from tidewater.plans.storage import discard, materialize, scratch
 
 BAND_ROWS = 5
 #: Chance that a pair at the threshold shares no band, at most.
@@ -54,7 +53,9 @@ WIDE = 512
 #: Pairs that agree less than so many deviations below the threshold, over all values or over a part of so many,
 #: aren't confirmed.
 _DEVIATIONS, _PART = 5.7, 128
-_BLOCK = 256
+_BLOCK, _PAIRS = 2048, 16_384
+#: Writes a table that is gone when the operator ends.
+Keep = Callable[[DataFrame, str], DataFrame]
 
 _SKETCH = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 
@@ -144,49 +145,93 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield out
 
 
-def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one bucket's blocks that are in different components and may reach the threshold.
+def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows, cut so that no group goes over the end of one."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        values = [column(batch, c).to_numpy() for c in by]
+        new = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+        last = int(new[-1]) if len(new) else 0
+        if last:
+            yield batch.slice(0, last)
+        rest = batch.slice(last)
+    if rest is not None:
+        yield rest
+
+
+def _pair_numbers(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs inside groups, about ``_PAIRS`` at a time."""
+    edges = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+    left, right, size = [], [], 0
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+        for k in range(start, end - 1):
+            left.append(np.full(end - k - 1, k))
+            right.append(np.arange(k + 1, end))
+            size += end - k - 1
+            if size >= _PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
+    if size:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's blocks that are in different components and may reach the threshold.
 
     A pair is given out in the first band it shares only, so each comes once.  A part of the
     signature rules out most pairs before the whole of it is compared.
     """
-    group = group.drop_duplicates("id")
-    ids, comp, size = (group[c].to_numpy() for c in ("id", "component", "n_shingles"))
-    sig = np.array([np.frombuffer(s, np.uint8) for s in group["wide"]])
-    part = np.ascontiguousarray(sig[:, :: 2 * WIDE // _PART])
-    bands = np.stack(group["bands"].to_list())
-    block = group["block"].to_numpy()
-    here = int(np.argmax(bands[0] == group["key"].iat[0]))
-    one_block = group["low"].iat[0] == group["high"].iat[0]
     rough, estimate = _least(percent, _PART), _least(percent, 2 * WIDE)
-    out = []
-    for k in range(len(ids) - 1):
-        rest = slice(k + 1, None)
-        ok = (comp[rest] != comp[k]) & (100 * np.minimum(size[rest], size[k]) >= percent * np.maximum(size[rest], size[k]))
-        if not one_block:
-            ok &= block[rest] != block[k]
-        ok = np.flatnonzero(ok) + k + 1
-        ok = ok[(part[ok] == part[k]).mean(axis=1) >= rough]
-        ok = ok[np.argmax(bands[ok] == bands[k], axis=1) == here] if len(ok) else ok
-        ok = ok[(sig[ok] == sig[k]).mean(axis=1) >= estimate]
-        out += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in ok]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    for batch in _grouped(batches, ["key", "low", "high"]):
+        key, low, high, block, ids, comp, size = (
+            column(batch, c).to_numpy() for c in ("key", "low", "high", "block", "id", "component", "n_shingles")
+        )
+        sig = np.frombuffer(b"".join(column(batch, "wide").to_pylist()), np.uint8).reshape(len(key), 2 * WIDE)
+        part = np.ascontiguousarray(sig[:, :: 2 * WIDE // _PART])
+        bands = column(batch, "bands").flatten().to_numpy().reshape(len(key), -1)
+        here = np.argmax(bands == key[:, None], axis=1)
+        found = []
+        for i, j in _pair_numbers(key, low, high):
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+            ok &= (low[i] == high[i]) | (block[i] != block[j])
+            i, j = i[ok], j[ok]
+            for test in (
+                lambda i, j: (part[i] == part[j]).mean(axis=1) >= rough,
+                lambda i, j: np.argmax(bands[i] == bands[j], axis=1) == here[i],
+                lambda i, j: (sig[i] == sig[j]).mean(axis=1) >= estimate,
+            ):
+                if len(i):
+                    ok = test(i, j)
+                    i, j = i[ok], j[ok]
+            found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+        made = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["a", "b"])
 
 
 def _linked(docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, class_id, first_id, first_hash`` for each row.
 
     The last two name the text that its component keeps; they are null for a row that is in no class.
+    A written table; all others are gone.
     """
+    with scratch(docs.sparkSession) as keep:
+        return _linked_rows(docs, text, key, percent, keep)
+
+
+def _linked_rows(docs: DataFrame, text: str, key: str, percent: int, keep: Keep) -> DataFrame:
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    sketches = materialize(map_arrow(slim, lambda batches: _sketches(batches, percent), _SKETCH), "sketches")
+    sketches = keep(map_arrow(slim, lambda batches: _sketches(batches, percent), _SKETCH), "sketches")
     classes = (
         sketches.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"))
         .select("set_hi", "set_lo", F.col("own.doc_id").alias("class_id"), F.col("own.text_hash").alias("class_hash"))
     )
     own = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
-    members = materialize(
+    members = keep(
         sketches.join(classes, ["set_hi", "set_lo"], "left").select(
             "doc_id", "text_hash", "n_shingles", "class_id", "class_hash",
             F.when(F.col("class_id").isNotNull(), F.xxhash64("set_hi", "set_lo")).alias("id"), F.when(own, F.col("bands")).alias("bands"),
@@ -200,29 +245,31 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
         keys.groupBy("key").agg(F.min(F.struct("class_id", "id"))["id"].alias("first"), F.min("id").alias("x"), F.max("id").alias("y"))
         .where("x < y").select("key", "first")
     )
-    buckets = materialize(keys.join(shared, "key"), "buckets")
+    buckets = keep(keys.join(shared, "key"), "buckets")
 
     ids = buckets.select("id", F.col("class_id").alias("doc_id"), F.col("class_hash").alias("text_hash")).distinct()
-    ids = materialize(ids, "candidates")
+    ids = keep(ids, "candidates")
     texts = slim.join(broadcast_if_small(ids), ["doc_id", "text_hash"]).select("id", "text")
-    sets = materialize(map_arrow(texts, _sets, "id long, set binary, wide binary"), "sets")
+    sets = keep(map_arrow(texts, _sets, "id long, set binary, wide binary"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
         return map_arrow(pairs.join(a, "a").join(b, "b"), lambda batches: _confirmed(batches, percent), "a long, b long")
 
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(confirm(stars), "star-links")
+    links = keep(confirm(stars), "star-links")
     joined = components(links)
 
     placed = buckets.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed, "placed")
+    placed = keep(placed, "placed")
+    discard(joined)
     open_keys = (
         placed.groupBy("key")
         .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
         .where("x < y").select("key", "blocks")
     )
-    left = placed.join(open_keys, "key").join(reps, "id").join(sets.select("id", "wide"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    left = placed.join(open_keys, "key").join(reps, "id").join(sets.select("id", "wide"), "id")
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     left = left.select(
         "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
@@ -230,17 +277,22 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     )
     # Comparing is work, not bytes: a number of partitions that Spark doesn't lower by size.
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = left.repartition(tasks, "key", "low", "high").groupBy("key", "low", "high").applyInPandas(lambda group: _across(group, percent), "a long, b long")
-    more = materialize(confirm(across.distinct()), "cross-links")
-    joined = materialize(components(links.union(more)), "components")
+    groups = ["key", "low", "high"]
+    left = left.repartition(tasks, *groups).sortWithinPartitions(*groups)
+    across = map_arrow(left, lambda batches: _across(batches, percent), "a long, b long")
+    more = keep(confirm(across.distinct()), "cross-links")
+    joined = components(links.union(more))
 
     firsts = joined.join(ids, "id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     firsts = joined.join(firsts, "component").select("id", "first")
     out = members.join(firsts, "id", "left")
-    return out.select(
+    out = out.select(
         "doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("first.doc_id", "class_id").alias("first_id"),
         F.coalesce("first.text_hash", "class_hash").alias("first_hash"),
     )
+    out = materialize(out, "near")
+    discard(joined)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -256,7 +308,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
 
     Rows with the same id and the same text become one row; rows without an id are never repeats.
     """
-    found = materialize(_linked(docs, text, key, percent), "near")
+    found = _linked(docs, text, key, percent)
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     stays = F.col("first_id").isNull() | first
     gone = found.where(~stays).select("doc_id", "text_hash").distinct()
