@@ -4,12 +4,15 @@ import collections
 import random
 import re
 import struct
+import time
 import zlib
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, mixing, near_dedup, packing, queries, sharding
+from tidewater.llm import line_dedup, mixing, near_dedup, packing, queries, sharding, tokens
 from tidewater.llm.components import components
 from tidewater.llm.tokens import piece_encoder
 
@@ -54,14 +57,17 @@ class TestLineDedup:
             for p, w in enumerate(v):
                 if w != "<*>":
                     seen[leaf[k], p, w].add(k[0])
-        constant = {k for k, v in seen.items() if len(v) >= least(range(k[0][0])) and len(v) >= 0.1 * len(busy[k[0]])}
-        masked = {}
-        for k, v in left.items():
-            m = tuple(w if (leaf[k], p, w) in constant else "<*>" for p, w in enumerate(v))
-            if sum(w != "<*>" for w in m) / len(m) >= similarity:
-                masked[k] = (leaf[k], m)
-        general = recurring(masked)
-        drop = {k for k, v in lines.items() if exact.get(v, k[0]) != k[0]} | {k for k, v in masked.items() if general.get(v, k[0]) != k[0]}
+        general = {}
+        for level in range(40):  # the number of texts that makes a token constant doubles
+            masked = {}
+            for k, v in left.items():
+                enough = least(v) * 2**level
+                m = tuple(w if len(seen[leaf[k], p, w]) >= enough else "<*>" for p, w in enumerate(v))
+                if sum(w != "<*>" for w in m) >= similarity * sum(w != "<*>" for w in v) and any(w != "<*>" for w in m):
+                    masked[k] = (leaf[k], m)
+            found = recurring(masked)
+            general |= {k: found[v] for k, v in masked.items() if found.get(v, k[0]) != k[0]}
+        drop = {k for k, v in lines.items() if exact.get(v, k[0]) != k[0]} | set(general)
         return {t: "\n".join(x for n, x in enumerate(t.split("\n")) if (t, n) not in drop) for t in texts}
 
     def check(self, df, **options):
@@ -106,6 +112,29 @@ class TestLineDedup:
         assert sum("user" in t for t in texts) == 30 and all(" alone" in t for t in texts)
         assert {t.split()[-1] for t in texts if "user" in t} == {f"now{word(k)}" for k in range(30)}
 
+    @pytest.mark.parametrize("others", [0, 100, 2000])
+    def test_other_texts_in_the_leaf_change_nothing(self, spark, others):
+        word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+        rows = [(i, f"Posted by {word(i)} on the board at noon with love\nown {word(i)}") for i in range(10)]
+        rows += [(10 + i, "Posted by " + " ".join(f"{word(i)}{c}" for c in "ghijklmn")) for i in range(others)]
+        out = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum("board" in r["text"] for r in out) == 1 and all(r["text"] == rows[r["doc_id"]][1] for r in out if r["doc_id"] >= 10)
+
+    def test_copies_lose_the_same_lines(self, spark):
+        word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+        rows = [(i, f"Posted by {word(i)} on the board at noon with love\nown {word(i)}") for i in range(10)]
+        df = spark.createDataFrame([*rows, *((100 + i, t) for i, t in rows), (None, rows[3][1])], "doc_id long, text string")
+        self.check(df)
+        out = line_dedup.drop_recurring_lines(df).collect()
+        assert sorted(r["text"] for r in out if "board" in r["text"]) == [rows[0][1]] * 2
+
+    def test_a_very_long_line(self, spark):
+        line = " ".join(f"w{chr(97 + k % 26)}{k % 977}x" if k % 3 else f"v{chr(97 + k % 19)}" for k in range(100_000))
+        df = spark.createDataFrame([(i, f"{line} {chr(97 + i)}") for i in range(9)], "doc_id long, text string")
+        begin = time.monotonic()
+        assert sum(len(r["text"]) > 0 for r in line_dedup.drop_recurring_lines(df).collect()) in (1, 9)
+        assert time.monotonic() - begin < 120
+
     def test_digit_fields_are_no_difference(self, spark):
         word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
         rows = [(i, f"about {word(i)}\nLogin by user {word(i)} from host 10.0.0.{i} at 10:{i} status {i}") for i in range(40)]
@@ -235,6 +264,22 @@ class TestNearDedup:
         want = [rows[k] for k in (0, 2, 4, 6, 7, 10, 12, 13, 14, 15, 16)]
         assert sorted((r for r in got if r[0] != 6), key=repr) == sorted(want, key=repr)
 
+    def test_pairs_just_above_the_threshold(self, spark):
+        rows = []
+        for i in range(300):
+            n = 60 + 3 * i  # shingles of a text of n + 4 words; one word in the middle replaced changes five of them
+            words = [f"d{i}w{k}" for k in range(n + 4)]
+            other = list(words)
+            for k in range(max(1, int(n * 0.08 / 5))):
+                other[8 + k * 10] = f"d{i}x{k}"
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        sets = self.sets(rows)
+        share = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(300)]
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
+        assert sum(0.85 <= x < 0.88 for x in share) > 200
+        assert all((got[2 * i + 1] == 2 * i) == (x >= 0.85) for i, x in enumerate(share))
+
     def test_components(self, spark):
         r = random.Random(1)
         links = [(k, k + 1) for k in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)]
@@ -322,7 +367,7 @@ class TestPacking:
             assert end <= 4096
         assert len(by) <= 1.02 * -(-sum(r["length"] for r in rows) // 4096) + 1
 
-    def test_encoder(self):
+    def test_encoder(self, monkeypatch):
         from tokenizers import Tokenizer
 
         r = random.Random(1)
@@ -331,7 +376,18 @@ class TestPacking:
         tokenizer = Tokenizer.from_file(queries.tokenizer_file())
         encode = piece_encoder(queries.tokenizer_file())
         want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
-        assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in encode(texts)] == want
+        assert [b.tolist() for b in encode(texts)] == want
+        monkeypatch.setattr(tokens, "_PART", 50)  # texts in parts, batches of few parts
+        monkeypatch.setattr(tokens, "_KEPT", 100)  # pieces forgotten and met again
+        assert [b.tolist() for b in encode([*texts, " ".join(t or "" for t in texts[:80])])][:-1] == want
+
+    def test_pieces(self):
+        pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        r = random.Random(4)
+        for _ in range(3000):
+            text = "".join(r.choice("strevmlld''. é1½ \n") for _ in range(r.randint(0, 14)))
+            starts, ends = tokens.piece_bounds(np.frombuffer(text.encode("utf-16-le"), np.uint16))
+            assert [text[a:b] for a, b in zip(starts, ends)] == pattern.findall(text), text
 
     def test_empty(self, no_docs):
         assert packing.pack_documents(no_docs, queries.tokenizer_file()).count() == 0
@@ -352,6 +408,37 @@ class TestSharding:
         mean, largest = sum(weight.values()) / 24, max(r["size"] for r in rows)
         assert all(abs(weight[k] - mean) <= 2.5 * largest for k in range(24))
 
+    def test_cuts_are_weighted_medians_of_the_widest_dimension(self, docs):
+        """Each node of the tree, found again from the shards, against a plain sort of its rows."""
+        shard = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(docs).collect()}
+        rows = [r.asDict() for r in sharding.metadata(docs).collect()]
+        top, texts = (1 << 20) - 1, collections.Counter()
+        for r in rows:
+            texts[r["_tb"]] += r["size"]
+
+        def walk(first, k):
+            own = [r for r in rows if first <= shard[r["doc_id"]] < first + k]
+            if k == 1 or not own:
+                return
+            spans = {d: (min(r[d] for r in own), max(r[d] for r in own)) for d in sharding.DIMENSIONS}
+            d = max(sharding.DIMENSIONS, key=lambda d: spans[d][1] - spans[d][0])
+            low, high = spans[d]
+
+            def place(r):
+                return int((r[d] - low) / max(high - low, 1e-12) * top), r["_tb"], r["_ib"]
+
+            left = [r for r in own if shard[r["doc_id"]] < first + k // 2]
+            right = [r for r in own if shard[r["doc_id"]] >= first + k // 2]
+            if left and right:
+                assert max(map(place, left)) < min(map(place, right))
+            total = sum(r["size"] for r in own)
+            slack = max(max(r["size"] for r in own), 20 * sharding.TOLERANCE * total / k, max(texts[r["_tb"]] for r in own))
+            assert abs(sum(r["size"] for r in left) - total * (k // 2) / k) <= slack
+            walk(first, k // 2)
+            walk(first + k // 2, k - k // 2)
+
+        walk(0, 24)
+
     def test_a_hot_text_and_many_slots(self, spark, monkeypatch):
         monkeypatch.setattr(sharding, "GROUP_ROWS", 10)
         rows = [(i, "the same text" if i % 3 else f"text number {i}", "en") for i in range(600)]

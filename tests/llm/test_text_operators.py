@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import math
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import fingerprints, html_blocks, html_extraction, quality_model, quality_rules, toxicity
-from tidewater.llm.labelled import held_out
+from tidewater.llm.labelled import held_out, labelled_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HAS_WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -49,6 +52,14 @@ class TestQualityRules:
         rows = quality_rules.quality_rules(docs).join(labels, "doc_id").where("n_words >= 20").collect()
         assert np.mean([r["kept"] == bool(r["quality"]) for r in rows]) > 0.95
 
+    def test_scripts_without_spaces(self, spark):
+        chinese = "。 ".join("今天天气很好孩子们在公园里玩了很久然后回家吃饭" + chr(0x4E00 + 7 * k) for k in range(60))
+        thai = " ".join("วันนี้อากาศดีเด็กๆเล่นในสวนสาธารณะ" + chr(0x0E01 + k % 40) for k in range(60))
+        joined = " ".join("thewordsofthistextarenotapart" + chr(97 + k % 26) for k in range(60))
+        df = spark.createDataFrame(list(enumerate([chinese, thai, joined])), "doc_id long, text string")
+        out = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df).collect()}
+        assert out == {0: True, 1: True, 2: False}
+
     def test_scripts_and_capitals(self, spark):
         russian = "погода сегодня была хорошая поэтому дети гуляли около старого парка вместе".split()
         greek = "ο καιρός ήταν καλός και τα παιδιά έπαιζαν στο πάρκο μέχρι αργά".split()
@@ -79,6 +90,37 @@ class TestToxicity:
         assert m.score("scum scum") > m.score("clown here") > m.score("nothing at all")
         assert 0 <= m.score("") < 0.5
 
+    def test_matches_are_those_of_a_plain_search(self):
+        r = random.Random(6)
+        word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 3)))
+        for _ in range(400):
+            terms = {word() + r.choice(["", " "]): float(k) for k in range(4)}
+            phrases = tuple({f"{word()} {word()}" for _ in range(3)})
+            text = " " + " ".join(word() for _ in range(r.randint(0, 30))) + " "
+            at = lambda x: [k for k in range(len(text)) if text.startswith(x, k)]
+            free = [(k, k + len(p) + 2) for p in phrases for k in at(f" {p} ")]
+            want = [(k, k + 1 + len(t), w) for t, w in terms.items() for k in at(f" {t}")]
+            want = [m for m in want if not any(a <= m[0] and m[1] <= b for a, b in free)]
+            found = toxicity.Matcher(toxicity.Model(tuple(terms.items()), phrases)).matches(text)
+            assert sorted(found) == sorted(want)
+
+    def test_held_out_documents(self, spark):
+        path = "/root/testdata/sf0.1"
+        docs, labels = (spark.read.parquet(f"{path}/{name}.parquet") for name in ("documents", "labels"))
+        rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+        toxic = [x["predicted"] for x in rows if x["toxic"]]
+        clean = [x["predicted"] for x in rows if x["toxic"] == 0]
+        assert len(toxic) > 50 and np.mean(toxic) > 0.88 and np.mean(clean) < 0.01
+
+    def test_the_sample_has_all_texts_but_copies(self, spark):
+        head = "The same beginning of all these texts, which is longer than forty characters. "
+        rows = [(i, head + f"number {i % 20}") for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+        got = labelled_sample(docs, labels, "toxic", 100).collect()
+        known = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+        assert sorted((r["text"], r["label"]) for r in got) == sorted({(rows[i][1], i % 2) for i in known})
+
     def test_learned_from_labels_that_are_not_held_out(self, spark):
         clean = [(i, " ".join(f"w{(i * 3 + k) % 50}" for k in range(60)), 0) for i in range(200)]
         bad = [(i, " ".join(f"w{(i * 3 + k) % 50}" for k in range(40)) + f" zarko{i % 7} zarko{i % 5}", 1) for i in range(200, 300)]
@@ -175,6 +217,28 @@ class TestFingerprints:
         assert fingerprints.edited_likeness(no_docs).count() == 0
         self.check(spark.createDataFrame([(4, "alone here")], "doc_id long, text string"))
 
+    def test_digests_of_a_plain_loop(self):
+        def plain(text):
+            data, counts = text.encode(), [0] * 1024
+            for a, b, c in zip(data, data[1:], data[2:]):
+                h = (a | b << 8 | c << 16) * 0x9E3779B1 % 2**32
+                h = (h ^ h >> 15) * 0x85EBCA77 % 2**32
+                counts[(h ^ h >> 13) % 1024] += 1
+            order = sorted(counts)
+            codes = [sum(n > order[k] for k in (255, 511, 767)) for n in counts]
+            packed = [sum(codes[4 * k + j] << 2 * j for j in range(4)) for k in range(256)]
+            return bytes([min(255, round(math.log(len(data) + 1, 1.1))), *packed])
+
+        def score(a, b):
+            gaps = [abs((x >> s & 3) - (y >> s & 3)) for x, y in zip(a[1:], b[1:]) for s in (0, 2, 4, 6)]
+            return 1 - (sum(6 if g == 3 else g for g in gaps) + 6 * min(abs(a[0] - b[0]), 32)) / (6 * 1024 + 6 * 32)
+
+        r = random.Random(2)
+        texts = ["", "a", "ab", "abc", "é", *("".join(r.choice("abc déß☃\n") for _ in range(r.randint(1, 3000))) for _ in range(20))]
+        made = fingerprints.digests(pa.array(texts))
+        assert made == [plain(t) for t in texts]
+        assert all(fingerprints.likeness(a, b) == pytest.approx(score(a, b)) for a in made[::4] for b in made)
+
     def test_likeness_is_bounded(self):
         a, b, c = fingerprints.digests(pa.array(["", "some text of a kind", "z" * 9999]))
         assert fingerprints.likeness(a, a) == 1.0 and fingerprints.likeness(b, c) == fingerprints.likeness(c, b)
@@ -222,6 +286,32 @@ class TestHtml:
             assert texts(f'<p>one<img src="data:image/png;base64,{"A" * n}=="><p>two<a title="x">three</a>') == ["one", "twothree"]
         assert texts("<p " + "a=b " * 400 + 'title="x>y">one') == ["one"]
 
+    def test_markup_that_looks_like_other_markup(self):
+        texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+        assert texts("<html><head><meta><body><article><p>one</article>") == ["one"]
+        for tag in ("select-box", "title-bar", "head-line", "svg-icon", "template-part"):
+            assert texts(f"<{tag}>x</{tag}><p>one<p>two") == ["x", "one", "two"]
+        assert texts("<p>one<!--><p>two") == ["one", "two"] and texts("<p>one<!---><p>two") == ["one", "two"]
+        assert texts("<p>one<!-- > --><p>two") == ["one", "two"]
+        assert texts("<script>a</script foo>one") == ["one"]
+        assert texts('<p title="' + "x" * 9000 + '">one') == ["one"]
+        assert texts("<p " + " ".join(f'a{k}="<"' for k in range(220)) + ">one") == ["one"]
+
+    def test_articles_without_their_element(self):
+        a = "The first sentence is here, and it goes on for a while. Another one follows it."
+        b = "Another paragraph with many words, which is no menu and no notice, follows the first one."
+
+        def text(page):
+            found = html_blocks.blocks(page)
+            return " ".join(x.text for x, main in zip(found, html_extraction.trained().decode(found)) if main)
+
+        assert text(f"<p>{a}</p><p>{b}</p>") == f"{a} {b}"
+        nav, foot = '<nav><a href="/">Home</a> <a href="/n">News</a></nav>', "<div class=ad>Buy now.</div><footer>&copy; The Site</footer>"
+        assert text(f"<body>{nav}<h1>A title of it</h1><p>{a}</p><p>{b}</p>{foot}") == f"A title of it {a} {b}"
+        assert text(f"{nav}<div class=content><h1>A title of it</h1><p>{a}</p><p>{b}</p></div>{foot}") == f"A title of it {a} {b}"
+        head = "<article><header><h1>A title</h1><p>The subtitle of it.</p></header>"
+        assert text(f"{nav}{head}<p>{a}</p><p>{b}</p></article>{foot}") == f"A title The subtitle of it. {a} {b}"
+
     def test_time_is_linear(self):
         import time
 
@@ -253,9 +343,10 @@ class TestHtml:
             "in any case. The last words of the article are here, to be sure."
         )
 
-    def test_held_out_pages(self):
+    @pytest.mark.parametrize("kind", sorted(set(html_extraction.KINDS)))
+    def test_held_out_pages(self, kind):
         wrong = total = 0
-        for page, labels in html_extraction.labelled_pages(60, seed=77):
+        for page, labels in html_extraction.labelled_pages(60, seed=77, kind=kind):
             wrong += sum(a != b for a, b in zip(html_extraction.trained().decode(page), labels))
             total += len(labels)
         assert wrong / total < 0.03

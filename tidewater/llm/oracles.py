@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewater.llm.line_dedup import DEPTH, LONG, LONG_MIN_DOCS, MIN_DOCS, SIMILARITY, WILDCARD
 from tidewater.llm.mixing import EPOCHS, SEED, SHARE, WEIGHTS
-from tidewater.llm.quality_rules import RULES, STOP_WORDS
+from tidewater.llm.quality_rules import LONGEST_MEAN, OTHER_STOP_WORDS, RULES, STOP_WORDS, UNSPACED
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -85,7 +85,9 @@ def line_dedup() -> str:
 
 
 def quality_rules() -> str:
-    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stops, more = (", ".join(f"'{w}'" for w in words) for words in (STOP_WORDS, OTHER_STOP_WORDS))
+    unspaced = "".join(rf"\p{{{x}}}" for x in UNSPACED)
+    count = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))"
     rules = " AND ".join(
         f"{r.measure} {sign} {bound}" for r in RULES for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None
     )
@@ -99,16 +101,19 @@ def quality_rules() -> str:
           SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
             len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, length(text) - length(replace(text, '!', '')) AS bangs,
             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
-            len(list_distinct(ws)) AS n_distinct, len(list_filter(ws, lambda w: w IN ({stops}))) AS stops
+            len(list_distinct(ws)) AS n_distinct, len(list_filter(ws, lambda w: w IN ({stops}))) AS stops,
+            len(list_filter(ws, lambda w: lower(w) IN ({stops}, {more}))) AS listed,
+            {count(chr(92) + "p{L}")} AS letters, {count(chr(92) + "p{Latin}")} AS latin, {count(f"[{unspaced}]")} AS unspaced
           FROM t),
         x AS (
           SELECT m.*, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
             greatest(n_words, 1) AS n, greatest(len(ls), 1) AS n_lines
           FROM m LEFT JOIN c USING (doc_id)),
         y AS (
-          SELECT *, word_chars / n AS mean_word_chars, n_symbols / n AS symbol_ratio, bangs / n AS exclamation_ratio,
+          SELECT *, CASE WHEN word_chars > {LONGEST_MEAN} * n_words AND 2 * unspaced > letters THEN {LONGEST_MEAN}
+              ELSE word_chars / n END AS mean_word_chars, n_symbols / n AS symbol_ratio, bangs / n AS exclamation_ratio,
             n_distinct / least(n, 200) AS distinct_ratio, n_dup_lines / n_lines AS dup_line_ratio, n_words / n_lines AS words_per_line,
-            CASE WHEN stops > 0 OR n_words < 50 THEN 1 ELSE 0 END AS stop_or_long,
+            CASE WHEN stops > 0 OR n_words < 50 OR listed > 0 OR 2 * latin <= letters THEN 1 ELSE 0 END AS stop_or_long,
             n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
           FROM x)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules} AS kept

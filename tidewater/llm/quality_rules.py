@@ -36,6 +36,12 @@ OTHER_STOP_WORDS = (
 ).split()
 
 
+#: Scripts that are written without spaces between words.
+UNSPACED = "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()
+#: Longest mean word of a text in another script.
+LONGEST_MEAN = 14.0
+
+
 @dataclass(frozen=True)
 class Rule:
     """A measure must lie within [low, high]; a bound of None is open."""
@@ -48,7 +54,7 @@ class Rule:
 #: The production table.  Bounds are wide: a rule rejects what can't be prose.
 RULES = (
     Rule("n_words", 20, None),
-    Rule("mean_word_chars", 2.0, 14.0),
+    Rule("mean_word_chars", 2.0, LONGEST_MEAN),
     Rule("symbol_ratio", None, 0.10),
     Rule("exclamation_ratio", None, 0.30),
     Rule("distinct_ratio", 0.10, None),
@@ -79,6 +85,9 @@ def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_i
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).alias("_bangs"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        # Where words aren't told apart by spaces, their mean length says nothing.
+        ((F.length(F.array_join("_w", "")) > LONGEST_MEAN * F.size("_w")) & (2 * F.regexp_count(
+            "_t", F.lit("[" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "]")) > F.regexp_count("_t", F.lit(r"\p{L}")))).alias("_unspaced"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
         F.size(F.filter("_w", lambda w: w.isin(STOP_WORDS))).alias("_stops"),
         # Word lists have no stop words: only long texts need one, in any case, and only where most letters are Latin.
@@ -126,7 +135,7 @@ def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_i
     return df.select(
         *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"),
         "n_lines",
-        (F.col("word_chars") / n).alias("mean_word_chars"),
+        F.when(F.col("_unspaced"), F.lit(LONGEST_MEAN)).otherwise(F.col("word_chars") / n).alias("mean_word_chars"),
         (F.col("n_symbols") / n).alias("symbol_ratio"),
         (F.col("_bangs") / n).alias("exclamation_ratio"),
         (F.col("_distinct") / F.least(n, F.lit(200))).alias("distinct_ratio"),
