@@ -109,3 +109,12 @@ BODIES = [
 def test_expiry_of_columns_and_of_objects(spark, body):
     got = values(spark, expires_at(F.col("b"), F.lit(1000.0)), [(json.dumps(body),)], "b string")[0]
     assert math.isclose(got, expiry(body, 1000.0))
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from tidewater.plans.joins import broadcast_if_small, measured_bytes
+
+    df = spark.createDataFrame([(1, "é" * 50, [1, 2]), (2, None, None)], "a long, b string, c array<int>")
+    assert 180 < measured_bytes(df) < 300 and measured_bytes(df.limit(0)) == 0
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, 100))
