@@ -187,9 +187,10 @@ class TestNearDedup:
             out[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
         return out
 
-    def check(self, df):
-        rows = [tuple(r) for r in df.select("doc_id", "text").collect() if r["doc_id"] is not None]
-        sets = self.sets(rows)
+    @classmethod
+    def roots(cls, rows, percent=near_dedup.PERCENT):
+        """The set of each id, and the smallest id that it is linked with."""
+        sets = cls.sets(rows)
         root = {i: i for i in sets}
 
         def find(x):
@@ -201,14 +202,19 @@ class TestNearDedup:
         for k, i in enumerate(ids):
             for j in ids[:k]:
                 n = len(sets[i] & sets[j])
-                if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
+        return sets, {i: find(i) for i in sets}
+
+    def check(self, df):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect() if r["doc_id"] is not None]
+        sets, root = self.roots(rows)
         got = [r for r in near_dedup.near_duplicates(df).collect() if r["doc_id"] is not None]
         assert len(got) == len(rows)
         for r in got:
             i = r["doc_id"]
-            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), find(i), find(i) == i), i
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), root[i], root[i] == i), i
 
     def test_whole_table(self, docs):
         self.check(docs)

@@ -1,8 +1,16 @@
+import collections
+import hashlib
+import math
+import struct
+import zlib
+
 import duckdb
 import pytest
+import test_corpus_operators as brute_force
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewater.llm import queries
+from tidewater.llm import line_dedup, queries, toxicity
 from tidewater.plans.storage import materialize
 
 CONTRACTS = {
@@ -52,17 +60,70 @@ def test_query_says_what_its_sql_says(spark, sf_dir, tmp_path, name):
     assert sorted(rows, key=repr) == sorted((tuple(r) for r in out.select(*columns).collect()), key=repr)
 
 
-def test_stages(spark, sf_dir, docs):
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def by_toxicity(given, docs, labels):
+    match = toxicity.Matcher(toxicity.learn(docs, labels))
+    return [(i, t) for i, t in given if match.score(t or "") < 0.5]
+
+
+def by_lines(given, docs, labels):
+    text = brute_force.TestLineDedup.brute(given, line_dedup.MIN_DOCS, line_dedup.SIMILARITY)
+    return [(i, t if t is None else text[t]) for i, t in given]
+
+
+def by_likeness(given, docs, labels):
+    _, root = brute_force.TestNearDedup.roots(given, 80)
+    return [(i, t) for i, t in given if root[i] == i]
+
+
+def by_mix(given, docs, labels):
+    words = lambda t: len((t or "").encode().split())
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    sizes = collections.Counter({s: 0 for s in source.values()})
+    for i, t in given:
+        sizes[source[i]] += words(t)
+    sizes = {s: n for s, n in sizes.items() if any(source[i] == s for i, _ in given)}
+    out = []
+    for s, target in brute_force.TestMixing.targets(sizes, 1.5, 2.0).items():
+        whole = int(target // max(1, sizes[s]))
+        left = math.floor(target - whole * sizes[s] + 0.5)
+        own = [(i, t) for i, t in given if source[i] == s]
+        for i, t in sorted(own, key=lambda r: hashlib.md5(f"17:{r[0]}:{r[1] or ''}".encode()).hexdigest()[:15]):
+            times = whole + (left > 0) if words(t) else max(whole, 1)
+            out += [(i, t)] * times
+            left -= words(t)
+    return out
+
+
+def by_pieces(given):
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    for i, t in given:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            piece = ids[k : k + 4096]
+            yield i, k // 4096, k, len(piece), zlib.crc32(struct.pack(f"<{len(piece)}I", *piece))
+
+
+def test_run_is_what_brute_force_makes_of_each_stage(spark, sf_dir, docs, labels):
     given = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, (by_toxicity, by_lines, by_likeness, by_mix)):
         out = materialize(stage(spark, given, sf_dir), f"test-{name}")
         assert out.columns == docs.columns, name
-        if name == "line_dedup":
-            assert out.count() == given.count()
-        if name in ("toxicity", "near_dedup"):
-            assert 0.5 * given.count() < out.count() <= given.count()
+        want = plain(rows_of(given), given, labels)
+        assert sorted(rows_of(out), key=repr) == sorted(want, key=repr), name
         given = out
-    assert {"sequence_id", "offset"} <= set(corpus_pipeline.STAGES[-1][1](spark, given, sf_dir).columns)
+    run = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted(tuple(r)[:5] for r in run) == sorted(by_pieces(rows_of(given)))
+    places = collections.defaultdict(list)
+    for r in run:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for items in places.values():
+        ends = [0, *(place + size for place, size in sorted(items))]
+        assert [place for place, _ in sorted(items)] == ends[:-1] and ends[-1] <= 4096
+    assert len(places) <= 1.02 * -(-sum(r["length"] for r in run) // 4096) + 1
 
 
 def test_each_stage_takes_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
@@ -71,9 +132,3 @@ def test_each_stage_takes_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs)
         assert out.count() > 0
         assert name == "packing" or out.columns == odd_docs.columns
         assert stage(spark, no_docs, sf_dir).count() == 0
-
-
-def test_run(spark, sf_dir):
-    out = corpus_pipeline.run(spark, sf_dir)
-    full = out.groupBy("sequence_id").sum("length").collect()
-    assert full and all(r[1] <= 4096 for r in full)

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidewater.plans.joins import broadcast_if_small
-from tidewater.plans.storage import materialize
+from tidewater.plans.storage import discard, materialize, scratch
 
 #: Writes a table that several steps read.
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -102,63 +102,65 @@ def mix(
     """``doc_id, source, size, source_size, target, taken, whole_epochs, cut`` for each row.
 
     ``taken`` counts words: ``whole_epochs`` times the size, plus the whole size again for rows
-    before the cut, plus what is left of the budget for the row at the cut.
+    before the cut, plus what is left of the budget for the row at the cut.  A written table.
     """
-    body = F.col(text)
-    slim = materialize(
-        docs.select(
-            F.col(key).alias("doc_id"),
-            F.col(source).alias("source"),
-            word_count(body).alias("size"),
-            _key(docs, text, key, seed).alias("_k"),
-        ),
-        "mix",
-    )
-    plan = targets(
-        slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")),
-        materialize, weights, share, epochs,
-    )
-    rest = F.col("target") - F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) * F.col("source_size")
-    plan = materialize(
-        plan.select(
-            "source", "source_size", "target",
-            F.greatest(F.lit(1), F.ceil(F.col("n_rows") / bucket_rows)).alias("_n"),
-            F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).alias("whole_epochs"),
-            F.round(rest).cast("long").alias("_budget"),
-        ),
-        "mix-plan",
-    )
-    # Keys are uniform: an equal-width range of keys is an equal share of the rows.
-    position = F.col("_k") / F.lit(2.0**60)
-    bucket = F.least(F.floor(position * F.col("_n")), F.col("_n") - 1).cast("long")
-    rows = slim.join(broadcast_if_small(plan).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_b", bucket)
-
-    sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"), F.first("_budget").alias("_budget"))
-    before = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    cuts = (
-        sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .where((F.col("_before") < F.col("_budget")) & (F.col("_before") + F.col("_sum") >= F.col("_budget")))
-        .select(F.col("source").alias("_cs"), F.col("_b").alias("_cut"), (F.col("_budget") - F.col("_before")).alias("_need"))
-    )
-    cuts = materialize(cuts, "mix-cuts")  # one row a source at most
-    rows = rows.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("_cs")), "left").drop("_cs")
-    at = F.col("_b") == F.col("_cut")
-    inside = W.partitionBy("source", "_b").orderBy("_k", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    cut_rows = rows.where(at).withColumn("_run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut_rows = cut_rows.withColumn("_part", F.least("size", F.greatest(F.lit(0), F.col("_need") - F.col("_run"))))
-    other = rows.where(~F.coalesce(at, F.lit(False)))
-    other = other.withColumn("_run", F.lit(0).cast("long")).withColumn(
-        "_part", F.when(F.col("_b") < F.col("_cut"), F.col("size")).otherwise(F.lit(0).cast("long"))
-    )
-    out = other.unionByName(cut_rows)
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("whole_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"),
-        F.col("whole_epochs").cast("int").alias("whole_epochs"),
-        F.col("_part").cast("long").alias("last_part"),
-        F.col("_k").alias("key"),
-    )
+    with scratch(docs.sparkSession) as keep:
+        body = F.col(text)
+        slim = keep(
+            docs.select(
+                F.col(key).alias("doc_id"),
+                F.col(source).alias("source"),
+                word_count(body).alias("size"),
+                _key(docs, text, key, seed).alias("_k"),
+            ),
+            "mix",
+        )
+        plan = targets(
+            slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")),
+            keep, weights, share, epochs,
+        )
+        rest = F.col("target") - F.floor(F.col("target") / F.greatest("source_size", F.lit(1))) * F.col("source_size")
+        plan = keep(
+            plan.select(
+                "source", "source_size", "target",
+                F.greatest(F.lit(1), F.ceil(F.col("n_rows") / bucket_rows)).alias("_n"),
+                F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).alias("whole_epochs"),
+                F.round(rest).cast("long").alias("_budget"),
+            ),
+            "mix-plan",
+        )
+        # Keys are uniform: an equal-width range of keys is an equal share of the rows.
+        position = F.col("_k") / F.lit(2.0**60)
+        bucket = F.least(F.floor(position * F.col("_n")), F.col("_n") - 1).cast("long")
+        rows = slim.join(broadcast_if_small(plan).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        rows = rows.withColumn("_b", bucket)
+
+        sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"), F.first("_budget").alias("_budget"))
+        before = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        cuts = (
+            sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+            .where((F.col("_before") < F.col("_budget")) & (F.col("_before") + F.col("_sum") >= F.col("_budget")))
+            .select(F.col("source").alias("_cs"), F.col("_b").alias("_cut"), (F.col("_budget") - F.col("_before")).alias("_need"))
+        )
+        cuts = keep(cuts, "mix-cuts")  # one row a source at most
+        rows = rows.join(broadcast_if_small(cuts), F.col("source").eqNullSafe(F.col("_cs")), "left").drop("_cs")
+        at = F.col("_b") == F.col("_cut")
+        inside = W.partitionBy("source", "_b").orderBy("_k", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        cut_rows = rows.where(at).withColumn("_run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        cut_rows = cut_rows.withColumn("_part", F.least("size", F.greatest(F.lit(0), F.col("_need") - F.col("_run"))))
+        other = rows.where(~F.coalesce(at, F.lit(False)))
+        other = other.withColumn("_run", F.lit(0).cast("long")).withColumn(
+            "_part", F.when(F.col("_b") < F.col("_cut"), F.col("size")).otherwise(F.lit(0).cast("long"))
+        )
+        out = other.unionByName(cut_rows)
+        out = out.select(
+            "doc_id", "source", "size", "source_size", "target",
+            (F.col("whole_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"),
+            F.col("whole_epochs").cast("int").alias("whole_epochs"),
+            F.col("_part").cast("long").alias("last_part"),
+            F.col("_k").alias("key"),
+        )
+        return materialize(out, "mixed")
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
@@ -175,6 +177,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", so
     plan = materialize(
         found.groupBy(F.col("source").alias("__s")).agg(F.max("whole_epochs").alias("__whole"), cut.alias("__cut")), "mix-cuts"
     )
+    discard(found)
     rows = docs.withColumns(
         {"__key": _key(docs, text, key, options.get("seed", SEED)), "__size": word_count(F.col(text)), "__source": F.col(source)}
     ).join(broadcast_if_small(plan), F.col("__source").eqNullSafe(F.col("__s")))
