@@ -50,6 +50,20 @@ def test_written_tables_are_in_the_shared_folder(spark):
     assert df.count() == 5 and all(shared_folder(spark).split("://")[-1] in f for f in files)
     assert materialize(spark.createDataFrame([], "a int"), "none").count() == 0
     plan = lambda limit: spark.range(9).join(broadcast_if_small(df, limit), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(5) and "strategy=broadcast" not in plan(4)
+    assert "broadcast" in plan(5 * 24) and "strategy=broadcast" not in plan(5 * 24 - 1)
     discard(df)
     assert not any(os.path.exists(f.split("://")[-1]) for f in files)
+
+
+def test_scratch_tables_go_even_if_the_operator_fails(spark):
+    from tidewater.plans.storage import materialize, scratch
+
+    with scratch(spark) as keep:
+        df = keep(spark.range(5).toDF("id"), "early")
+        kept = materialize(df.where("id > 2"), "kept")
+        files = df.inputFiles()
+    assert kept.count() == 2 and not any(os.path.exists(f.split("://")[-1]) for f in files)
+    with pytest.raises(ZeroDivisionError), scratch(spark) as keep:
+        files = keep(spark.range(5).toDF("id"), "early").inputFiles()
+        raise ZeroDivisionError
+    assert not any(os.path.exists(f.split("://")[-1]) for f in files)
