@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)

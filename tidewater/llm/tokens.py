@@ -29,8 +29,8 @@ _ENDINGS = "s t re ve m ll d".split()
 #: Characters that send a text to the tokenizer whole: U+0085, the dotted capital I, all from U+0180.
 _OTHER = re.compile("[^\u0000-\u0084\u0086-įı-ſ]|<\\|")
 _GAP = re.compile(f"[{_SPACE}]")
-#: Pieces kept in a Python worker; characters handled at a time.
-_KEPT, _PART = 2_000_000, 1 << 20
+#: Pieces kept in a Python worker; characters hashed at a time, and looked up at a time.
+_KEPT, _PART, _BATCH = 1_000_000, 1 << 17, 1 << 19
 
 _IS_SPACE, _IS_LETTER, _IS_NUMBER, _IS_SIGN = range(4)
 _KIND = np.array(
@@ -80,6 +80,36 @@ def piece_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
+def _blocks(parts: list[str]) -> Iterator[list[str]]:
+    """Parts in order, about ``_PART`` characters together."""
+    block, size = [], 0
+    for part in parts:
+        if block and size + len(part) > _PART:
+            yield block
+            block, size = [], 0
+        block.append(part)
+        size += len(part) + 1
+    if block:
+        yield block
+
+
+class _Block:
+    """Pieces of some texts: their hashes, and how many each text has."""
+
+    def __init__(self, parts: list[str]):
+        self.text = "\n".join(parts)
+        codes = np.frombuffer(self.text.encode("utf-16-le"), np.uint16)
+        self.starts, self.ends = piece_bounds(codes)
+        up, down = _Powers.get(len(codes))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[codes] * up, dtype=np.uint64)))
+        length = (self.ends - self.starts).astype(np.uint64)
+        self.hashes = _mixed((sums[self.ends] - sums[self.starts]) * down[self.starts] + length * _LENGTH)
+        self.counts = np.diff(np.searchsorted(self.starts, np.cumsum([0, *(len(p) + 1 for p in parts)])))
+
+    def piece(self, k: int) -> str:
+        return self.text[self.starts[k] : self.ends[k]]
+
+
 class _Known:
     """Ids of the pieces that a worker has met, by the order of their hashes."""
 
@@ -88,7 +118,7 @@ class _Known:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,12 +161,8 @@ def piece_encoder(path: str) -> Callable[[Iterable[str | None]], list[np.ndarray
 
     def ids_of(parts: list[str]) -> list[np.ndarray]:
         """Ids of lower-cased texts."""
-        joined = "\n".join(parts)
-        codes = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
-        starts, ends = piece_bounds(codes)
-        up, down = _Powers.get(len(codes))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[codes] * up, dtype=np.uint64)))
-        hashes = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
+        blocks = [_Block(block) for block in _blocks(parts)]
+        hashes = np.concatenate([b.hashes for b in blocks])
         which, distinct = pd.factorize(hashes)
         if len(known.hashes) > _KEPT:
             known.clear()
@@ -147,16 +173,17 @@ def piece_encoder(path: str) -> Callable[[Iterable[str | None]], list[np.ndarray
             where = np.empty(len(keys), np.int64)
             where[which] = np.arange(len(which))
             where = where[order[~there]]
-            known.add(keys[~there], at[~there], [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            lows = np.cumsum([0, *(len(b.hashes) for b in blocks)])
+            block = np.searchsorted(lows, where, "right") - 1
+            known.add(keys[~there], at[~there], [blocks[k].piece(j) for k, j in zip(block.tolist(), (where - lows[block]).tolist())])
             at, _ = known.find(keys)
         places = np.empty(len(keys), np.int64)
         places[order] = at
         places = places[which]
-        size, first = known.size[places], known.first[places]
-        after = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        size, first = known.size[places], known.first[places].astype(np.int64)
+        after = np.concatenate((np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)))
         ids = known.ids[np.repeat(first - after[:-1], size) + np.arange(after[-1])]
-        edges = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        cuts = after[np.searchsorted(starts, edges)]
+        cuts = after[np.cumsum(np.concatenate(([0], *(b.counts for b in blocks))))]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def encode(texts: Iterable[str | None]) -> list[np.ndarray]:
@@ -177,7 +204,7 @@ def piece_encoder(path: str) -> Callable[[Iterable[str | None]], list[np.ndarray
                 out[k].append(np.array(whole.ids, np.uint32))
                 continue
             for part in _parts(text.lower()):
-                if size + len(part) > 2 * _PART:
+                if size + len(part) > _BATCH:
                     flush()
                     size = 0
                 waiting.append((k, part))
