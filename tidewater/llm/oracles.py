@@ -146,3 +146,62 @@ def source_mixing() -> str:
             sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS run
           FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, budget - run)) AS BIGINT) AS taken FROM x"""
+
+
+def warc() -> str:
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31))::INTEGER, 1)"
+    return f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha1 FROM pages),
+        d AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda k: {digit}), '') AS payload_digest,
+          CASE WHEN first < page_id OR (page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN first < page_id OR page_id IS NULL THEN first END AS refers_to
+        FROM d"""
+
+
+def merkle_manifest() -> str:
+    """Nodes of all levels by a recursive query, then each leaf's way up by another."""
+    def leaf(n_chars: str) -> str:
+        parts = (f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"))
+        return f"sha256({' || '.join(parts)})"
+
+    # CRC-32, a bit at a time: each byte is followed by seven zeros.
+    bits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1))"
+    changed = f"doc_id IS NOT NULL AND xor(list_reduce({bits}, lambda c, x: {step}, 4294967295::BIGINT), 4294967295) % 7 = 0"
+    # A tree of each language is t = 0, that of their roots t = 1.
+    nodes = """
+        SELECT *, count(*) OVER (PARTITION BY {0}) AS n FROM {1}
+        UNION ALL
+        SELECT {0}, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), max((n + 1) // 2)
+        FROM {2} WHERE n > 1 GROUP BY {0}, level, pos // 2"""
+    return f"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, coalesce(' ' || lang, '') AS lang, {leaf("n_chars")} AS leaf, CASE WHEN {changed} THEN {leaf("n_chars + 1")} ELSE {leaf("n_chars")} END AS changed FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+        a AS (SELECT lang, 0 AS level, pos, leaf AS h FROM r),
+        t AS ({nodes.format("lang", "a", "t")}),
+        s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang)) - 1 AS place FROM t WHERE n = 1),
+        b AS (SELECT 0 AS one, 0 AS level, place AS pos, subroot AS h FROM s),
+        u AS ({nodes.format("one", "b", "u")}),
+        up AS (
+          SELECT r.doc_id, r.pos AS leaf_pos, r.lang, r.leaf, r.pos, s.place, s.subroot, 0 AS level, r.changed AS h, '' AS proof FROM r JOIN s USING (lang)
+          UNION ALL
+          SELECT doc_id, leaf_pos, lang, leaf, pos // 2, place, subroot, level + 1,
+            sha256(CASE WHEN pos % 2 = 1 THEN other || h ELSE h || other END), proof || other
+          FROM (
+            SELECT up.*, coalesce(x.h, '') AS other FROM up JOIN t AS own ON own.lang = up.lang AND own.level = up.level AND own.pos = up.pos AND own.n > 1
+            LEFT JOIN t AS x ON x.lang = up.lang AND x.level = up.level AND x.pos = xor(up.pos, 1))),
+        top AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY lang, leaf_pos ORDER BY level DESC) = 1),
+        over AS (
+          SELECT doc_id, leaf_pos, lang, leaf, subroot, place AS pos, 0 AS level, h, proof FROM top
+          UNION ALL
+          SELECT doc_id, leaf_pos, lang, leaf, subroot, pos // 2, level + 1, sha256(CASE WHEN pos % 2 = 1 THEN other || h ELSE h || other END), proof || other
+          FROM (
+            SELECT over.*, coalesce(x.h, '') AS other FROM over JOIN u AS own ON own.level = over.level AND own.pos = over.pos AND own.n > 1
+            LEFT JOIN u AS x ON x.level = over.level AND x.pos = xor(over.pos, 1))),
+        done AS (SELECT * FROM over QUALIFY row_number() OVER (PARTITION BY lang, leaf_pos ORDER BY level DESC) = 1)
+        SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root,
+          h = (SELECT h FROM u WHERE n = 1) AS verified
+        FROM done"""

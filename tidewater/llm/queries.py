@@ -10,13 +10,16 @@ from tidewater.llm import oracles
 from tidewater.llm.fingerprints import edited_likeness
 from tidewater.llm.html_extraction import extract
 from tidewater.llm.line_dedup import line_report
+from tidewater.llm.merkle import tamper_report
 from tidewater.llm.mixing import mix
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.packing import pack_documents
+from tidewater.llm.periodic_runs import run_report
 from tidewater.llm.quality_model import quality
 from tidewater.llm.quality_rules import quality_rules
 from tidewater.llm.sharding import kd_shards
 from tidewater.llm.toxicity import toxicity
+from tidewater.llm.warc import page_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +81,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_report(_table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -90,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_kd_sharding": op9_kd_sharding,
         "op10_source_mixing": op10_source_mixing,
+        "op11_warc": op11_warc,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -100,4 +118,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_near_duplicates": oracles.near_duplicates(),
         "op8_quality_rules": oracles.quality_rules(),
         "op10_source_mixing": oracles.source_mixing(),
+        "op11_warc": oracles.warc(),
+        "op12_merkle_manifest": oracles.merkle_manifest(),
     }
