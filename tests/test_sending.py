@@ -1,0 +1,357 @@
+"""Sending: requests in flight, the ledger, kept connections, logs and reasons of failures."""
+
+import collections
+import functools
+import json
+import logging
+import os
+import re
+import socket
+import subprocess
+import sys
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.functions.replies import expires_at, expiry
+from tidewater.functions.requests import told
+from tidewater.functions.text import until_blank
+from tidewater.operators.completion import NetworkError, complete
+from tidewater.sources.endpoint import Connections, HttpTransport, OAuthTokens
+from tidewater.sources.settings import Settings
+
+
+def reply(text):
+    return json.dumps({"choices": [{"message": {"content": text}}]})
+
+
+def prompt_of(body):
+    return json.loads(body)["messages"][0]["content"]
+
+
+class Handler(BaseHTTPRequestHandler):
+    protocol_version = "HTTP/1.1"
+    opened = 0
+    seen: list = []
+
+    def setup(self):
+        type(self).opened += 1
+        super().setup()
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+        prompt = prompt_of(body)
+        self.seen.append(prompt)
+        status = 401 if prompt.startswith("deny") else 503 if prompt == "flaky" and self.seen.count("flaky") == 1 else 200
+        out = (f"no such key: {self.headers.get('Authorization', '').removeprefix('Bearer ')}" if status == 401 else reply(prompt.upper())).encode()
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(out)))
+        if prompt.startswith("bye"):
+            self.send_header("Connection", "close")
+        self.end_headers()
+        self.wfile.write(out)
+        self.close_connection = prompt.startswith(("bye", "drop"))  # "drop" doesn't say so
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def server():
+    Handler.opened, Handler.seen = 0, []
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    httpd.daemon_threads = True
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{httpd.server_port}/v1"
+    httpd.shutdown()
+    httpd.server_close()
+
+
+def prompts_of(spark, texts, parts=1):
+    return spark.createDataFrame(list(enumerate(texts)), "id long, prompt string").repartition(parts)
+
+
+class TestConnections:
+    def send(self, pool, url, prompt, timeout=5.0):
+        return pool.post(url, {"Content-Type": "application/json"}, json.dumps({"messages": [{"content": prompt}]}).encode(), timeout)
+
+    def test_one_connection_for_many_requests(self, server):
+        pool = Connections()
+        for k in range(20):
+            status, body = self.send(pool, server, f"p{k}")
+            assert status == 200 and f"P{k}" in body
+        assert Handler.opened == 1
+
+    @pytest.mark.parametrize("word", ["bye", "drop"])
+    def test_a_closed_connection_is_replaced(self, server, word):
+        pool = Connections()
+        for k in range(6):
+            assert self.send(pool, server, f"{word}{k}")[0] == 200
+        assert Handler.opened == 6 and len(Handler.seen) == 6
+
+    def test_a_connection_that_dies_when_used_is_replaced_within_the_attempt(self, server):
+        pool = Connections()
+        self.send(pool, server, "a")
+        (kept,), = pool._idle.values()
+        kept.sock.shutdown(socket.SHUT_WR)  # nothing is to be read yet, but nothing can be sent
+        assert self.send(pool, server, "b")[0] == 200 and Handler.opened == 2
+
+    def test_threads_have_connections_of_their_own(self, server):
+        pool = Connections()
+        threads = [threading.Thread(target=lambda: [self.send(pool, server, "x") for _ in range(10)]) for _ in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert len(Handler.seen) == 40 and 1 <= Handler.opened <= 4
+
+    def test_proxy(self, server, monkeypatch):
+        monkeypatch.setenv("http_proxy", server.removesuffix("/v1"))
+        monkeypatch.delenv("no_proxy", raising=False)
+        assert self.send(Connections(), "http://elsewhere.invalid/v1", "through")[0] == 200
+
+    @pytest.mark.parametrize("url", ["ftp://a", "nothing", "http://a:port/", "http://"])
+    def test_odd_addresses(self, url):
+        with pytest.raises(NetworkError, match="ValueError"):
+            Connections().post(url, {}, b"", 1.0)
+
+    def test_a_worker_keeps_its_connection(self, spark, server):
+        settings = Settings(base_url=server, api_key="k", timeout=5.0)
+        rows = complete(prompts_of(spark, [f"p{k}" for k in range(30)]), functools.partial(HttpTransport, settings), ["id"]).collect()
+        assert {r["text"] for r in rows} == {f"P{k}" for k in range(30)} and Handler.opened == 1
+
+
+class TestReasons:
+    def test_refused_and_late_are_told_apart(self, spark):
+        with socket.socket() as silent:
+            silent.bind(("127.0.0.1", 0))
+            silent.listen()
+            late = Settings(base_url=f"http://127.0.0.1:{silent.getsockname()[1]}", timeout=0.2)
+            refused = Settings(base_url="http://127.0.0.1:9", timeout=1.0)
+            said = [
+                complete(prompts_of(spark, ["x"]), functools.partial(HttpTransport, s), ["id"], max_retries=1, backoff=0.0).head()["error_message"]
+                for s in (refused, late)
+            ]
+        assert "Connection refused" in said[0] and "timed out" in said[1]
+        assert all(m.startswith("no reply after 2 attempts: ") for m in said)
+
+    def test_causes_without_credentials(self):
+        try:
+            try:
+                raise OSError("sent Bearer abc.def there")
+            except OSError as error:
+                raise ValueError("no luck") from error
+        except ValueError as error:
+            assert told(error) == "ValueError: no luck; OSError: sent Bearer *** there"
+        assert told(KeyError()) == "KeyError"
+
+    def test_a_key_that_the_endpoint_repeats(self, spark, server):
+        settings = Settings(base_url=server, api_key="secret-123", timeout=5.0)
+        r = complete(prompts_of(spark, ["deny"]), functools.partial(HttpTransport, settings), ["id"]).head()
+        assert r["error_message"] == "HTTP 401: no such key: ***"
+
+
+class Slow:
+    """Answers after a while; counts the threads in it."""
+
+    def __init__(self, seconds=0.05, most=None):
+        self.seconds, self.most, self.now, self.peak, self.lock = seconds, most, 0, 0, threading.Lock()
+        self.seen = collections.Counter()
+
+    def send(self, body):
+        prompt = prompt_of(body)
+        with self.lock:
+            self.now += 1
+            self.peak = max(self.peak, self.now)
+            self.seen[prompt] += 1
+            first = self.seen[prompt] == 1
+        time.sleep(self.seconds)
+        with self.lock:
+            self.now -= 1
+        if prompt.startswith("busy") and first:
+            return 503, ""
+        if prompt.startswith("net"):
+            raise NetworkError("gone")
+        return 200, reply(f"{prompt} {self.peak}")
+
+
+class TestInFlight:
+    def timed(self, spark, texts, **options):
+        df = prompts_of(spark, texts)
+        complete(df.limit(0), Slow, ["id"], **options).collect()  # starts the worker
+        began = time.perf_counter()
+        rows = complete(df, Slow, ["id"], **options).collect()
+        return rows, time.perf_counter() - began
+
+    def test_many_at_once_in_order(self, spark):
+        texts = [f"p{k}" for k in range(64)]
+        one, alone = self.timed(spark, texts)
+        many, together = self.timed(spark, texts, in_flight=16)
+        strip = lambda rows: [(r["id"], r["text"].split()[0], r["attempts"]) for r in rows]
+        assert strip(one) == strip(many)
+        assert max(int(r["text"].split()[1]) for r in many) == 16 and alone > 64 * 0.05 and alone - together > 64 * 0.05 * 0.6
+
+    def test_waiting_for_another_attempt_holds_nobody_up(self, spark):
+        texts = [f"busy{k}" for k in range(30)] + [f"p{k}" for k in range(30)] + ["net"]
+        rows, took = self.timed(spark, texts, in_flight=2, backoff=0.8, max_retries=1)
+        got = {r["id"]: (r["attempts"], r["error_class"]) for r in rows}
+        assert [got[k] for k in range(61)] == [(2, None)] * 30 + [(1, None)] * 30 + [(2, "retry_exhausted")]
+        assert took < 92 * 0.05 / 2 + 0.8 + 5  # one after another, the pauses alone would take 24 s
+
+    def test_other_outcomes(self, spark):
+        rows = complete(prompts_of(spark, ["a", "", "b"]), Slow, ["id"], in_flight=4, max_retries=-1).collect()
+        assert [(r["error_class"], r["attempts"]) for r in rows] == [("retry_exhausted", 0), ("invalid_usage", 0), ("retry_exhausted", 0)]
+
+
+class Noting:
+    """Notes each prompt in a file; ends its worker at a prompt, but for the second run."""
+
+    def __init__(self, folder, dies_at):
+        self.folder, self.dies_at = folder, dies_at
+
+    def send(self, body):
+        prompt = prompt_of(body)
+        if prompt == self.dies_at and not os.path.exists(f"{self.folder}/second"):
+            os._exit(1)
+        with open(f"{self.folder}/sent", "a") as file:
+            file.write(prompt + "\n")
+        return (503, "") if prompt == "never" else (404, "no") if prompt == "refused" else (200, reply(prompt))
+
+
+class TestLedger:
+    def sent(self, folder):
+        return collections.Counter((folder / "sent").read_text().split()) if (folder / "sent").exists() else collections.Counter()
+
+    @pytest.mark.parametrize("in_flight", [1, 4])
+    def test_a_job_killed_midway_sends_only_the_rest(self, spark, tmp_path, in_flight):
+        texts = [f"p{k}" for k in range(60)] + ["refused"]
+        run = lambda: complete(
+            prompts_of(spark, texts), functools.partial(Noting, str(tmp_path), "p40"), ["id"], in_flight=in_flight,
+            max_retries=0, ledger=f"file://{tmp_path}/ledger", ledger_rows=5,
+        ).collect()
+        with pytest.raises(Exception, match="Python worker exited|crashed"):
+            run()
+        before = self.sent(tmp_path)
+        assert 30 <= len(before) < 61
+        (tmp_path / "second").touch()
+        rows = run()
+        after = self.sent(tmp_path)
+        assert {r["id"]: r["text"] for r in rows} == dict(enumerate(texts[:-1])) | {60: None} and set(after) == set(texts)
+        # What was in no file yet when the worker ended is sent again, nothing else.
+        assert set(after.values()) <= {1, 2} and sum(n == 2 for n in after.values()) < 5 + in_flight
+        assert run() and self.sent(tmp_path) == after
+
+    def test_a_second_action_and_changed_prompts(self, spark, tmp_path):
+        (tmp_path / "second").touch()
+        options = dict(keys=["id"], max_retries=0, ledger=f"file://{tmp_path}/ledger", ledger_rows=1)
+        make = functools.partial(Noting, str(tmp_path), "")
+        df = complete(prompts_of(spark, ["a", "b", "never", "", "refused"]), make, **options)
+        assert df.count() == 5 and len(df.collect()) == 5
+        # What has no answer is sent each time.
+        assert self.sent(tmp_path) == {"a": 1, "b": 1, "never": 2, "refused": 1}
+        rows = complete(prompts_of(spark, ["a", "B", "a", "", "refused"]), make, send_failed=True, **options).orderBy("id").collect()
+        assert [(r["text"], r["error_class"], r["attempts"]) for r in rows] == [
+            ("a", None, 1), ("B", None, 1), ("a", None, 1), (None, "invalid_usage", 0), (None, "request", 1),
+        ]
+        assert self.sent(tmp_path)["a"] == 2 and self.sent(tmp_path)["B"] >= 1 and self.sent(tmp_path)["refused"] >= 2
+
+
+class TestLogs:
+    @pytest.mark.parametrize("verbose", [False, True])
+    def test_the_command_line_sets_the_level_of_workers(self, server, verbose, tmp_path):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        env = os.environ | {"PYTHONPATH": root, "LLM_RETRY_BACKOFF": "0.01"}
+        run = subprocess.run(
+            [sys.executable, "-m", "tidewater", "flaky", "--base-url", server, *["-v"] * verbose],
+            capture_output=True, text=True, env=env, cwd=tmp_path, timeout=120,
+        )
+        assert run.returncode == 0 and run.stdout == "FLAKY\n"
+        assert "WARNING:tidewater.operators.completion:attempt 1: HTTP 503" in run.stderr
+        assert ("INFO:tidewater.operators.completion:trying again in 0.01 s" in run.stderr) == verbose
+
+    def test_tokens(self, caplog):
+        tokens = OAuthTokens(Settings(oauth_client_secret="s"), lambda: 0.0, lambda *_: (200, '{"access_token":"t","expires_in":90}'))
+        with caplog.at_level(logging.DEBUG, "tidewater"):
+            tokens.token()
+        assert "renewed the access token; it ends at 90" in caplog.text
+
+
+BODIES = [
+    '{"expires_in":"NaN"}', '{"expires_at":true,"expires_in":3}', '{"expires_at":1e12}', '{"expires_at":1000000000001}', '{"expires_at":"1_0","expires_in":" 7 "}',
+    '{"expires_at":"1d","expires_in":"0x10"}', '{"expires_at":"Infinity"}', '{"expires_at":1e999,"expires_in":5}', '{"expires_at":' + "9" * 400 + ',"expires_in":6}',
+    '{"expires_at":[1],"expires_in":{"a":1}}', '{"expires_at":null,"expires_in":null}', '{"expires_at":-5}', '{"expires_at":"","expires_in":".5e1"}',
+    '{"expires_in":12.25}', '{"expires_at":"1.9E12"}', '{"expires_at":"5.","expires_in":1}', '{"expires_at":0}', '{"expires_at":"1e999","expires_in":4}', "{}",
+    '{"expires_at":123456789012345678901234567890}', '{"expires_at":"٣","expires_in":"\\u00a05"}',
+]
+
+
+def test_the_end_of_a_token_is_the_same_for_columns_and_objects(spark):
+    df = spark.createDataFrame([(b,) for b in BODIES], "b string").select(expires_at(F.col("b"), F.lit(100.0)))
+    assert [r[0] for r in df.collect()] == [expiry(json.loads(b), 100.0) for b in BODIES]
+
+
+def test_until_blank_is_what_a_loop_over_lines_finds(spark):
+    space = " \t\r\x0b\x0c\x1c  \n"
+    rng = __import__("random").Random(7)
+    texts = ["".join(rng.choice("ab \n\n\t\r \x1c\x0b") for _ in range(rng.randint(0, 16))) for _ in range(3000)] + ["x\n" * 50_000 + "\n y", None]
+
+    def plain(text):
+        out = []
+        for line in text.split("\n"):
+            if line.strip(space):
+                out.append(line)
+            elif out:
+                break
+        return "\n".join(out).strip(space)
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(until_blank(F.col("t"))).collect()]
+    assert got == [None if t is None else plain(t) for t in texts]
+    assert not re.search("a\n\nb", got[-2])
+
+
+class TestHotClient:
+    @staticmethod
+    def plain(rows, lifetime, early):
+        out, until = [], {}
+        for client, at, call in sorted(rows):
+            renew = not at < until.get(client, float("-inf")) - early
+            if renew:
+                until[client] = at + lifetime
+            out.append((client, at, call, renew))
+        return out
+
+    @pytest.mark.parametrize("lifetime, early, segment", [(100.0, 60.0, 7), (1800.0, 60.0, 16), (60.0, 60.0, 5), (5e4, 60.0, 3), (61.5, 60.0, 1), (1e9, 60.0, 50)])
+    def test_segments_of_any_size(self, spark, lifetime, early, segment):
+        from tidewater.operators.token_cache import refresh_trace
+
+        rng = __import__("random").Random(segment)
+        rows = [("hot", float(rng.choice([rng.randint(0, 9000), rng.random() * 300])), k) for k in range(700)]
+        rows += [(rng.choice("abc"), float(rng.randint(0, 5000)), 1000 + k) for k in range(60)] + [("once", 1.0, 5000)]
+        df = spark.createDataFrame(rows + [(None, 1.0, 1), ("hot", None, 2)], "c string, t double, i long").repartition(3)
+        got = sorted(map(tuple, refresh_trace(df, "c", "t", "i", lifetime, early, segment).collect()))
+        assert got == self.plain(rows, lifetime, early)
+
+    def test_times_that_are_no_numbers(self, spark):
+        from tidewater.operators.token_cache import refresh_trace
+
+        rows = [(1, t, k) for k, t in enumerate([0.0, 1.0, float("nan"), 3000.0, float("inf"), float("nan"), float("nan")])]
+        got = refresh_trace(spark.createDataFrame(rows, "c long, t double, i long"), "c", "t", "i", 1800.0, segment=2).orderBy("order").collect()
+        assert [r["refreshed"] for r in got] == [True, False, True, True, True, True, True]
+
+    def test_half_of_all_calls_are_dealt_evenly(self, spark):
+        from tidewater.operators.token_cache import segments_of
+
+        df = spark.range(40_000).select(
+            F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 997).alias("client"), (F.hash("id") % 100_000).cast("double").alias("at"), F.col("id").alias("call")
+        )
+        setting = "spark.sql.adaptive.coalescePartitions.enabled"
+        spark.conf.set(setting, "false")
+        try:
+            tasks = segments_of(df, 512).groupBy(F.shiftright("part", 33).alias("task")).agg(F.sum(F.size("ats")).alias("n")).collect()
+        finally:
+            spark.conf.unset(setting)
+        sizes = sorted(r["n"] for r in tasks)
+        assert len(sizes) == 4 and sum(sizes) == 40_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Callable
+from typing import Any, NamedTuple
+
 from pyspark.sql import Column, functions as F
 
 _CONTENT = "$.choices[0].message.content"
-#: Expiry values above this are milliseconds.
-MILLISECONDS_ABOVE = 1e12
 DEFAULT_LIFETIME = 1800.0
+#: What counts as a number, also in a string.
+NUMBER = r"[ \t\r\n]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\r\n]*"
+
+
+class End(NamedTuple):
+    """A field that may say when a token ends, if its value is a number above a bound; works for columns and for floats."""
+
+    field: str
+    above: float
+    at: Callable[[Any, Any], Any]
+
+
+#: In order of preference.  Times above a bound are milliseconds.
+ENDS = (
+    End("expires_at", 1e12, lambda stated, now: stated / 1000),
+    End("expires_at", -math.inf, lambda stated, now: stated),
+    End("expires_in", -math.inf, lambda lifetime, now: now + lifetime),
+)
 
 
 def reply(body: Column) -> Column:
@@ -27,11 +48,27 @@ def reply(body: Column) -> Column:
 
 
 def expires_at(body: Column, now: Column) -> Column:
-    """When a token ends, in epoch seconds: the stated time, else the stated lifetime, else 30 minutes.
-
-    A stated time that isn't a number falls through to the lifetime.
-    """
+    """When a token ends, in epoch seconds: what the first field of ``ENDS`` with a number says, else in 30 minutes."""
     parsed = F.try_parse_json(body)
-    stated, lifetime = (F.try_variant_get(parsed, f"$.{name}", "double") for name in ("expires_at", "expires_in"))
-    seconds = F.when(stated > MILLISECONDS_ABOVE, stated / 1000).otherwise(stated)
-    return F.coalesce(F.when(~F.isnan(seconds), seconds), now + lifetime, now + F.lit(DEFAULT_LIFETIME))
+
+    def number(field: str) -> Column:
+        stated = F.try_variant_get(parsed, f"$.{field}", "string")
+        return F.when(stated.rlike(f"^{NUMBER}$"), F.trim(stated, F.lit(" \t\r\n")).cast("double"))
+
+    finite = {field: F.when(F.abs(number(field)) < math.inf, number(field)) for field in dict.fromkeys(end.field for end in ENDS)}
+    stated = (F.when(finite[end.field] > end.above, end.at(finite[end.field], now)) for end in ENDS)
+    return F.coalesce(*stated, now + F.lit(DEFAULT_LIFETIME))
+
+
+def expiry(answer: dict[str, Any], now: float) -> float:
+    """The same of a parsed body."""
+
+    def number(value: Any) -> float | None:
+        try:
+            told = isinstance(value, (int, float)) and not isinstance(value, bool) or isinstance(value, str) and re.fullmatch(NUMBER, value)
+            return float(value) if told and math.isfinite(float(value)) else None
+        except OverflowError:
+            return None
+
+    found = ((end, number(answer.get(end.field))) for end in ENDS)
+    return next((end.at(value, now) for end, value in found if value is not None and value > end.above), now + DEFAULT_LIFETIME)

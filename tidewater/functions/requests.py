@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 ENDPOINT = "/chat/completions"
+#: Credentials of an authorization header, wherever it is repeated.
+CREDENTIALS = r"(?i)\b(bearer|basic)\s+[^\s\"',;]+"
 #: Settings whose empty override counts; for all others it stands for none.
 EMPTY_COUNTS = frozenset({"api_key"})
 
@@ -50,4 +54,16 @@ def override(value: Column, base: Column, *, keep_empty: bool = False) -> Column
 
 def redact(message: Column) -> Column:
     """A message without the credentials of an authorization header, in case an endpoint repeats them."""
-    return F.regexp_replace(message, r"(?i)\b(bearer|basic)\s+[^\s\"',;]+", "$1 ***")
+    return F.regexp_replace(message, CREDENTIALS, "$1 ***")
+
+
+def told(error: BaseException) -> str:
+    """An error and what caused it, each once, without credentials."""
+    said: list[str] = []
+    cause: BaseException | None = error
+    while cause is not None and len(said) < 5:
+        text = f"{type(cause).__name__}: {cause}" if str(cause) else type(cause).__name__
+        if not any(str(cause) and str(cause) in x for x in said):
+            said.append(text)
+        cause = cause.__cause__ or cause.__context__
+    return re.sub(CREDENTIALS, r"\1 ***", "; ".join(said))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 #: Characters that count as white space at the ends of a prompt (Unicode spaces and the ASCII separators).
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same but for the end of a line.
+_BLANK = SPACE_CLASS.replace(r"\t-\r", r"\t\x0b-\r")
 
 
 def strip(text: Column) -> Column:
@@ -20,12 +22,8 @@ def join_words(words: Column) -> Column:
 
 def until_blank(text: Column) -> Column:
     """The lines from the first that isn't blank up to the next blank one, stripped."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), (strip(x) == "").alias("blank")))
-    first = F.array_position(F.transform(lines, lambda x: x["blank"]), False)
-    rest = F.when(first > 0, F.slice(lines, first.cast("int"), F.size(lines))).otherwise(F.slice(lines, 1, 0))
-    stop = F.array_position(F.transform(rest, lambda x: x["blank"]), True)
-    kept = F.slice(rest, F.lit(1), F.when(stop > 0, stop.cast("int") - 1).otherwise(F.size(rest)))
-    return strip(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    begun = F.regexp_replace(text, f"^{SPACE_CLASS}+", "")
+    return strip(F.regexp_replace(begun, rf"\n{_BLANK}*\n(?s:.*)", ""))
 
 
 def prompt_status(prompt: Column) -> Column:

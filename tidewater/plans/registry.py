@@ -6,7 +6,10 @@ derived from keys, in the same way in both.
 
 from __future__ import annotations
 
+import collections
 import json
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,6 +20,7 @@ from tidewater.functions.text import join_words, prompt_status, strip, until_bla
 from tidewater.operators.completion import complete
 from tidewater.operators.retries import exit_code, retry_trace
 from tidewater.operators.token_cache import refresh_trace
+from tidewater.plans.storage import shared_folder
 
 STATUSES = (200, 204, 302, 400, 401, 404, 429, 500, 501, 503)
 _PADS = ("", " ", "\t ", " \n\u001c")
@@ -108,6 +112,16 @@ def token_refresh_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_refresh_hot_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one client makes half of all calls, which are walked in many segments."""
+    df = _read(spark, sf_dir, "events").withColumn("now", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"))
+    df = df.withColumn("client", F.when(F.col("event_id") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")))
+    trace = refresh_trace(df, "client", "now", "event_id", LIFETIME, segment=512)
+    return trace.groupBy("client").agg(
+        F.count(F.lit(1)).alias("n_calls"), F.count_if("refreshed").alias("n_renewals"), F.max(F.when(F.col("refreshed"), F.col("now"))).alias("last_renewal")
+    )
+
+
 def oauth_basic_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authorization headers for token requests; every fifth client has a ready one."""
     ready = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("Basic ready-"), F.col("c_custkey"))).otherwise("")
@@ -170,6 +184,53 @@ def batch_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete(prompts, EchoTransport, ["conv_id", "turn"], max_retries=2, backoff=0.0)
 
 
+class CountingEcho:
+    """The same for many threads, if all bodies differ: what it says depends on the body and how often it came."""
+
+    def __init__(self) -> None:
+        self.seen: collections.Counter[str] = collections.Counter()
+        self.lock = threading.Lock()
+
+    def send(self, body: str) -> tuple[int, str]:
+        with self.lock:
+            self.seen[body] += 1
+            echo = EchoTransport()
+            echo.last, echo.seen = body, self.seen[body] - 1
+        return echo.send(body)
+
+
+def batch_complete_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns with their place before them, completed with 16 requests of a task in flight."""
+    prompt = F.concat_ws(" ", "conv_id", "turn", strip(F.col("text")))
+    prompts = _user_turns(spark, sf_dir).select("conv_id", "turn", prompt.alias("prompt"))
+    return complete(prompts, CountingEcho, ["conv_id", "turn"], max_retries=2, backoff=0.001, in_flight=16)
+
+
+class SecondTime(EchoTransport):
+    """Refuses what the first run has sent: prompts of an even length."""
+
+    def send(self, body: str) -> tuple[int, str]:
+        if len(json.loads(body)["messages"][0]["content"]) % 2 == 0:
+            return 403, "sent twice"
+        return super().send(body)
+
+
+class FirstTime(EchoTransport):
+    """Answers without trouble what the other would refuse."""
+
+    def send(self, body: str) -> tuple[int, str]:
+        return 200, json.dumps({"choices": [{"message": {"content": "kept: " + json.loads(body)["messages"][0]["content"]}}]})
+
+
+def batch_complete_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns, where an earlier run has left the answers to prompts of an even length in a ledger."""
+    prompts = _user_turns(spark, sf_dir).select("conv_id", "turn", strip(F.col("text")).alias("prompt"))
+    ledger = f"{shared_folder(spark)}/tidewater/ledger-{uuid.uuid4().hex}"
+    options = {"keys": ["conv_id", "turn"], "max_retries": 2, "backoff": 0.0, "ledger": ledger}
+    complete(prompts.where(F.length("prompt") % 2 == 0), FirstTime, **options).write.format("noop").mode("overwrite").save()
+    return complete(prompts, SecondTime, **options)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "prompt_payload": prompt_payload,
@@ -180,11 +241,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reply_extract": reply_extract,
         "token_expiry": token_expiry,
         "token_refresh_trace": token_refresh_trace,
+        "token_refresh_hot_client": token_refresh_hot_client,
         "oauth_basic_header": oauth_basic_header,
         "config_precedence": config_precedence,
         "endpoint_url": endpoint_urls,
         "exit_code": exit_codes,
         "batch_complete": batch_complete,
+        "batch_complete_in_flight": batch_complete_in_flight,
+        "batch_complete_resumed": batch_complete_resumed,
     }
 
 
@@ -202,6 +266,30 @@ def _kind(x: str) -> str:
     )
 
 
+def _chain(client: str, window: float) -> str:
+    return f"""
+        SELECT {client}, min(now) AS at FROM c GROUP BY {client}
+        UNION ALL
+        SELECT c.{client}, min(c.now) FROM chain JOIN c ON c.{client} = chain.{client} AND c.now >= chain.at + {window}
+        GROUP BY c.{client}"""
+
+
+def _completed(prompt: str, more: str = "") -> str:
+    """What the stand-in endpoint makes of prompts, with two retries."""
+    return f"""
+        SELECT conv_id, turn, CASE WHEN kind = 'ok' THEN 'echo: ' || prompt END AS text,
+          CAST(CASE kind WHEN 'request' THEN 401 WHEN 'retry_exhausted' THEN 503 WHEN 'invalid_usage' THEN NULL ELSE 200 END AS INTEGER) AS status,
+          nullif(kind, 'ok') AS error_class,
+          CASE kind WHEN 'invalid_usage' THEN 'no prompt' WHEN 'request' THEN 'HTTP 401: denied'
+            WHEN 'retry_exhausted' THEN 'no reply after 3 attempts: HTTP 503: busy'
+            WHEN 'response_shape' THEN 'unexpected response: {{"choices":[]}}' END AS error_message,
+          CAST(CASE WHEN kind = 'invalid_usage' THEN 0 WHEN kind = 'request' THEN 1 WHEN kind = 'retry_exhausted' THEN 3
+            WHEN length(prompt) % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts{more}
+        FROM (SELECT *, CASE WHEN coalesce(prompt, '') = '' THEN 'invalid_usage' WHEN length(prompt) % 11 = 0 THEN 'request'
+            WHEN length(prompt) % 13 = 0 THEN 'retry_exhausted' WHEN length(prompt) % 17 = 0 THEN 'response_shape' ELSE 'ok' END AS kind
+          FROM (SELECT conv_id, turn, {prompt} AS prompt FROM conversations WHERE role = 'user'))"""
+
+
 def oracle_sql() -> dict[str, str]:
     codes = "[" + ", ".join(map(str, STATUSES)) + "]"
     pad = "CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN chr(9) || chr(160) ELSE chr(8195) || chr(10) || chr(28) END"
@@ -244,13 +332,15 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT event_id, event_id + 1699999500 AS now FROM events)""",
         "token_refresh_trace": f"""
             WITH RECURSIVE c AS (SELECT user_id, floor(epoch(ts)) AS now FROM events),
-            chain AS (
-              SELECT user_id, min(now) AS at FROM c GROUP BY user_id
-              UNION ALL
-              SELECT c.user_id, min(c.now) FROM chain JOIN c ON c.user_id = chain.user_id AND c.now >= chain.at + {early}
-              GROUP BY c.user_id)
+            chain AS ({_chain("user_id", early)})
             SELECT user_id, n_calls, n_renewals FROM (SELECT user_id, count(*) AS n_renewals FROM chain GROUP BY user_id)
             JOIN (SELECT user_id, count(*) AS n_calls FROM c GROUP BY user_id) USING (user_id)""",
+        "token_refresh_hot_client": f"""
+            WITH RECURSIVE c AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS client, floor(epoch(ts)) AS now FROM events),
+            chain AS ({_chain("client", early)})
+            SELECT client, n_calls, n_renewals, last_renewal
+            FROM (SELECT client, count(*) AS n_renewals, max(chain.at) AS last_renewal FROM chain GROUP BY client)
+            JOIN (SELECT client, count(*) AS n_calls FROM c GROUP BY client) USING (client) WHERE client IS NOT NULL""",
         "oauth_basic_header": """
             SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Basic ready-' || c_custkey
               ELSE 'Basic ' || to_base64(encode(c_name || ':' || repeat(c_mktsegment, 6) || 'ü' || c_custkey)) END AS header
@@ -267,16 +357,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, outcome, CASE outcome WHEN 'ok' THEN 0 WHEN 'invalid_usage' THEN 2 ELSE 1 END AS exit_code FROM (
               SELECT event_id, CASE WHEN event_id % 9 = 0 OR event_type = '' OR event_type IS NULL THEN 'invalid_usage' ELSE {_kind(f"{codes}[event_id % 10 + 1]")} END AS outcome
               FROM events)""",
-        "batch_complete": f"""
-            SELECT conv_id, turn, CASE WHEN kind = 'ok' THEN 'echo: ' || prompt END AS text,
-              CAST(CASE kind WHEN 'request' THEN 401 WHEN 'retry_exhausted' THEN 503 WHEN 'invalid_usage' THEN NULL ELSE 200 END AS INTEGER) AS status,
-              nullif(kind, 'ok') AS error_class,
-              CASE kind WHEN 'invalid_usage' THEN 'no prompt' WHEN 'request' THEN 'HTTP 401: denied'
-                WHEN 'retry_exhausted' THEN 'no reply after 3 attempts: HTTP 503: busy'
-                WHEN 'response_shape' THEN 'unexpected response: {{"choices":[]}}' END AS error_message,
-              CAST(CASE WHEN kind = 'invalid_usage' THEN 0 WHEN kind = 'request' THEN 1 WHEN kind = 'retry_exhausted' THEN 3
-                WHEN length(prompt) % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts
-            FROM (SELECT *, CASE WHEN coalesce(prompt, '') = '' THEN 'invalid_usage' WHEN length(prompt) % 11 = 0 THEN 'request'
-                WHEN length(prompt) % 13 = 0 THEN 'retry_exhausted' WHEN length(prompt) % 17 = 0 THEN 'response_shape' ELSE 'ok' END AS kind
-              FROM (SELECT conv_id, turn, {_strip("text")} AS prompt FROM conversations WHERE role = 'user'))""",
+        "batch_complete": _completed(_strip("text")),
+        "batch_complete_in_flight": _completed(f"conv_id || ' ' || turn || ' ' || {_strip('text')}"),
+        "batch_complete_resumed": f"""
+            SELECT conv_id, turn, CASE WHEN even THEN 'kept: ' || prompt ELSE text END AS text, CAST(CASE WHEN even THEN 200 ELSE status END AS INTEGER) AS status,
+              CASE WHEN NOT even THEN error_class END AS error_class, CASE WHEN NOT even THEN error_message END AS error_message,
+              CAST(CASE WHEN even THEN 1 ELSE attempts END AS INTEGER) AS attempts
+            FROM (SELECT *, length(prompt) % 2 = 0 AND prompt <> '' AS even FROM ({_completed(_strip("text"), more=", prompt")}))""",
     }
