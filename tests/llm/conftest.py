@@ -1,7 +1,10 @@
 import pytest
 
 #: Columns of the caller whose names the operators use themselves.
-CLASHES = ("_id", "_h", "_n", "key", "size", "shard", "label", "component_id", "class_id", "range", "copy", "source_size")
+CLASHES = (
+    "_id", "_h", "_n", "key", "size", "shard", "label", "component_id", "class_id", "range", "copy", "source_size",
+    "__s", "__id", "__hash", "__key", "__size", "_f", "_s", "_key", "_size", "_drop", "_times", "_cut", "text_hash", "first_id", "c0", "c1", "_pair", "_keeper",
+)
 
 
 def document_rows():

@@ -23,8 +23,8 @@ def columns_kept(out, docs):
 
 
 class TestLineDedup:
-    @staticmethod
-    def brute(docs, min_docs, similarity):
+    @classmethod
+    def brute(cls, docs, min_docs, similarity, passages=False, near=None):
         least = lambda tokens: line_dedup.LONG_MIN_DOCS if len(tokens) >= line_dedup.LONG else min_docs
 
         texts = collections.defaultdict(list)
@@ -57,7 +57,7 @@ class TestLineDedup:
             for p, w in enumerate(v):
                 if w != "<*>":
                     seen[leaf[k], p, w].add(k[0])
-        general = {}
+        general = set()
         for level in range(40):  # the number of texts that makes a token constant doubles
             masked = {}
             for k, v in left.items():
@@ -66,20 +66,73 @@ class TestLineDedup:
                 if sum(w != "<*>" for w in m) >= similarity * sum(w != "<*>" for w in v) and any(w != "<*>" for w in m):
                     masked[k] = (leaf[k], m)
             found = recurring(masked)
-            general |= {k: found[v] for k, v in masked.items() if found.get(v, k[0]) != k[0]}
-        drop = {k for k, v in lines.items() if exact.get(v, k[0]) != k[0]} | set(general)
+            found = {(k, found[v]) for k, v in masked.items() if found.get(v, k[0]) != k[0]}
+            general |= found
+        lost = {(k, exact[v]) for k, v in lines.items() if exact.get(v, k[0]) != k[0]} | general
+        if passages:
+            lost |= cls.passages(texts, first)
+        if near is not None:
+            by_text = collections.defaultdict(set)
+            for (t, n), keeper in lost:
+                by_text[t, keeper].add(n)
+            sets = TestNearDedup.sets([(t, t.lower()) for t in texts])
+            size = lambda line: len(" ".join(re.findall(r"[^\x20\x09-\x0D]+", line)).encode())
+            for (t, keeper), numbers in by_text.items():
+                own, other = t.split("\n"), len(sets[t] & sets[keeper])
+                whole = len("\n".join(re.sub("[ \t\x0b\x0c\r]+", " ", x) for x in own).encode())
+                if 2 * sum(size(own[n]) for n in numbers) >= whole and 100 * other >= near * len(sets[t] | sets[keeper]):
+                    lost -= {((t, n), keeper) for n in numbers}
+        drop = {k for k, _ in lost}
         return {t: "\n".join(x for n, x in enumerate(t.split("\n")) if (t, n) not in drop) for t in texts}
 
+    @staticmethod
+    def passages(texts, first):
+        """Lines of runs of LONG tokens, the shortest from or up to a line, that an earlier text has, and that text."""
+        seen = collections.defaultdict(list)
+        for t in texts:
+            lines = [(n, tuple(re.findall(r"[^\x20\x09-\x0D]+", x))) for n, x in enumerate(t.split("\n"))]
+            lines = [(n, w) for n, w in lines if w]
+            ends = np.cumsum([len(w) for _, w in lines]).tolist()
+            starts = [e - len(w) for e, (_, w) in zip(ends, lines)]
+            for k in range(len(lines)):
+                after = [j for j in range(k, len(lines)) if starts[j] - starts[k] < line_dedup.LONG]
+                before = [j for j in range(k + 1) if ends[k] - ends[j] < line_dedup.LONG]
+                for run in (after, before):
+                    if sum(len(lines[j][1]) for j in run) >= line_dedup.LONG:
+                        seen[tuple(lines[j][1] for j in run)].append((t, lines[run[0]][0], lines[run[-1]][0]))
+        out = set()
+        for places in seen.values():
+            keeper = min({t for t, _, _ in places}, key=first.__getitem__)
+            out |= {((t, n), keeper) for t, a, b in places if t != keeper for n in range(a, b + 1)}
+        return out
+
     def check(self, df, **options):
         docs = [tuple(r) for r in df.select("doc_id", "text").collect()]
-        want = self.brute(docs, options.get("min_docs", line_dedup.MIN_DOCS), line_dedup.SIMILARITY)
+        more = {k: v for k, v in options.items() if k != "min_docs"}
+        want = self.brute(docs, options.get("min_docs", line_dedup.MIN_DOCS), line_dedup.SIMILARITY, **more)
         out = line_dedup.drop_recurring_lines(df, **options)
         columns_kept(out, df)
         got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
         assert got == sorted(((i, None if t is None else want[t]) for i, t in docs), key=repr)
 
-    def test_whole_table(self, docs):
-        self.check(docs)
+    @pytest.mark.parametrize("options", [{}, {"passages": True, "near": 70}])
+    def test_whole_table(self, docs, options):
+        self.check(docs, **options)
+
+    @pytest.mark.parametrize("lines", [10, 1])
+    def test_near_copies_stay_whole(self, spark, lines):
+        word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+        shared = [" ".join(f"s{word(k)}w{word(j)}" for j in range(120 // lines)) for k in range(lines)]
+        rows = [(i, ("\n" if lines > 1 else " ").join([*shared, f"only {word(i)} has this last line"])) for i in range(12)]
+        rows += [(100 + i, f"{shared[0] if lines > 1 else 'Posted on the board at noon with love by'}\n" + " ".join(f"own{word(i)}{word(j)}" for j in range(60))) for i in range(9)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        self.check(df, passages=True, near=70)
+        out = line_dedup.drop_recurring_lines(df, passages=True, near=70)
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert all(got[i] == rows[i][1] for i in range(12))  # copies lose nothing to one another
+        assert sum("\n" in got[100 + i] for i in range(9)) == (0 if lines > 1 else 1)  # others lose what recurs
+        left = near_dedup.drop_near_duplicates(out, percent=80)
+        assert sorted(r["doc_id"] for r in left.collect()) == [0, *range(100, 109)]
 
     def test_templates(self, spark):
         r = random.Random(3)
@@ -169,12 +222,13 @@ class TestLineDedup:
     def test_odd_rows(self, odd_docs, no_docs):
         self.check(odd_docs)
         self.check(odd_docs, min_docs=2)
+        self.check(odd_docs, min_docs=2, passages=True, near=70)
         assert line_dedup.line_report(no_docs).count() == 0
         report = line_dedup.line_report(odd_docs, min_docs=2).collect()
         assert len(report) == odd_docs.count() and all(0 <= r["n_dropped"] <= r["n_lines"] for r in report)
 
     def test_native(self, docs):
-        plan = line_dedup.drop_recurring_lines(docs)._jdf.queryExecution().executedPlan().toString()
+        plan = line_dedup.drop_recurring_lines(docs, passages=True, near=70)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -373,6 +427,33 @@ class TestPacking:
             assert end <= 4096
         assert len(by) <= 1.02 * -(-sum(r["length"] for r in rows) // 4096) + 1
 
+    def test_texts_without_gaps(self, monkeypatch):
+        from tokenizers import Tokenizer
+
+        r = random.Random(6)
+        texts = ["".join(r.choice("abé12!?''\u00bdstrev\u00aa") for _ in range(400)) for _ in range(60)] + ["a" * 500, "'" * 500, "x'" * 200, "''s" * 150, "!s" * 200]
+        tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+        monkeypatch.setattr(tokens, "_PART", 20)
+        encode = piece_encoder.__wrapped__(queries.tokenizer_file())
+        assert [b.tolist() for b in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def test_long_words_have_one_hash(self, monkeypatch):
+        import pyarrow as pa
+
+        from tidewater.llm import shingles
+
+        r = random.Random(9)
+        texts = ["".join(r.choice("aBc é \n") for _ in range(r.randint(0, 300))) for _ in range(40)] + [None, "", "x" * 1000, "y " * 30, " " + "z" * 65]
+        column = pa.array(texts)
+        words, at = shingles.word_hashes(column)
+        assert np.diff(at).tolist() == [len((t or "").encode().split()) for t in texts]
+        for block, scan in ((64, 7), (16, 1000)):
+            monkeypatch.setattr(shingles, "_BLOCK", block)
+            monkeypatch.setattr(shingles, "_SCAN", scan)
+            again, place = shingles.word_hashes(column)
+            assert (again == words).all() and (place == at).all()
+        assert (shingles.word_hashes(pa.array([None, "a", "b c"])[1:])[0] == shingles.word_hashes(pa.array(["A", "B C"]))[0]).all()
+
     def test_encoder(self, monkeypatch):
         from tokenizers import Tokenizer
 
@@ -505,5 +586,20 @@ class TestMixing:
                 assert abs(r["n"] - want[r["source"]]) <= 2 * longest
         assert mixing.mixed_documents(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
+    @pytest.mark.parametrize("share", [0.25, 1.5])
+    def test_a_cut_through_equal_rows(self, spark, share):
+        row = (7, "ten words of a text that stands here many times", "src", 1)
+        rows = [row] * 200 + [(k, f"another text of six words {k}", s, 2) for k in range(40) for s in ("src", "other", None)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, __s int").repartition(7)
+        out = mixing.mixed_documents(df, share=share)
+        columns_kept(out, df)
+        got = collections.Counter(map(tuple, out.collect()))
+        assert set(got) <= set(rows) and all(n <= 2 * rows.count(r) for r, n in got.items())
+        taken = collections.Counter()
+        for (_, text, source, _), n in got.items():
+            taken[source] += n * len(text.split())
+        for source, target in {r["source"]: r["target"] for r in mixing.mix(df, share=share).collect()}.items():
+            assert target <= taken[source] + 1 and taken[source] <= target + 11
+
     def test_native(self, docs):
         assert not re.search("Python|Pandas|Arrow", mixing.mix(docs)._jdf.queryExecution().executedPlan().toString())

@@ -70,7 +70,7 @@ def by_toxicity(given, docs, labels):
 
 
 def by_lines(given, docs, labels):
-    text = brute_force.TestLineDedup.brute(given, line_dedup.MIN_DOCS, line_dedup.SIMILARITY)
+    text = brute_force.TestLineDedup.brute(given, line_dedup.MIN_DOCS, line_dedup.SIMILARITY, passages=True, near=70)
     return [(i, t if t is None else text[t]) for i, t in given]
 
 

@@ -54,7 +54,7 @@ class TestQualityRules:
 
     def test_scripts_without_spaces(self, spark):
         chinese = "。 ".join("今天天气很好孩子们在公园里玩了很久然后回家吃饭" + chr(0x4E00 + 7 * k) for k in range(60))
-        thai = " ".join("วันนี้อากาศดีเด็กๆเล่นในสวนสาธารณะ" + chr(0x0E01 + k % 40) for k in range(60))
+        thai = " ".join("วันนี้อากาศดีเด็กๆเล่นในสวนสาธารณะ" + chr(0x0E01 + k % 40) + chr(0x0E01 + k // 40) for k in range(60))
         joined = " ".join("thewordsofthistextarenotapart" + chr(97 + k % 26) for k in range(60))
         df = spark.createDataFrame(list(enumerate([chinese, thai, joined])), "doc_id long, text string")
         out = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df).collect()}

@@ -13,7 +13,9 @@ these buckets are sorted.  A source with a third of all rows just has more bucke
 Cases: a null source is a source of its own, ordered last.  A null or empty text
 has size 0 and is never taken.  Repeated rows and repeated ids have the same
 key: they stay adjacent and each counts its own size (ties are broken by text
-hash, then any order, since tied rows are equal).  Empty tables give empty results.
+hash, then any order, since tied rows are equal).  Where a cut goes through tied rows, :func:`mixed_documents` takes as
+many of them as fit.  Empty tables give empty results.  Texts of any length are read where they are; only
+their sizes and keys are moved.  Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -170,18 +172,47 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", so
     that a budget could bound: they are taken once for each whole epoch of their source, at least once.
 
     The rows up to a source's cut are those whose key is at most that of the row at the cut, so the
-    decision needs one short row a source, and texts stay where they are.
+    decision needs one short row a source, and texts stay where they are.  If several rows tie at the cut and not all
+    fit, these rows are written and numbered, range by range.
     """
     found = mix(docs, text, key, source, **options)
-    cut = F.max(F.when(F.col("last_part") > 0, F.col("key")))
-    plan = materialize(
-        found.groupBy(F.col("source").alias("__s")).agg(F.max("whole_epochs").alias("__whole"), cut.alias("__cut")), "mix-cuts"
-    )
+    codes = [f"c{k}" for k in range(len(docs.columns))]
+    text, key, source = (codes[docs.columns.index(name)] for name in (text, key, source))
+    rows = docs.toDF(*codes)
+    at = F.col("key") == F.col("_cut")
+    with scratch(docs.sparkSession) as keep:
+        plan = found.groupBy(F.col("source").alias("_s")).agg(
+            F.max("whole_epochs").alias("_whole"), F.max(F.when(F.col("last_part") > 0, F.col("key"))).alias("_cut")
+        )
+        plan = keep(plan, "mix-cuts")
+        ties = found.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_s"))).where(at)
+        ties = ties.groupBy(F.col("source").alias("_t")).agg(F.count_if(F.col("last_part") > 0).alias("_fit"), F.count(F.lit(1)).alias("_tied"))
+        ties = ties.where("_fit < _tied").select("_t", "_fit")
+        plan = materialize(plan.join(ties, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_whole", "_cut", "_fit"), "mix-plan")
     discard(found)
-    rows = docs.withColumns(
-        {"__key": _key(docs, text, key, options.get("seed", SEED)), "__size": word_count(F.col(text)), "__source": F.col(source)}
-    ).join(broadcast_if_small(plan), F.col("__source").eqNullSafe(F.col("__s")))
-    times = F.col("__whole") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
-    times = F.when(F.col("__size") == 0, F.greatest(F.col("__whole"), F.lit(1))).otherwise(times)
-    rows = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-    return rows.drop("__s", "__whole", "__cut", "__key", "__size", "__source", "__copy")
+    rows = rows.withColumns({"_key": _key(rows, text, key, options.get("seed", SEED)), "_size": word_count(F.col(text))})
+    rows = rows.join(broadcast_if_small(plan), F.col(source).eqNullSafe(F.col("_s")))
+    times = F.when(F.col("_size") == 0, F.greatest(F.col("_whole"), F.lit(1))).otherwise(
+        F.col("_whole") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
+    )
+    rows = rows.withColumn("_times", times)
+    if plan.where("_fit is not null").limit(1).count():
+        tied = (F.col("_size") > 0) & (F.col("_key") == F.col("_cut")) & F.col("_fit").isNotNull()
+        some = _first_of(rows.where(tied), "_s", "_fit")
+        rows = rows.where(~F.coalesce(tied, F.lit(False))).unionByName(some.withColumn("_times", F.col("_whole") + F.col("_first").cast("int")).drop("_first"))
+    rows = rows.select(*codes, F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
+    return rows.select(*codes).toDF(*docs.columns)
+
+
+def _first_of(rows: DataFrame, group: str, fit: str) -> DataFrame:
+    """Add ``_first``: whether a row is one of the first ``fit`` of its group, in the order in which the rows are written."""
+    parts = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "tied")
+    part = F.shiftright("_at", 33)
+    counts = parts.groupBy(F.col(group).alias("_g"), part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("_g", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(group, part).orderBy("_at"))
+    numbered = parts.withColumn("_row", inside).join(
+        broadcast_if_small(materialize(counts, "tied-parts")), F.col(group).eqNullSafe(F.col("_g")) & (part == F.col("_p"))
+    )
+    return numbered.withColumn("_first", F.col("_before") + F.col("_row") <= F.col(fit)).drop("_at", "_g", "_p", "_before", "_row")

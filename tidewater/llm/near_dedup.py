@@ -24,7 +24,8 @@ the threshold: 24 at 85 percent, 35 at 80.
 Cases: a text without words has no shingles and is linked with nothing; one with
 fewer words than a shingle is one shingle.  Repeated rows fall in one class, and each
 row of the smallest id is kept.  Rows without an id are kept if no row with an id has the
-same set.  Texts that share an id are decided each by itself.  Empty tables give empty results.  Columns other than id and text aren't read.
+same set.  Texts that share an id are decided each by itself.  Long texts are hashed whole.  Empty tables give empty results.
+Columns other than id and text aren't looked at; the stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -304,22 +305,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are in no class or are their component's first text.
+    """The rows of ``docs`` that are in no class or are their component's first text, with all their columns.
 
     Rows with the same id and the same text become one row; rows without an id are never repeats.
     """
-    found = _linked(docs, text, key, percent)
+    codes = [f"c{k}" for k in range(len(docs.columns))]
+    text, key = (codes[docs.columns.index(name)] for name in (text, key))
+    rows = docs.toDF(*codes)
+    found = _linked(rows, text, key, percent)
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
     stays = F.col("first_id").isNull() | first
     gone = found.where(~stays).select("doc_id", "text_hash").distinct()
     repeated = found.where(stays & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_hash").count().where("count > 1")
 
-    def rows(which: DataFrame, how: str) -> DataFrame:
-        which = which.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-        match = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-        return docs.join(broadcast_if_small(which), match, how)
+    def matching(which: DataFrame, how: str) -> DataFrame:
+        match = F.col(key).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash"))
+        return rows.join(broadcast_if_small(which), match, how)
 
     repeated = materialize(repeated.select("doc_id", "text_hash"), "repeated")
     if not repeated.limit(1).count():
-        return rows(gone, "left_anti")
-    return rows(gone.union(repeated), "left_anti").union(rows(repeated, "left_semi").dropDuplicates([key, text]))
+        return matching(gone, "left_anti").toDF(*docs.columns)
+    out = matching(gone.union(repeated), "left_anti").union(matching(repeated, "left_semi").dropDuplicates([key, text]))
+    return out.toDF(*docs.columns)

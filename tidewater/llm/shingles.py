@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
-_BLOCK = 1 << 16
+#: Bytes that are hashed, and searched for words, at a time.
+_BLOCK, _SCAN = 1 << 16, 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -40,12 +41,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, as many as were needed so far."""
+    """Powers of the base and of its inverse, as many as were needed so far; of more than ``most`` none are kept."""
 
     up = down = np.ones(1, np.uint64)
+    most = 4 * _BLOCK
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > cls.most:
+            return _powers(_BASE, n), _powers(_INVERSE, n)
         if n > len(cls.up):
             cls.up, cls.down = _powers(_BASE, n), _powers(_INVERSE, n)
         return cls.up[:n], cls.down[:n]
@@ -60,21 +64,54 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a column begin and end, found a block of bytes at a time."""
+    starts, ends = [], []
+    inside = False
+    for low in range(0, len(data), _SCAN):
+        word = ~_SPACE[data[low : low + _SCAN]]
+        before = np.concatenate(([inside], word[:-1]))
+        inside = bool(word[-1])
+        edge = np.zeros(len(word), bool)
+        first, last = np.searchsorted(offsets, (low, low + len(word)))
+        edge[offsets[first:last] - low] = True
+        starts.append(low + np.flatnonzero(word & (edge | ~before)))
+        ends.append(low + np.flatnonzero(before & (edge | ~word)))
+    if inside:
+        ends.append(np.array([len(data)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate((none, *starts)), np.concatenate((none, *ends))
+
+
+def _long_hash(word: np.ndarray) -> int:
+    """The sum that makes a word's hash, a block at a time."""
+    total, power = 0, 1
+    step = pow(_BASE, _BLOCK, 2**64)
+    for low in range(0, len(word), _BLOCK):
+        part = _VALUES[word[low : low + _BLOCK]]
+        total += int((part * _Powers.get(len(part))[0]).sum(dtype=np.uint64)) * power
+        power = power * step % 2**64
+    return total % 2**64
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a column, and the first word of each text, with the end."""
     data, offsets = _bytes_of(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    inner = word[1:] & word[:-1] & ~edge[1:-1]
-    starts = np.flatnonzero(word & ~np.concatenate(([False], inner)))
-    ends = np.flatnonzero(word & ~np.concatenate((inner, [False]))) + 1
+    starts, ends = word_bounds(data, offsets)
     hashes = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(ends - starts > _BLOCK)
+    for k in long.tolist():
+        hashes[k] = np.uint64((_long_hash(data[starts[k] : ends[k]]) + int(ends[k] - starts[k]) * int(_STEPS[SHINGLE])) % 2**64)
     first = 0
     while first < len(starts):  # blocks bound the memory for one very long text
-        last = max(int(np.searchsorted(starts, starts[first] + _BLOCK)), first + 1)
+        if ends[first] - starts[first] > _BLOCK:
+            first += 1
+            continue
+        last = int(np.searchsorted(starts, starts[first] + _BLOCK))
+        after = np.searchsorted(long, first)
+        last = min(last, int(long[after])) if after < len(long) else last
         low, high = starts[first], ends[last - 1]
         up, down = _Powers.get(high - low)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[data[low:high]] * up, dtype=np.uint64)))

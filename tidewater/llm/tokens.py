@@ -28,7 +28,8 @@ _SPACE = "\t-\r  "
 _ENDINGS = "s t re ve m ll d".split()
 #: Characters that send a text to the tokenizer whole: U+0085, the dotted capital I, all from U+0180.
 _OTHER = re.compile("[^\u0000-\u0084\u0086-įı-ſ]|<\\|")
-_GAP = re.compile(f"[{_SPACE}]")
+#: Where a text can be cut: white space, or between two pieces whatever is around them.
+_GAP = re.compile(f"(?P<space>[{_SPACE}])|(?<=[{_NUMBER}])|(?=[{_NUMBER}])|(?<=[{_LETTER}])(?=[^{_LETTER}{_NUMBER}{_SPACE}])|(?<=[^'{_LETTER}{_NUMBER}{_SPACE}])(?=[{_LETTER}])")
 #: Pieces kept in a Python worker; characters hashed at a time, and looked up at a time.
 _KEPT, _PART, _BATCH = 1_000_000, 1 << 17, 1 << 19
 
@@ -46,7 +47,7 @@ _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _parts(text: str) -> Iterator[str]:
-    """A text in parts of about ``_PART`` characters, cut at white space, which no piece contains."""
+    """A text in parts of about ``_PART`` characters, cut at white space or between two pieces."""
     start = 0
     while len(text) - start > _PART:
         gap = _GAP.search(text, start + _PART)
@@ -204,6 +205,11 @@ def piece_encoder(path: str) -> Callable[[Iterable[str | None]], list[np.ndarray
                 out[k].append(np.array(whole.ids, np.uint32))
                 continue
             for part in _parts(text.lower()):
+                if len(part) > 4 * _PART:  # one piece, which needn't be known again
+                    flush()
+                    size = 0
+                    out[k].append(np.array(tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32))
+                    continue
                 if size + len(part) > _BATCH:
                     flush()
                     size = 0
