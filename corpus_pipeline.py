@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go; documents stay."""
-    return drop_recurring_lines(docs)
+    """Lines and passages that recur across documents go, but for the first; documents stay, and near copies stay whole for the next stage."""
+    return drop_recurring_lines(docs, passages=True, near=70)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
