@@ -24,6 +24,9 @@ CONTRACTS = {
     "op8_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op9_kd_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
     "op10_source_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+    "op12_merkle_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op13_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
@@ -54,6 +57,10 @@ def test_query_says_what_its_sql_says(spark, sf_dir, tmp_path, name):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    more = spark.createDataFrame([(10**6 + k, "u", h) for k, h in enumerate(["a", None, "", "a", "WARC/1.0\r\n"])], "page_id long, url string, html string")
+    pages.unionByName(more).write.parquet(f"{tmp_path}/pages.parquet")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     out = queries.queries()[name](spark, str(tmp_path))
     columns = sorted(out.columns)
     rows = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
