@@ -49,15 +49,24 @@ def reply(body: Column) -> Column:
 
 def expires_at(body: Column, now: Column) -> Column:
     """When a token ends, in epoch seconds: what the first field of ``ENDS`` with a number says, else in 30 minutes."""
-    parsed = F.try_parse_json(body)
+    names = list(dict.fromkeys(end.field for end in ENDS))
+
+    def once(value: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of a value that is computed once, however often it is used."""
+        return F.get(F.transform(F.array(value), then), 0)
+
+    def stated(parsed: Column) -> Column:
+        return F.struct(*(F.try_variant_get(parsed, f"$.{name}", "string").alias(name) for name in names))
+
+    def numbers(text: Column) -> Column:
+        said = (F.when(text[n].rlike(f"^{NUMBER}$"), F.trim(text[n], F.lit(" \t\r\n")).cast("double")).alias(n) for n in names)
+        return F.struct(*said)
 
-    def number(field: str) -> Column:
-        stated = F.try_variant_get(parsed, f"$.{field}", "string")
-        return F.when(stated.rlike(f"^{NUMBER}$"), F.trim(stated, F.lit(" \t\r\n")).cast("double"))
+    def end_of(found: Column) -> Column:
+        told = (F.when((F.abs(found[e.field]) < math.inf) & (found[e.field] > e.above), e.at(found[e.field], now)) for e in ENDS)
+        return F.coalesce(*told, now + F.lit(DEFAULT_LIFETIME))
 
-    finite = {field: F.when(F.abs(number(field)) < math.inf, number(field)) for field in dict.fromkeys(end.field for end in ENDS)}
-    stated = (F.when(finite[end.field] > end.above, end.at(finite[end.field], now)) for end in ENDS)
-    return F.coalesce(*stated, now + F.lit(DEFAULT_LIFETIME))
+    return once(once(once(F.try_parse_json(body), stated), numbers), end_of)
 
 
 def expiry(answer: dict[str, Any], now: float) -> float:
