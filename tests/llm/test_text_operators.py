@@ -335,6 +335,55 @@ class TestHtml:
         best = max(itertools.product([False, True], repeat=len(page)), key=value)
         assert tuple(field.decode(page)) == best
 
+    def test_gradient_is_that_of_the_enumerated_likelihood(self):
+        import itertools
+
+        page = html_blocks.blocks("<ul><li>a, b<li>c.</ul><p>e, f.<p>g")
+        labels = (False, True, True, False)
+        pairs = np.random.default_rng(2).normal(0, 1, (2, 2, 2))
+        weights = {"bias": 0.3, "comma": 1.5, "ends": -0.7, "leaf=li": -1.0}
+
+        def likelihood(weights, pairs):
+            field = html_extraction.Field(weights, pairs)
+            margins = field.margins(page)
+            same = [int(b.parent == a.parent) for a, b in zip(page, page[1:])]
+
+            def value(ys):
+                return sum(m for m, y in zip(margins, ys) if y) + sum(pairs[s][int(a)][int(b)] for s, a, b in zip(same, ys, ys[1:]))
+
+            return value(labels) - np.log(sum(np.exp(value(ys)) for ys in itertools.product([False, True], repeat=len(page))))
+
+        assert len(page) == 4 and {0, 1} == {int(b.parent == a.parent) for a, b in zip(page, page[1:])}
+        by_weight, by_pair = html_extraction.gradient(page, labels, html_extraction.Field(weights, pairs))
+        step = 1e-5
+        for name, got in by_weight.items():
+            up, down = ({**weights, name: weights.get(name, 0.0) + d} for d in (step, -step))
+            assert got == pytest.approx((likelihood(up, pairs) - likelihood(down, pairs)) / (2 * step), abs=1e-6)
+        for place in np.ndindex(2, 2, 2):
+            d = np.zeros((2, 2, 2))
+            d[place] = step
+            assert by_pair[place] == pytest.approx((likelihood(weights, pairs + d) - likelihood(weights, pairs - d)) / (2 * step), abs=1e-6)
+        far = html_extraction.marginals([900.0, -900.0, 900.0], [0, 1, 1], pairs)
+        assert far[0].tolist() == [1.0, 0.0, 1.0] and np.isfinite(far[1]).all()
+
+    def test_hidden_elements(self):
+        texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+        for way in ("hidden", 'hidden=""', "HIDDEN class=x", 'class="x"hidden', 'aria-hidden="true"', "aria-hidden=true", "id=a hidden/"):
+            assert texts(f"<p>one <span {way}>no</span> two") == ["one two" if not way.endswith("/") else "one no two"], way
+            if not way.endswith("/"):
+                assert texts(f"<p>one<p {way}>no <b>no</b> no<p>two<div {way}><p>no</p>no</div>three") == ["one", "two", "three"], way
+        for way in ('class="hidden"', 'class="a hidden b"', "data-hidden", 'aria-hidden="false"', "hidden=until-found", "title=\"x aria-hidden='true'\"", "hidden-x"):
+            assert texts(f"<p>one<p {way}>two") == ["one", "two"], way
+        assert texts("<html hidden><body hidden><p>one") == ["one"]
+
+    def test_common_tags_are_read_as_all_others(self, monkeypatch):
+        r = random.Random(8)
+        parts = ["<p", "<a ", "</p>", " x=", '"', "'", ">", "<", "=", " y", "/", "b", "\n", "<br>", 'class="c d"', "id='e'", "<!--", "-->"]
+        odd = ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(4000)]
+        fast = [html_blocks.blocks(page) for page in odd]
+        monkeypatch.setattr(html_blocks, "_COMMON", re.compile("(?!)"))
+        assert fast == [html_blocks.blocks(page) for page in odd]
+
     def test_article_without_the_rest(self):
         page = html_blocks.blocks(PAGE)
         text = " ".join(b.text for b, main in zip(page, html_extraction.trained().decode(page)) if main)

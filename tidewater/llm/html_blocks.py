@@ -3,7 +3,8 @@
 A small tolerant reader: it closes paragraphs, items and cells where HTML lets
 them be left open, ignores end tags that close nothing, skips scripts, styles,
 comments and titles, ends the head at the first tag that can't be in it, and drops a
-tag that the end of the page cuts off.
+tag that the end of the page cuts off.  Elements with the attribute ``hidden`` or with
+``aria-hidden="true"`` have no text, the page's own ``html`` and ``body`` excepted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 _NAME = re.compile("(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag as most are, with quoted values and no bracket in them; an attempt ends at the next bracket.  All others are scanned.
+_COMMON = re.compile(
+    r"""(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^=<>]*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'))*+[^=<>]*+)>"""
+)
 _SPECIAL, _BRACKET, _BLANK = re.compile("[=>]"), re.compile("[<>]"), re.compile(r"\s*")
 #: Elements whose content is no text.  One of the second kind that is left open is taken for any other element.
 _RAW, _ASIDE = frozenset("script style iframe title textarea".split()), frozenset("template svg noscript select".split())
@@ -28,6 +33,8 @@ _NOT_IN = {
 _IN_HEAD = frozenset("head base link meta".split())
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HIDDEN = re.compile(r"(?<![^\s\"'/])hidden(?![^\s=/])(?!\s*=\s*[\"']?until-found)|(?<![^\s\"'/])aria-hidden\s*=\s*[\"']?true(?![^\s\"'/])", re.I)
 #: Tags that neither begin nor end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike "
@@ -58,9 +65,10 @@ class _Open(NamedTuple):
     words: frozenset[str]
     near: frozenset[str]
     number: int
+    hidden: bool
 
 
-_ROOT = _Open("", frozenset(), frozenset(), 0)
+_ROOT = _Open("", frozenset(), frozenset(), 0, False)
 
 
 class _Token(NamedTuple):
@@ -131,18 +139,22 @@ class _Reader:
                 at = len(page) if k < 0 else k + (3 if comment else 1)
                 yield _Token(start, at, None, "", None, "")
                 continue
-            m = _NAME.match(page, at)
-            if not m:
-                continue
-            k = self._close(m.end())
-            if k < 0:
-                b = _BRACKET.search(page, m.end())
-                if b and b[0] == "<":
+            m = _COMMON.match(page, at)
+            if m:
+                k = m.end() - 1
+            else:
+                m = _NAME.match(page, at)
+                if not m:
                     continue
-                if not b:
-                    yield _Token(start, len(page), None, "", None, "")
-                    return
-                k = b.start()
+                k = self._close(m.end())
+                if k < 0:
+                    b = _BRACKET.search(page, m.end())
+                    if b and b[0] == "<":
+                        continue
+                    if not b:
+                        yield _Token(start, len(page), None, "", None, "")
+                        return
+                    k = b.start()
             at, tag = k + 1, m[2].lower()
             if not m[1] and tag in _END:
                 end = self._end_of(tag, at)
@@ -150,7 +162,7 @@ class _Reader:
                     at = end if end >= 0 else len(page)
                     yield _Token(start, at, tag, "", None, "")
                     continue
-            yield _Token(start, at, None, m[1], tag, page[m.end() : k])
+            yield _Token(start, at, None, m[1], tag, page[m.end(2) : k])
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -188,7 +200,7 @@ def blocks(page: str | None) -> list[Block]:
 
     at = 0
     for token in _Reader(page).tokens():
-        if token.start > at:
+        if token.start > at and not (stack and stack[-1].hidden):
             piece = page[at : token.start]
             parts.append(piece)
             if links:
@@ -227,15 +239,24 @@ def blocks(page: str | None) -> list[Block]:
         number += 1
         top = stack[-1] if stack else _ROOT
         named = frozenset(w.lower() for g in _NAMED.findall(attributes) for w in _WORD.findall(" ".join(g))) if "=" in attributes else None
-        stack.append(_Open(tag, top.words | named, named, number) if named else _Open(tag, top.words, top.near, number))
+        hidden = top.hidden or tag not in ("html", "body") and _is_hidden(attributes)
+        words, near = (top.words | named, named) if named else (top.words, top.near)
+        stack.append(_Open(tag, words, near, number, hidden))
         links += tag == "a"
     tail = page[at:]
-    if tail:
+    if tail and not (stack and stack[-1].hidden):
         parts.append(tail)
     flush()
     return out
 
 
+def _is_hidden(attributes: str) -> bool:
+    if "hidden" not in attributes.lower():
+        return False
+    values = _VALUE.sub(lambda m: m[0] if len(m[0]) < 20 and m[0].strip("= \t\n\"'").lower() in ("true", "until-found") else "=x ", attributes)
+    return bool(_HIDDEN.search(values))
+
+
 def _holder(stack: list[_Open]) -> int:
     """The element around the innermost block element, so that paragraphs of one parent share it."""
     numbers = [e.number for e in stack if e.tag not in INLINE]

@@ -96,6 +96,54 @@ class Field:
         return out[::-1]
 
 
+def marginals(margins: Sequence[float], same: Sequence[int], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of "main" for each block, and of each pair of labels for each two neighbours (forward-backward).
+
+    ``same[k]`` tells whether a block has the parent of the one before.  Chances are scaled at each block.
+    """
+    step = np.exp(pairs).tolist()
+    own = [(math.exp(-max(m, 0.0)), math.exp(min(m, 0.0))) for m in margins]
+    off, on = own[0]
+    ahead = [(off / (off + on), on / (off + on))]
+    for k in range(1, len(own)):
+        (a, b), (c, d) = step[same[k]]
+        x, y = ahead[-1]
+        off, on = (x * a + y * c) * own[k][0], (x * b + y * d) * own[k][1]
+        ahead.append((off / (off + on), on / (off + on)))
+    behind = [(1.0, 1.0)]
+    for k in range(len(own) - 1, 0, -1):
+        (a, b), (c, d) = step[same[k]]
+        x, y = own[k][0] * behind[-1][0], own[k][1] * behind[-1][1]
+        off, on = a * x + b * y, c * x + d * y
+        behind.append((off / (off + on), on / (off + on)))
+    first, then = np.array(ahead), np.array(behind[::-1])
+    alone = first * then
+    both = first[:-1, :, None] * np.exp(pairs)[np.asarray(same[1:], int)] * (np.array(own) * then)[1:, None, :]
+    return alone[:, 1] / alone.sum(axis=1), both / both.sum(axis=(1, 2), keepdims=True)
+
+
+def _same(page: Sequence[Block]) -> list[int]:
+    return [0, *(int(b.parent == a.parent) for a, b in zip(page, page[1:]))]
+
+
+def gradient(page: Sequence[Block], labels: Sequence[bool], field: Field) -> tuple[dict[str, float], np.ndarray]:
+    """Of the labels' log-likelihood, by the weights and by the label pairs."""
+    features, same = block_features(page), _same(page)
+    chance, both = marginals(field.margins(page), same, field.pairs)
+    weights: dict[str, float] = {}
+    for own, y, p in zip(features, labels, chance.tolist()):
+        for f in own:
+            weights[f] = weights.get(f, 0.0) + y - p
+    return weights, _pair_gradient(np.array(labels, int), same, both)
+
+
+def _pair_gradient(labels: np.ndarray, same: Sequence[int], both: np.ndarray) -> np.ndarray:
+    out, kind = np.zeros((2, 2, 2)), np.asarray(same[1:], int)
+    np.add.at(out, kind, -both)
+    np.add.at(out, (kind, labels[:-1], labels[1:]), 1.0)
+    return out
+
+
 def fit(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]], seed: int = 3) -> Field:
     """Maximum likelihood with a small penalty."""
     index: dict[str, int] = {}
@@ -105,32 +153,16 @@ def fit(pages: Sequence[tuple[Sequence[Block], Sequence[bool]]], seed: int = 3)
         if rows:
             flat = np.array([f for r in rows for f in r])
             place = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            same = np.array([0, *(int(b.parent == a.parent) for a, b in zip(page, page[1:]))])
-            data.append((flat, place, same, np.array(labels, int)))
+            data.append((flat, place, _same(page), np.array(labels, int)))
     w, pairs = np.zeros(len(index)), np.zeros((2, 2, 2))
     seen_w, seen_p = np.full(len(index), 1e-3), np.full((2, 2, 2), 1e-3)
     rng = random.Random(seed)
     for _ in range(_EPOCHS):
         rng.shuffle(data)
         for flat, place, same, labels in data:
-            n = len(labels)
-            score = np.zeros((n, 2))
-            score[:, 1] = np.bincount(place, w[flat], n)
-            ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-            ahead[0] = score[0]
-            for k in range(1, n):
-                ahead[k] = np.logaddexp(ahead[k - 1, 0] + pairs[same[k], 0], ahead[k - 1, 1] + pairs[same[k], 1]) + score[k]
-            for k in range(n - 2, -1, -1):
-                step = pairs[same[k + 1]] + score[k + 1] + behind[k + 1]
-                behind[k] = np.logaddexp(step[:, 0], step[:, 1])
-            total = np.logaddexp(*ahead[-1])
-            chance = np.exp(ahead[:, 1] + behind[:, 1] - total)
+            chance, both = marginals(np.bincount(place, w[flat], len(labels)).tolist(), same, pairs)
             grad_w = np.bincount(flat, (labels - chance)[place], len(w)) - _PENALTY * w
-            grad_p = np.zeros((2, 2, 2))
-            if n > 1:
-                both = ahead[:-1, :, None] + pairs[same[1:]] + (score[1:] + behind[1:])[:, None, :] - total
-                np.add.at(grad_p, same[1:], -np.exp(both))
-                np.add.at(grad_p, (same[1:], labels[:-1], labels[1:]), 1.0)
+            grad_p = _pair_gradient(labels, same, both)
             seen_w += grad_w**2
             seen_p += grad_p**2
             w += _RATE * grad_w / np.sqrt(seen_w)
@@ -155,6 +187,9 @@ _NAMES = {
 }
 
 
+#: Syllables of the generator's words.
+_SYLLABLES = [a + b for a in "bcdfghlmnprstvwéüñ" for b in "aeiouèöí"]
+
 #: Kinds of pages: what the article is in - its own element, one that a name may tell, or nothing but the page.
 KINDS = ("article", "article", "article", "named", "named", "bare")
 
@@ -166,7 +201,7 @@ class _Writer:
         self.kind = kind or self.r.choice(KINDS)
 
     def word(self) -> str:
-        return "".join(self.r.choice("bcdfghlmnprstvwéüñ") + self.r.choice("aeiouèöí") for _ in range(self.r.randint(1, 4)))
+        return "".join(self.r.choices(_SYLLABLES, k=int(4 * self.r.random()) + 1))
 
     def words(self, low: int, high: int) -> str:
         return " ".join(self.word() for _ in range(self.r.randint(low, high)))
