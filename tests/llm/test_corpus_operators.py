@@ -285,6 +285,28 @@ class TestNearDedup:
             rows.append((i, " ".join(words)))
         self.check(spark.createDataFrame(rows, "doc_id long, text string"))
 
+    @pytest.mark.parametrize("hot", [10, 10_000])
+    def test_many_texts_on_one_template(self, spark, monkeypatch, hot):
+        monkeypatch.setattr(near_dedup, "_BLOCK", 8)
+        monkeypatch.setattr(near_dedup, "_HOT", hot)
+        r = random.Random(6)
+        base = [f"w{k}" for k in range(150)]
+        rows = [(0, " ".join(base)), (1, " ".join(base[:140])), (2, " ".join(base[:120]))]
+        for i in range(3, 120):  # from alike in half of all shingles to alike in nearly all
+            own = [f"x{i}y{k}" for k in range(r.choice([1, 5, 12, 20, 26, 27, 40, 80]))]
+            rows.append((i, " ".join(base[: r.choice([150, 150, 145, 135])] + own)))
+        for i in range(120, 150):  # and near copies of these
+            words = rows[r.randrange(3, 120)][1].split()
+            rows.append((i, " ".join(words[: len(words) - r.randint(0, 6)])))
+        self.check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def test_texts_with_enough_of_their_own_meet_in_no_shingle(self, spark):
+        own = lambda i, n: np.array([*range(240), *range(1000 * (i + 1), 1000 * (i + 1) + n)], np.int64).tobytes()
+        sets = [(i, own(i, 60)) for i in range(60)] + [(60, own(0, 50))]  # 240 shared of 360, but for the last
+        df = spark.createDataFrame(sets, "id long, set binary")
+        found = near_dedup._rare_shingles(df, 85, lambda table, label: table).groupBy("key").agg(F.collect_set("id").alias("ids"))
+        assert {tuple(sorted(r["ids"])) for r in found.collect() if len(r["ids"]) > 1} == {(0, 60)}
+
     def test_the_stage_links_from_80_percent(self, spark, sf_dir):
         import corpus_pipeline
 

@@ -12,9 +12,14 @@ Values are cut into bands; sets that agree in a band are candidates.
 3. Links, confirmed on full sets, give components.  A bucket whose classes are all in one
    component is settled.
 4. In the buckets that are left, pairs from different components whose signatures and sizes
-   allow the threshold are confirmed on full sets as well.  Large buckets are compared in
-   blocks, so no task holds more than two blocks.
-5. Components over all links.
+   allow the threshold are confirmed on full sets as well.
+5. Classes of buckets that are left and large are compared by their rare shingles instead: all
+   sets are put in one order, rarest shingles first, and two that reach the threshold must share
+   one among the first ``n - ceil(percent / 100 * n) + 1`` of the larger set and the first
+   ``n - ceil(2 * percent / (100 + percent) * n) + 1`` of the smaller.  That loses no pair, and
+   texts on one template, each with enough shingles of its own, meet in none.  What shares a
+   shingle is compared in blocks, so no task holds more than two.
+6. Components over all links.
 
 So any two classes that share a bucket end in one component if they are linked: the only
 links that can be missed are of sets that share no band.  There are as many bands as keep
@@ -36,7 +41,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.llm.arrow import chunks, column, map_arrow
 from tidewater.llm.components import components
@@ -55,6 +60,8 @@ WIDE = 512
 #: aren't confirmed.
 _DEVIATIONS, _PART = 5.7, 128
 _BLOCK, _PAIRS = 2048, 16_384
+#: A shingle with more than one of so many of all occurrences is hot: there are fewer than that.
+_HOT = 10_000
 #: Writes a table that is gone when the operator ends.
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -164,55 +171,126 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Re
         yield rest
 
 
-def _pair_numbers(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs inside groups, about ``_PAIRS`` at a time."""
-    edges = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-    left, right, size = [], [], 0
-    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
-        for k in range(start, end - 1):
-            left.append(np.full(end - k - 1, k))
-            right.append(np.arange(k + 1, end))
-            size += end - k - 1
+def _pair_numbers(keys: list[np.ndarray], left: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs inside groups, about ``_PAIRS`` at a time: all, or those of a ``left`` row with one that isn't."""
+    n = len(keys[0])
+    edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+    first, second, size = [], [], 0
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), n]):
+        rows = np.arange(start, end)
+        from_rows, to_rows = (rows[:-1], rows) if left is None else (rows[left[start:end]], rows[~left[start:end]])
+        for k in from_rows.tolist():
+            to = rows[k + 1 - start :] if left is None else to_rows
+            first.append(np.full(len(to), k))
+            second.append(to)
+            size += len(to)
             if size >= _PAIRS:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, size = [], [], 0
+                yield np.concatenate(first), np.concatenate(second)
+                first, second, size = [], [], 0
     if size:
-        yield np.concatenate(left), np.concatenate(right)
+        yield np.concatenate(first), np.concatenate(second)
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's blocks that are in different components and may reach the threshold.
+def _across(batches: Iterator[pa.RecordBatch], percent: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group that are in different components and may reach the threshold.
 
-    A pair is given out in the first band it shares only, so each comes once.  A part of the
-    signature rules out most pairs before the whole of it is compared.
+    Rows of a bucket have their ``bands``, and a pair is given out in the first band it shares only.  Rows
+    of a shared shingle have ``is_left`` instead: the smaller of two sets must be a left row.  A part of the signature
+    rules out most pairs before the whole of it is compared.
     """
     rough, estimate = _least(percent, _PART), _least(percent, 2 * WIDE)
-    for batch in _grouped(batches, ["key", "low", "high"]):
-        key, low, high, block, ids, comp, size = (
-            column(batch, c).to_numpy() for c in ("key", "low", "high", "block", "id", "component", "n_shingles")
-        )
-        sig = np.frombuffer(b"".join(column(batch, "wide").to_pylist()), np.uint8).reshape(len(key), 2 * WIDE)
+    for batch in _grouped(batches, keys):
+        groups = [column(batch, k).to_numpy() for k in keys]
+        ids, comp, size = (column(batch, c).to_numpy() for c in ("id", "component", "n_shingles"))
+        sig = np.frombuffer(b"".join(column(batch, "wide").to_pylist()), np.uint8).reshape(len(ids), 2 * WIDE)
         part = np.ascontiguousarray(sig[:, :: 2 * WIDE // _PART])
-        bands = column(batch, "bands").flatten().to_numpy().reshape(len(key), -1)
-        here = np.argmax(bands == key[:, None], axis=1)
+        tests = [lambda i, j: (part[i] == part[j]).mean(axis=1) >= rough]
+        if "bands" in batch.schema.names:
+            left, bands = None, column(batch, "bands").flatten().to_numpy().reshape(len(ids), -1)
+            here = np.argmax(bands == groups[0][:, None], axis=1)
+            tests.append(lambda i, j: np.argmax(bands[i] == bands[j], axis=1) == here[i])
+        else:
+            left = column(batch, "is_left").to_numpy(zero_copy_only=False)
+        tests.append(lambda i, j: (sig[i] == sig[j]).mean(axis=1) >= estimate)
         found = []
-        for i, j in _pair_numbers(key, low, high):
+        for i, j in _pair_numbers(groups, left):
             ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            ok &= (low[i] == high[i]) | (block[i] != block[j])
+            if left is not None:
+                ok &= (size[i] < size[j]) | (size[i] == size[j]) & (ids[i] < ids[j])
             i, j = i[ok], j[ok]
-            for test in (
-                lambda i, j: (part[i] == part[j]).mean(axis=1) >= rough,
-                lambda i, j: np.argmax(bands[i] == bands[j], axis=1) == here[i],
-                lambda i, j: (sig[i] == sig[j]).mean(axis=1) >= estimate,
-            ):
+            for test in tests:
                 if len(i):
                     ok = test(i, j)
                     i, j = i[ok], j[ok]
-            found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
-        made = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+            found.append(np.stack((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))))
+        made = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["a", "b"])
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, n_shingles, key`` for each shingle of each set."""
+    for batch in batches:
+        for i, data in zip(column(batch, "id").to_pylist(), column(batch, "set")):
+            found = np.frombuffer(data.as_buffer(), np.int64)
+            for low in range(0, len(found), 100_000):
+                some = found[low : low + 100_000]
+                longs = (np.full(len(some), i), np.full(len(some), len(found)), some)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in longs], names=["id", "n_shingles", "key"])
+
+
+def _first(percent: int, of: int) -> Column:
+    """How many of a set's first shingles hold one that it shares, if it shares at least ``percent`` of each ``of``."""
+    return F.expr(f"n_shingles - (n_shingles * {percent}L + {of - 1}L) div {of}L + 1")
+
+
+def _rare_shingles(sets: DataFrame, percent: int, keep: Keep) -> DataFrame:
+    """``id, n_shingles, key, is_left`` for the shingles of each set that it must share one of with any set that it is linked with.
+
+    ``is_left`` marks those that do as the smaller set.  Shingles of one set only are left out, but count for the order.
+    Hot shingles are looked up in a broadcast table, of fewer than ``_HOT`` rows; of the others none can fill a task.
+    """
+    entries = keep(map_arrow(sets.select("id", "set"), _members, "id long, n_shingles long, key long"), "entries")
+    counts = keep(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingle-counts")
+    total = entries.count()
+    hot = F.broadcast(counts.where(F.col("n") * _HOT > total))
+    known = entries.join(hot, "key").unionByName(
+        entries.join(hot, "key", "left_anti").join(counts.where(F.col("n") * _HOT <= total), "key")
+    )
+    of_set = Window.partitionBy("id")
+    place = F.row_number().over(of_set.orderBy("n", "key")) + F.col("n_shingles") - F.count(F.lit(1)).over(of_set)
+    known = known.withColumn("place", place).where(F.col("place") <= _first(percent, 100))
+    return known.select("id", "n_shingles", "key", (F.col("place") <= _first(2 * percent, 100 + percent)).alias("is_left"))
+
+
+def _by_rare_shingles(placed: DataFrame, sets: DataFrame, percent: int, keep: Keep) -> DataFrame:
+    """Pairs (a, b) of ``placed`` (id, component) in different components that may reach the threshold."""
+    entries = keep(_rare_shingles(sets.join(placed, "id", "left_semi"), percent, keep).join(placed, "id"), "rare-shingles")
+    blocks = lambda n: F.ceil(n / _BLOCK).alias
+    shared = (
+        entries.groupBy("key")
+        .agg(
+            F.min("component").alias("x"), F.max("component").alias("y"),
+            blocks(F.count_if("is_left"))("lefts"), blocks(F.count(F.lit(1)))("rights"),
+        )
+        .where("x < y and lefts > 0").select("key", "lefts", "rights")
+    )
+    met = entries.join(broadcast_if_small(keep(shared, "shared-shingles")), "key")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["key", "id", "component", "n_shingles"]
+    left = met.where("is_left").select(*columns, F.lit(True).alias("is_left"), block("lefts").alias("low"), every("rights").alias("high"))
+    right = met.select(*columns, F.lit(False).alias("is_left"), every("lefts").alias("low"), block("rights").alias("high"))
+    rows = left.unionByName(right).join(sets.select("id", "wide"), "id")
+    return _compared(rows, percent, ["key", "low", "high"])
+
+
+def _compared(rows: DataFrame, percent: int, keys: list[str]) -> DataFrame:
+    # Comparing is work, not bytes: a number of partitions that Spark doesn't lower by size.
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return map_arrow(rows, lambda batches: _across(batches, percent, keys), "a long, b long")
+
+
 def _linked(docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, class_id, first_id, first_hash`` for each row.
 
@@ -266,21 +344,16 @@ def _linked_rows(docs: DataFrame, text: str, key: str, percent: int, keep: Keep)
     discard(joined)
     open_keys = (
         placed.groupBy("key")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
-        .where("x < y").select("key", "blocks")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+        .where("x < y").select("key", "n")
     )
-    left = placed.join(open_keys, "key").join(reps, "id").join(sets.select("id", "wide"), "id")
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "id", "component", "n_shingles", "wide", "bands",
-    )
-    # Comparing is work, not bytes: a number of partitions that Spark doesn't lower by size.
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = ["key", "low", "high"]
-    left = left.repartition(tasks, *groups).sortWithinPartitions(*groups)
-    across = map_arrow(left, lambda batches: _across(batches, percent), "a long, b long")
+    open_keys = keep(open_keys, "open")
+    left = placed.join(open_keys.where(F.col("n") <= _BLOCK), "key").join(reps, "id").join(sets.select("id", "wide"), "id")
+    across = _compared(left.select("key", "id", "component", "n_shingles", "wide", "bands"), percent, ["key"])
+    large = open_keys.where(F.col("n") > _BLOCK)
+    if not large.isEmpty():
+        crowd = placed.join(broadcast_if_small(large), "key").select("id", "component").distinct()
+        across = across.union(_by_rare_shingles(keep(crowd, "crowd"), sets, percent, keep))
     more = keep(confirm(across.distinct()), "cross-links")
     joined = components(links.union(more))
 
