@@ -273,7 +273,9 @@ class TestNearDedup:
     def test_whole_table(self, docs):
         self.check(docs)
 
-    def test_a_large_group_near_the_threshold(self, spark, monkeypatch):
+    @pytest.mark.parametrize("group", [4, 256])
+    def test_a_large_group_near_the_threshold(self, spark, monkeypatch, group):
+        monkeypatch.setattr(near_dedup, "_GROUP", group)
         monkeypatch.setattr(near_dedup, "_BLOCK", 16)
         r = random.Random(5)
         base = [f"w{k}" for k in range(200)]
@@ -285,6 +287,18 @@ class TestNearDedup:
             rows.append((i, " ".join(words)))
         self.check(spark.createDataFrame(rows, "doc_id long, text string"))
 
+    def test_pairs_of_a_busy_set_are_dealt(self, spark, monkeypatch):
+        monkeypatch.setattr(near_dedup, "_GROUP", 10)
+        star = [(0, i) for i in range(1, 600)]  # the busy end comes first
+        other = [(i, 10_000) for i in range(600, 900)]  # or last
+        lone = [(i, i + 1) for i in range(1_000, 1_050, 2)]
+        df = spark.createDataFrame(star + other + lone, "a long, b long")
+        got = [tuple(r) for r in near_dedup._dealt(df, lambda table, label: table).collect()]
+        assert {frozenset(r[:2]) for r in got} == {frozenset(p) for p in star + other + lone} and len(got) == len(star + other + lone)
+        groups = collections.Counter((a, part) for a, _, part in got)
+        assert max(groups.values()) < 30 and {a for a, _, _ in got if a in (0, 10_000)} == {0, 10_000}
+        assert max(collections.Counter(b for _, b, _ in got).values()) == 1
+
     @pytest.mark.parametrize("hot", [10, 10_000])
     def test_many_texts_on_one_template(self, spark, monkeypatch, hot):
         monkeypatch.setattr(near_dedup, "_BLOCK", 8)

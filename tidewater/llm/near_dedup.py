@@ -6,10 +6,11 @@ evaluation, each equal for two sets with probability equal to their similarity.
 Values are cut into bands; sets that agree in a band are candidates.
 
 1. Equal sets become one class, represented by the smallest id, and of the texts of that id
-   the one with the smallest hash.  A class is named by a hash of its set, so texts that share
-   an id stay apart.
+   the one with the smallest hash.  Sets are told apart by 128 bits and classes then numbered,
+   so texts that share an id stay apart, and no two classes have one number.
 2. In each bucket every class is compared with the bucket's smallest: a star, not all pairs.
-3. Links, confirmed on full sets, give components.  A bucket whose classes are all in one
+3. Links, confirmed on full sets, give components.  Pairs are confirmed in groups of one set, which is
+   sent once, with the sets that are compared with it; the pairs of a busy set are dealt to many groups.  A bucket whose classes are all in one
    component is settled.
 4. In the buckets that are left, pairs from different components whose signatures and sizes
    allow the threshold are confirmed on full sets as well.
@@ -60,6 +61,8 @@ WIDE = 512
 #: aren't confirmed.
 _DEVIATIONS, _PART = 5.7, 128
 _BLOCK, _PAIRS = 2048, 16_384
+#: Pairs of one set that are confirmed together, about.
+_GROUP = 256
 #: A shingle with more than one of so many of all occurrences is hot: there are fewer than that.
 _HOT = 10_000
 #: Writes a table that is gone when the operator ends.
@@ -137,20 +140,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([column(batch, "id"), *binary], names=["id", "set", "wide"])
 
 
+def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate((x, y))
+    merged.sort()
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that are linked.  Rows are sorted: the set of a group, without ``b``, then those that are compared with it."""
+    own = np.zeros(0, np.uint64)
     for batch in batches:
-        keep = []
-        for a, b in zip(column(batch, "set_a"), column(batch, "set_b")):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            merged = np.concatenate((x, y))
-            merged.sort()
-            both = int(np.count_nonzero(merged[1:] == merged[:-1]))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        yield out
+        links: list[tuple[int, int]] = []
+        for a, b, data in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), column(batch, "set")):
+            found = np.frombuffer(data.as_buffer(), np.uint64)
+            if b is None:
+                own = found.copy()  # may be used for the next batch, when this one is gone
+            elif _reach(own, found, percent):
+                links.append((a, b))
+        ends = [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
+def _dealt(pairs: DataFrame, keep: Keep) -> DataFrame:
+    """Written ``pairs`` as ``a, b, part``, where ``a`` is the busier end and ``part`` one of its groups.
+
+    ``b`` is then in at most the square root of twice the number of pairs, as each of its partners is in as many.
+    """
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    busy = keep(ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _GROUP), "busy")
+    table = broadcast_if_small(busy)
+    for end in "ab":
+        pairs = pairs.join(table.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")), end, "left")
+    n_a, n_b = (F.coalesce(f"n_{end}", F.lit(1)) for end in "ab")
+    pairs = pairs.select(
+        F.when(n_a < n_b, F.struct(F.col("b").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b")).alias("pair"),
+        F.ceil(F.greatest(n_a, n_b) / _GROUP).alias("parts"),
+    )
+    return pairs.select("pair.*", F.pmod(F.xxhash64("pair.b"), "parts").alias("part"))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, keep: Keep) -> DataFrame:
+    """The pairs (a, b) that are linked, each once and either way round."""
+    pairs = keep(_dealt(keep(pairs, "pairs"), keep), "dealt")
+    heads = pairs.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), "set"), "a")
+    others = pairs.join(sets.select(F.col("id").alias("b"), "set"), "b")
+    rows = heads.withColumn("b", F.lit(None).cast("long")).unionByName(others).repartition("a", "part")
+    rows = rows.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "set")
+    return map_arrow(rows, lambda batches: _confirmed(batches, percent), "a long, b long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
@@ -304,25 +343,28 @@ def _linked(docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
 def _linked_rows(docs: DataFrame, text: str, key: str, percent: int, keep: Keep) -> DataFrame:
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketches = keep(map_arrow(slim, lambda batches: _sketches(batches, percent), _SKETCH), "sketches")
-    classes = (
+    classes = keep(
         sketches.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"))
-        .select("set_hi", "set_lo", F.col("own.doc_id").alias("class_id"), F.col("own.text_hash").alias("class_hash"))
+        .select(
+            "set_hi", "set_lo", F.col("own.doc_id").alias("class_id"), F.col("own.text_hash").alias("class_hash"),
+            F.monotonically_increasing_id().alias("id"),
+        ),
+        "classes",
     )
     own = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
     members = keep(
         sketches.join(classes, ["set_hi", "set_lo"], "left").select(
-            "doc_id", "text_hash", "n_shingles", "class_id", "class_hash",
-            F.when(F.col("class_id").isNotNull(), F.xxhash64("set_hi", "set_lo")).alias("id"), F.when(own, F.col("bands")).alias("bands"),
+            "doc_id", "text_hash", "n_shingles", "class_id", "class_hash", "id", F.when(own, F.col("bands")).alias("bands"),
         ),
         "members",
     )
     reps = members.where("bands is not null").select("id", "class_id", "class_hash", "n_shingles", "bands")
-    keys = reps.select("id", "class_id", "class_hash", F.explode("bands").alias("key"))
+    keys = reps.select("id", "class_id", "class_hash", "n_shingles", F.explode("bands").alias("key"))
     # The star's centre is the class with the smallest id: most often the text that the others were made from.
     shared = (
-        keys.groupBy("key").agg(F.min(F.struct("class_id", "id"))["id"].alias("first"), F.min("id").alias("x"), F.max("id").alias("y"))
-        .where("x < y").select("key", "first")
+        keys.groupBy("key").agg(F.min(F.struct("class_id", "id", "n_shingles")).alias("first"), F.min("id").alias("x"), F.max("id").alias("y"))
+        .where("x < y").select("key", F.col("first.id").alias("first"), F.col("first.n_shingles").alias("first_n"))
     )
     buckets = keep(keys.join(shared, "key"), "buckets")
 
@@ -331,12 +373,10 @@ def _linked_rows(docs: DataFrame, text: str, key: str, percent: int, keep: Keep)
     texts = slim.join(broadcast_if_small(ids), ["doc_id", "text_hash"]).select("id", "text")
     sets = keep(map_arrow(texts, _sets, "id long, set binary, wide binary"), "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        return map_arrow(pairs.join(a, "a").join(b, "b"), lambda batches: _confirmed(batches, percent), "a long, b long")
-
-    stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = keep(confirm(stars), "star-links")
+    sizes = [f("n_shingles", "first_n") for f in (F.least, F.greatest)]
+    stars = buckets.where((F.col("id") != F.col("first")) & (100 * sizes[0] >= percent * sizes[1]))
+    stars = stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    links = keep(_confirm(stars, sets, percent, keep), "star-links")
     joined = components(links)
 
     placed = buckets.join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -354,7 +394,7 @@ def _linked_rows(docs: DataFrame, text: str, key: str, percent: int, keep: Keep)
     if not large.isEmpty():
         crowd = placed.join(broadcast_if_small(large), "key").select("id", "component").distinct()
         across = across.union(_by_rare_shingles(keep(crowd, "crowd"), sets, percent, keep))
-    more = keep(confirm(across.distinct()), "cross-links")
+    more = keep(_confirm(across.distinct(), sets, percent, keep), "cross-links")
     joined = components(links.union(more))
 
     firsts = joined.join(ids, "id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
