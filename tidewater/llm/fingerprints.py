@@ -10,7 +10,9 @@ bounded, so likeness is one minus its share of the most it can be.
 Cases: a null text counts as empty, and an empty text has the all-zero digest;
 equal texts have equal digests.  For neighbours by id, rows without an id have
 none and their results about neighbours are null.  Rows with the same id are in
-the order of a hash of their text.  A single row is its own neighbour.
+the order of a hash of their text.  A single row is its own neighbour.  Long texts
+are counted whole, and empty tables give empty results.  Columns other than id and
+text aren't read, whatever their names.
 """
 
 from __future__ import annotations

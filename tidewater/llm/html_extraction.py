@@ -14,6 +14,8 @@ class names, well-formed or not.  Others can be given.
 
 Cases: null, empty and text-free pages have an empty text.  Cut-off pages are read
 as far as they go.  Repeated rows get equal results, and null ids are carried.
+Long pages are read whole, and empty tables give empty results.  Columns other than
+id, address and html aren't read, whatever their names.
 """
 
 from __future__ import annotations

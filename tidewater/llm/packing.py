@@ -19,6 +19,8 @@ have isn't one task's work - and looks up each piece's bin in the runs.
 
 Cases: a null or empty text is one piece of the end token.  Repeated rows are
 pieces of their own.  Null ids are carried.  Empty tables give empty results.
+Long texts are cut into pieces of at most ``capacity`` tokens, none is lost.
+Columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ What the driver holds is the tree: one place a node.
 Cases: a null text counts 8 bytes and CRC-32 0; null dimensions count as 0 or
 the empty string; repeated rows share a place and may all fall to one side of a
 cut; with fewer rows than shards some shards stay empty; an empty table gives
-an empty result.
+an empty result.  Of a long text only lengths and hashes are used.  Columns other
+than id, text and ``lang``, which may be missing, aren't read, whatever their names.
 """
 
 from __future__ import annotations
